@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import archives, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op7_arc_to_warc": archives.op7_arc_to_warc,
 }
 
 ORACLES: dict[str, str] = {}
