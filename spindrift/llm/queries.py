@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, secrets, tokens
+from . import archives, decontaminate, lines, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op7_arc_to_warc": archives.op7_arc_to_warc,
+    "op9_line_dedup": lines.op9_line_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": lines.OP9_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
+}
