@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, language, lines, packing, secrets, tokens
+from . import archives, decontaminate, language, lines, packing, pii, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op5_language_id": language.op5_language_id,
+    "op6_pii_surrogates": pii.op6_pii_surrogates,
     "op7_arc_to_warc": archives.op7_arc_to_warc,
     "op8_lexical_packing": packing.op8_lexical_packing,
     "op9_line_dedup": lines.op9_line_dedup,
