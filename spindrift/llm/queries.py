@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, language, lines, packing, pii, secrets, tokens
+from . import archives, decontaminate, language, lines, neardup, packing, pii, secrets, tokens, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op2_embedding_dedup": vectors.op2_embedding_dedup,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_ngram_jaccard": neardup.op4_ngram_jaccard,
     "op5_language_id": language.op5_language_id,
     "op6_pii_surrogates": pii.op6_pii_surrogates,
     "op7_arc_to_warc": archives.op7_arc_to_warc,
