@@ -30,12 +30,13 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min
     return often.join(totals, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("_n") > ratio * F.col("_pages")).select("_host", "_line")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and ``n_lines``, ``n_dropped`` (of the whole text).
 
     Lines end at "\\n". Blank lines are never boilerplate and stay. Null text stays null with 0 lines, an
     empty text stays empty with 1; rows with a null host form one host. Every row stays, repeated ones
-    too (each is a page of its own), even when all its lines go. Earlier columns named ``n_lines`` or
+    too (each is a page of its own), even when all its lines go; with ``keep_whole`` a page that would have
+    no text left keeps all of it. Earlier columns named ``n_lines`` or
     ``n_dropped`` are replaced. The lines of a host number at most its mean lines a page / ratio; their
     list is broadcast only after its size is checked, else hosts are joined by a shuffle, where Spark
     splits a hot one.
@@ -48,6 +49,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     lines = joined.withColumn("_all", F.split(F.col(text), "\n"))
     kept = F.filter("_all", lambda x: ~F.array_contains("_drop", line_key(x)))
     lines = lines.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(kept))
+    if keep_whole:
+        left = F.exists("_kept", lambda x: F.btrim(x, F.lit(" \t\r")) != "")
+        lines = lines.withColumn("_kept", F.when(left, F.col("_kept")).otherwise(F.col("_all")))
     n = F.coalesce(F.size("_all"), F.lit(0)).cast("long")
     out = lines.withColumns(
         {text: F.array_join("_kept", "\n"), "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(n).cast("long"), "n_dropped": F.when(F.col(text).isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long")}
