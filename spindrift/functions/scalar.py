@@ -50,7 +50,7 @@ def frame_time(t0: int, index: Column, tr: float) -> Column:
 def json_field(text: Column, name: str, required: bool = False) -> Column:
     """A field of a JSON object as text; a required one that is missing is an error."""
     got = F.get_json_object(text, f"$.{name}")
-    return F.when(F.assert_true(got.isNotNull(), F.lit(f"no field {name}")).isNull(), got) if required else got
+    return F.coalesce(got, F.raise_error(F.lit(f"no field {name}")).cast("string")) if required else got
 
 
 def floats(text: Column) -> Column:

@@ -51,7 +51,7 @@ def fit_series(y: np.ndarray, times: Sequence[float], penalty0: float, penalty1:
 def fit_decay(voxels: DataFrame, echo_times: Sequence[float], penalty0: float = 3.0, penalty1: float = 1.0, rescale: float = 10.0, cap: float = 500.0, least: float = 1e-6) -> DataFrame:
     """``voxel_id, n_good, s0, t2star`` (arrays over time) from ``voxel_id, n_good, series`` (echo by time).
 
-    Only the first ``n_good`` echoes are used; under two, or with a number that isn't finite, the voxel is
+    Where the decay isn't positive T2* is null. Only the first ``n_good`` echoes are used; under two, or with a number that isn't finite, the voxel is
     not fitted (null). One factor per echo count and length serves all voxels of a batch. No shuffle.
     """
     te = check_echo_times(echo_times)

@@ -55,10 +55,11 @@ def catalog_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.select(files(spark, sf_dir), task="rest", ses=["01", "03"], run="02").select("path")
 
 
-@query("echo_sets", f"SELECT sub, ses, task, run, count(*) AS n, string_agg(path, ' ' ORDER BY CAST(echo AS INTEGER)) AS paths FROM {_FILES} WHERE sub < '006' GROUP BY ALL")
+@query("echo_sets", f"SELECT sub, ses, task, run, count(*) AS n, string_agg(path, ' ' ORDER BY CAST(echo AS INTEGER)) AS paths FROM {_FILES} WHERE page_id // 36 < (SELECT count(*) // 36 FROM pages) GROUP BY ALL")
 def echo_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both echoes of each run of the first six subjects (whose listings are complete)."""
-    got = C.echo_sets(files(spark, sf_dir).where("sub < '006'"), 2)
+    """Both echoes of each run of the subjects whose listings are complete (36 files each)."""
+    whole = I.table(spark, sf_dir, "pages").count() // 36
+    got = C.echo_sets(files(spark, sf_dir).where(F.col("sub").cast("int") < whole), 2)
     return got.select("sub", "ses", "task", "run", F.size("paths").cast("long").alias("n"), F.array_join("paths", " ").alias("paths"))
 
 

@@ -69,10 +69,15 @@ def interaction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.interactions(e, p, [], "t").select("t", F.col("col").cast("int").alias("col"), F.round("x", 6).alias("x"))
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly series with ``n``, the place of each hour that there is: hours without events leave no gap."""
+    return S.concat_runs(I.hourly(spark, sf_dir).withColumn("run", F.lit(0)), "run", ["t"], "n")
+
+
 def lag_design(spark: SparkSession, sf_dir: str, lags: range, df: int, kind: str = "cr") -> DataFrame:
     """The hourly series on a lag basis, complete rows only, each column z-scored: ``t, k, x``."""
     basis = B.basis_table(spark, lags, df, kind)
-    s = I.hourly(spark, sf_dir).withColumn("run", F.lit(0))
+    s = frames(spark, sf_dir).select("run", F.col("n").alias("t"), "x")
     out = B.project(s, basis, ["run"], "t", "x", len(lags))
     return S.zscore(out, "v", ["k"]).select("t", "k", F.col("z").alias("x"))
 
@@ -81,7 +86,8 @@ def lag_design(spark: SparkSession, sf_dir: str, lags: range, df: int, kind: str
 def dlm_physio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response of each type's series to a unit of the hourly series over lags -15 to 15, by a five-column basis."""
     lags = range(-15, 16)
-    y = S.zscore(I.runs(spark, sf_dir), "x", ["run"]).select(F.col("run").alias("voxel"), "t", F.col("z").alias("x"))
+    place = frames(spark, sf_dir).select("t", "n")
+    y = S.zscore(I.runs(spark, sf_dir), "x", ["run"]).join(place, "t").select(F.col("run").alias("voxel"), F.col("n").alias("t"), F.col("z").alias("x"))
     beta = L.ridge(lag_design(spark, sf_dir, lags, 5), y, 10_000.0, ["t"])
     return L.predict(beta, B.basis_table(spark, lags, 5)).select("voxel", "lag", F.round("y", 8).alias("y"))
 

@@ -12,6 +12,8 @@ from .inputs import HOUR_SQL, HOURLY_SQL, RUNS_SQL
 from .registry import query
 
 LAGS = (-2, -1, 0, 1, 3)
+#: The inner knot of the lag basis; not a round one, so that no sum ends in a tie when rounded.
+KNOTS = [2.7]
 
 
 @query(
@@ -137,12 +139,12 @@ def first_takes_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "spline_projection",
-    f"""WITH s AS {HOURLY_SQL}, b(lag, k, w) AS (VALUES {", ".join(f"({lag}, {k}, CAST({float(w)!r} AS DOUBLE))" for lag, row in zip(range(6), B.natural_spline(list(range(6)), 3)) for k, w in enumerate(row))}),
+    f"""WITH s AS {HOURLY_SQL}, b(lag, k, w) AS (VALUES {", ".join(f"({lag}, {k}, CAST({float(w)!r} AS DOUBLE))" for lag, row in zip(range(6), B.natural_spline(range(6), 3, KNOTS)) for k, w in enumerate(row))}),
     n AS (SELECT t FROM s), j AS (SELECT s2.t + b.lag AS t, k, s2.x * w AS v FROM s s2, b)
     SELECT CAST(j.t AS BIGINT) AS t, CAST(k AS INTEGER) AS k, round(sum(v), 4) AS v FROM j JOIN n ON n.t = j.t GROUP BY 1, 2 HAVING count(*) = 6""",
 )
 def spline_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly series' lags 0 to 5 on a natural spline of three columns; hours with a missing lag go."""
-    basis = B.basis_table(spark, range(6), 3)
+    basis = B.basis_table(spark, range(6), 3, knots=KNOTS)
     out = B.project(I.hourly(spark, sf_dir).withColumn("run", F.lit(0)), basis, ["run"], "t", "x", 6)
     return out.select("t", "k", F.round("v", 4).alias("v"))

@@ -118,13 +118,13 @@ def repetition_time(task: Column) -> Column:
     """Seconds a volume takes; an unknown task is an error."""
     table = F.create_map(*[F.lit(x) for kv in REPETITION.items() for x in kv])
     tr = F.try_element_at(table, task)
-    return F.when(F.assert_true(tr.isNotNull(), F.lit("unknown task")).isNull(), tr)
+    return F.coalesce(tr, F.raise_error(F.concat(F.lit("unknown task "), task)).cast("double"))
 
 
 def run_letter(run: Column) -> Column:
     """The letter of a run; other runs are an error."""
     letter = F.try_element_at(F.create_map(*[F.lit(x) for kv in RUN_LETTERS.items() for x in kv]), run)
-    return F.when(F.assert_true(letter.isNotNull(), F.lit("run without events")).isNull(), letter)
+    return F.coalesce(letter, F.raise_error(F.concat(F.lit("run without events: "), run)).cast("string"))
 
 
 def fixed_name(sub: Column, task: Column, ses: Column, run: Column, ending: str = ".nii.gz") -> Column:
