@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +59,3 @@ def co_activation(frames: DataFrame, key: str, vector: str, n: int, rounds: int
         raise ValueError("fewer peaks than patterns")
     centres = lloyd(top, "v", first, rounds)
     return centres, occurrences(g, assign(top, "v", centres))
-
-
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

@@ -13,8 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import finite
-
 
 def gram(rows: DataFrame, vector: str, moments: bool = False) -> DataFrame:
     """``i, j, s``: sum over rows of v[i] v[j], upper half too. One partial matrix a task, then summed.
@@ -148,6 +146,34 @@ def pca(rows: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, pd.D
     return scores, loadings
 
 
+def pca_time(voxels: DataFrame, key: str, ts: str, k: int) -> tuple[pd.DataFrame, DataFrame]:
+    """Scores ``(t, component, score)`` on the driver and loadings ``(key, component, loading)``, from a row per voxel.
+
+    For far more voxels than times: the time-by-time products are summed over voxels (one partial matrix a
+    task), their eigenvectors give the scores, and a map-only product with them the loadings. As ``pca``
+    otherwise: uncentred, exact, the largest score of each component positive.
+    """
+    m = to_matrix(gram(voxels, ts))
+    value, vectors = np.linalg.eigh(m)
+    order = np.argsort(-value)[:k]
+    u = vectors[:, order]
+    u = u * np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
+    s = np.sqrt(np.maximum(value[order], 0))
+    t, c = np.indices(u.shape)
+    scores = pd.DataFrame({"t": t.ravel(), "component": c.ravel(), "score": (u * s).ravel()})
+    scores.attrs["explained_variance"] = s**2 / max(len(u) - 1, 1)
+    scale = np.sqrt(max(len(u) - 1, 1))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch[ts].to_numpy()).astype(float) @ u / scale
+                yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), x.shape[1]), "component": np.tile(np.arange(x.shape[1]), len(x)), "loading": x.ravel()})
+
+    kind = voxels.schema[key].dataType.simpleString()
+    return scores, voxels.select(key, ts).mapInPandas(work, f"`{key}` {kind}, component int, loading double")
+
+
 def bilinear(design: DataFrame, outcomes: DataFrame, maps: DataFrame, penalty: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """Map time courses Z = Y S'(SS' + pI)^-1 and coefficients A' = (X'X + pI)^-1 X'Z.
 
@@ -174,7 +200,3 @@ def reconstruct(z: DataFrame, maps: DataFrame) -> DataFrame:
 def project_trial(coefficients: DataFrame, basis: DataFrame) -> DataFrame:
     """``lag, map, y``: trial coefficients ``(k, map, a)`` on a fine lag basis ``(lag, k, w)``."""
     return coefficients.join(F.broadcast(basis), "k").groupBy("lag", "map").agg(F.sum(F.col("a") * F.col("w")).alias("y"))
-
-
-def usable(outcomes: DataFrame) -> DataFrame:
-    return outcomes.where(finite(F.col("x")))

@@ -25,10 +25,20 @@ def global_signal(matrix: DataFrame, how: str = "mean", mask: DataFrame | None =
     return m.groupBy("t").agg((F.avg("x") if how == "mean" else F.median("x")).alias("gs"))
 
 
-def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def quantiles(value: Column, at: Sequence[float], accuracy: int | None = None) -> Column:
+    """An array of quantiles: exact and interpolated, or, for groups with too many distinct values to hold, by a sketch.
+
+    The exact aggregate keeps a count per distinct value of a group; ``accuracy`` (rank error 1 / accuracy)
+    keeps a bounded sketch instead.
+    """
+    p = [float(v) for v in at]
+    return F.percentile(value, F.array(*map(F.lit, p))) if accuracy is None else F.percentile_approx(value, p, accuracy)
+
+
+def box_stats(df: DataFrame, value: str, by: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Quartiles, mean, and whiskers: the extreme values within 1.5 interquartile ranges of the box."""
     by = list(by)
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.avg(value).alias("mean"))
+    q = df.groupBy(*by).agg(quantiles(F.col(value), (0.25, 0.5, 0.75), accuracy).alias("_q"), F.avg(value).alias("mean"))
     q = q.select(*by, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("median"), F.get("_q", F.lit(2)).alias("q3"), "mean")
     iqr = F.col("q3") - F.col("q1")
     x = F.col(value)
@@ -38,11 +48,11 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return q.join(ends, by)
 
 
-def intensity_bounds(df: DataFrame, value: str, low: float = 1.0, high: float = 99.0, by: Sequence[str] = ()) -> DataFrame:
-    """Percentile bounds of the finite values, exact; degenerate bounds are opened a little."""
+def intensity_bounds(df: DataFrame, value: str, low: float = 1.0, high: float = 99.0, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """Percentile bounds of the finite values; degenerate bounds are opened a little."""
     check_percentiles(low, high)
     x = F.col(value)
-    p = df.where(finite(x)).groupBy(*by).agg(F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("_p"))
+    p = df.where(finite(x)).groupBy(*by).agg(quantiles(x, (low / 100, high / 100), accuracy).alias("_p"))
     a, b = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     return p.select(*by, a.alias("vmin"), F.when(b <= a, a + 1e-6).otherwise(b).alias("vmax"))
 

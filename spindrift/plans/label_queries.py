@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import labels as B
-from ..operators import series as S
 from ..operators import spatial as G
 from ..operators import stats as A
 from ..sources import sinks as K
@@ -187,7 +186,3 @@ def sample_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     v = I.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("voxel_id")).agg(F.max("l_linenumber").alias("n_good"))
     return pick(v, 200)
-
-
-def trimmed(df: DataFrame) -> DataFrame:
-    return S.trim_head(df, 1, ["run"], ["t"])

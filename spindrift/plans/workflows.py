@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import basis as B
@@ -47,13 +48,6 @@ def long_form(func: DataFrame) -> DataFrame:
     return S.zscore(x, "x", ["run", "voxel"]).select("run", "t", "voxel", F.col("z").alias("x"))
 
 
-def end_to_end(df: DataFrame, run: str = "run") -> DataFrame:
-    """Time positions laid end to end over runs in name order."""
-    sizes = df.groupBy(run).agg((F.max("t") + 1).alias("_n"))
-    starts = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy(run).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return df.join(starts.drop("_n"), run).withColumn("t", F.col("t") + F.col("_s")).drop("_s")
-
-
 def preprocess(spark: SparkSession, study: str, out: str, task: str, tr: float, trim: int = 10, high_pass: float = 0.01) -> None:
     """Functional series of a task cleaned, map-only, and written."""
     clean = P.clean_voxels(load(spark, study, "func", task), tr, high_pass, trim=trim)
@@ -85,14 +79,25 @@ def event_response(func: DataFrame, events: DataFrame, tr: float, penalty: float
     return E.evaluate_events(L.ridge(design, x, penalty), shapes)
 
 
-def components(func: DataFrame, k: int = 10) -> tuple[DataFrame, object]:
-    """Scores over time of the principal components of all voxels, runs end to end.
+def standardised(ts: str) -> Column:
+    """An array less its mean, over its population deviation; a constant one is zeros."""
+    n, add = F.size(ts), lambda a, x: a + x
+    mean = F.aggregate(ts, F.lit(0.0), add) / n
+    square = F.aggregate(ts, F.lit(0.0), lambda a, x: a + x * x) / n
+    sd = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    return F.transform(ts, lambda x: F.coalesce((x - mean) / F.nullif(sd, F.lit(0.0)), F.lit(0.0)))
+
+
+def end_to_end(func: DataFrame) -> DataFrame:
+    """``voxel, ts``: each voxel's runs, standardised apart, laid end to end by run name."""
+    rows = func.select(F.col("voxel_id").alias("voxel"), "run_id", standardised("ts").alias("ts"))
+    joined = rows.groupBy("voxel").agg(F.sort_array(F.collect_list(F.struct("run_id", "ts"))).alias("_r"))
+    return joined.select("voxel", F.flatten(F.transform("_r", lambda r: r["ts"])).alias("ts"))
+
 
-    Frames become rows, so the second moments are voxel by voxel; use a parcelled matrix for many voxels.
-    """
-    x = end_to_end(long_form(func))
-    rows = x.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("voxel", "x"))).alias("v")).select("t", F.transform("v", lambda e: e["x"]).alias("v"))
-    return L.pca(rows, "t", "v", k)
+def components(func: DataFrame, k: int = 10) -> tuple[pd.DataFrame, DataFrame]:
+    """Scores over time and loadings of all voxels, runs end to end."""
+    return L.pca_time(end_to_end(func), "voxel", "ts", k)
 
 
 ANALYSES = ("dlm_physio", "dlm_event", "pca")
@@ -104,7 +109,9 @@ def analyse(spark: SparkSession, study: str, out: str, task: str, analysis: str,
         raise ValueError(f"analysis must be one of {ANALYSES}")
     func = load(spark, study, "func", task)
     if analysis == "pca":
-        write_result(components(func)[0], f"{out}/{task}_pca", task=task, analysis=analysis, tr=tr)
+        scores, loadings = components(func)
+        write_result(loadings, f"{out}/{task}_pca", task=task, analysis=analysis, tr=tr)
+        spark.createDataFrame(scores).write.mode("overwrite").parquet(f"{out}/{task}_pca/scores")
     elif analysis == "dlm_event":
         write_result(event_response(func, load(spark, study, "events", task), tr), f"{out}/{task}_events", task=task, analysis=analysis, tr=tr)
     else:

@@ -173,6 +173,22 @@ def test_pca(spark):
     assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2])) and np.allclose(loadings.attrs["explained_variance"], s[:2] ** 2 / 39 / 5)
 
 
+def test_pca_over_time(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(12, 60)) * np.linspace(3, 1, 12)[:, None]
+    df = spark.createDataFrame([(v, x[:, v].tolist()) for v in range(60)], "voxel int, ts array<double>")
+    scores, loadings = L.pca_time(df, "voxel", "ts", 3)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(scores["score"].to_numpy().reshape(12, 3)), np.abs(u[:, :3] * s[:3]))
+    assert np.allclose(np.abs(L.to_matrix(loadings, "voxel", "component", "loading")), np.abs(vt[:3].T * s[:3]) / np.sqrt(11))
+
+
+def test_quantile_sketch(spark):
+    df = spark.range(1001).select(F.col("id").cast("double").alias("x"), F.lit(1).alias("g"))
+    near, exact = (stats.box_stats(df, "x", ["g"], a).first() for a in (10_000, None))
+    assert abs(near.median - exact.median) <= 1 and exact.median == 500 and (exact.low, exact.high) == (0.0, 1000.0)
+
+
 def test_seed_errors(spark):
     m = spark.createDataFrame([(t, v, float(t * v)) for t in range(5) for v in range(3)], "t int, voxel int, x double")
     seed = m.where("voxel = 1").select("t", F.col("x").alias("s"))
