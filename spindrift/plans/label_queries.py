@@ -99,10 +99,10 @@ def label_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", F.size("indices").cast("long").alias("n"), F.get("indices", F.lit(0)).alias("first"), F.element_at("indices", -1).alias("last"))
 
 
-@query("vertex_scatter", "SELECT r.vertex, e.label FROM range(0, 1200) r(vertex) LEFT JOIN embeddings e ON e.vec_id = r.vertex")
+@query("vertex_scatter", "SELECT r.vertex, coalesce(e.label, -1) AS label FROM range(0, 1200) r(vertex) LEFT JOIN embeddings e ON e.vec_id = r.vertex")
 def vertex_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = spark.range(1200).withColumnRenamed("id", "vertex")
-    return B.scatter(full, I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vertex"), "label"))
+    return B.scatter(full, I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vertex"), "label")).withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 @query("label_legend", "SELECT c_custkey, n_name AS name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n_nationkey")
