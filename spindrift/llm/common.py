@@ -41,9 +41,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def same(a: Column, b: Column) -> Column:
-    """Equality that also holds between nulls."""
-    return a.eqNullSafe(b)
+def boxed(df: DataFrame, **named: str) -> DataFrame:
+    """``_row``, all columns of ``df`` as one struct, and the named columns under new names.
+
+    Whatever else ``df`` holds, no name of its own can then clash with one that an operator needs.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{c}`").alias(n) for n, c in named.items()])
+
+
+def unboxed(names: list[str], **changed: Column) -> list[Column]:
+    """The columns ``names`` out of ``_row``, those in ``changed`` replaced."""
+    return [changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in names]
+
+
+def without(names: list[str], *gone: str) -> list[str]:
+    return [c for c in names if c.lower() not in gone]
 
 
 def runs(batches: Iterator, key: str) -> Iterator:

@@ -8,12 +8,10 @@ compared word by word with the items' windows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, table
+from .common import boxed, checked_broadcast, cut, table, unboxed, without
 
 # What separates words (before lower-casing), and the window.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -95,13 +93,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     names are replaced. Nothing is broadcast unchecked: small lists of fingerprints, matched texts and
     windows are, larger ones shuffle.
     """
-    base = docs.drop("n_words", "n_hit", "items", "contaminated")
+    base = boxed(docs, _text=text)
     hits = checked_broadcast(cut(hits_by_text(docs, benchmark, text, item, item_text)))
-    key = F.md5(F.col(text).cast("binary"))
-    out = base.withColumns({"_of": key, "n_words": F.coalesce(F.size(words_of(F.col(text))), F.lit(0)).cast("long")})
-    out = out.withColumn("n_words", F.greatest("n_words", F.lit(0)).cast("long")).join(hits, F.col("_of") == F.col("_key"), "left")
-    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return out.withColumn("contaminated", F.col("n_hit") > 0).select(*base.columns, "n_words", "n_hit", "items", "contaminated")
+    out = base.withColumn("_of", F.md5(F.col("_text").cast("binary"))).join(hits, F.col("_of") == F.col("_key"), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return out.select(
+        *unboxed(without(docs.columns, "n_words", "n_hit", "items", "contaminated")),
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size(words_of(F.col("_text")))).cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        (n_hit > 0).alias("contaminated"),
+    )
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

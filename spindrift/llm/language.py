@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import boxed, table, unboxed, without
 
 #: Hashed n-grams of 1 to 3 characters.
 FEATURES = 1 << 15
@@ -175,9 +175,9 @@ def predict_language(docs: DataFrame, model: Model, text: str = "text") -> DataF
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     one = F.pandas_udf(predict, "lang_pred string, score double")
-    base = docs.drop("lang_pred", "score")
-    out = base.withColumn("_p", one(F.col(text)))
-    return out.select(*base.columns, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    out = boxed(docs, _text=text).withColumn("_p", one(F.col("_text")))
+    kept = unboxed(without(docs.columns, "lang_pred", "score"))
+    return out.select(*kept, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

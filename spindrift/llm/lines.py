@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, table
+from .common import BROADCAST_ROWS, boxed, cut, table, unboxed, without
 
 #: A line on more than this share of a host's pages, and on at least so many of them, is boilerplate.
 RATIO, MIN_PAGES = 0.02, 5
@@ -44,19 +44,20 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     found = cut(boilerplate(docs, host, text, ratio, min_pages))
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     by_host = found.groupBy("_host").agg(F.collect_set("_line").alias("_drop"))
-    base = docs.drop("n_lines", "n_dropped")
-    joined = base.join(F.broadcast(by_host) if few else by_host, base[host].eqNullSafe(F.col("_host")), "left")
-    lines = joined.withColumn("_all", F.split(F.col(text), "\n"))
+    base = boxed(docs, _of=host, _text=text)
+    joined = base.join(F.broadcast(by_host) if few else by_host, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    lines = joined.withColumn("_all", F.split("_text", "\n"))
     kept = F.filter("_all", lambda x: ~F.array_contains("_drop", line_key(x)))
     lines = lines.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(kept))
     if keep_whole:
         left = F.exists("_kept", lambda x: F.btrim(x, F.lit(" \t\r")) != "")
         lines = lines.withColumn("_kept", F.when(left, F.col("_kept")).otherwise(F.col("_all")))
-    n = F.coalesce(F.size("_all"), F.lit(0)).cast("long")
-    out = lines.withColumns(
-        {text: F.array_join("_kept", "\n"), "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(n).cast("long"), "n_dropped": F.when(F.col(text).isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long")}
+    none = F.col("_text").isNull()
+    return lines.select(
+        *unboxed(without(docs.columns, "n_lines", "n_dropped"), **{text: F.array_join("_kept", "\n")}),
+        F.when(none, 0).otherwise(F.size("_all")).cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.size("_all") - F.size("_kept")).cast("long").alias("n_dropped"),
     )
-    return out.select(*base.columns, "n_lines", "n_dropped")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

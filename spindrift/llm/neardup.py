@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, connected_components, cut, runs, table
+from .common import boxed, checked_broadcast, connected_components, cut, runs, table, unboxed
 
 WORDS = 5
 #: Jaccard similarity of a link, as a fraction.
@@ -227,14 +227,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     judged = cut(near_duplicates(docs, key, text))
     mark = [F.col(key).alias("_id2"), F.col("_text").alias("_text2")]
-    same = F.col("_id2").eqNullSafe(F.col(key)) & F.col("_text2").eqNullSafe(F.md5(F.col(text).cast("binary")))
+    same = F.col("_id2").eqNullSafe(F.col("_key")) & F.col("_text2").eqNullSafe(F.md5(F.col("_whole").cast("binary")))
     gone = cut(judged.where("not kept").select(*mark).distinct())
     many = cut(judged.where("kept").join(judged.where("kept and n_links > 0").select(F.col(key).alias("_k")).distinct(), F.col(key).eqNullSafe(F.col("_k"))).groupBy(*mark).count().where("count > 1").select("_id2", "_text2"))
-    out = docs.join(checked_broadcast(gone), same, "left_anti")
-    if many.isEmpty():
-        return out
-    once = out.join(checked_broadcast(many), same, "left_semi").dropDuplicates([key])
-    return out.join(checked_broadcast(many), same, "left_anti").unionByName(once)
+    out = boxed(docs, _key=key, _whole=text).join(checked_broadcast(gone), same, "left_anti")
+    if not many.isEmpty():
+        once = out.join(checked_broadcast(many), same, "left_semi").dropDuplicates(["_key"])
+        out = out.join(checked_broadcast(many), same, "left_anti").unionByName(once)
+    return out.select(*unboxed(docs.columns))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, table
+from .common import boxed, checked_broadcast, cut, table, unboxed, without
 
 KEY = "spindrift-surrogates"
 # What is detected, the first kind that matches a place wins.
@@ -160,17 +160,18 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     """
     entities = cut(mentions(docs, text))
     again = cut(settle(entities, key).where("attempt > 0"))
-    base = docs.drop("n_pii", "pii_kinds")
-    hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    out = base.withColumn("_found", F.when(hinted, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    base = boxed(docs, _text=text)
+    hinted = F.coalesce(F.col("_text").rlike(HINT), F.lit(False))
+    all_found = F.regexp_extract_all(F.col("_text"), F.lit(ANY), F.lit(0))
+    out = base.withColumn("_found", F.when(hinted, all_found).otherwise(F.array().cast("array<string>")))
     if again.isEmpty():
         out = out.withColumn("_again", F.lit(None).cast("map<string,int>"))
     else:
-        held = docs.where(hinted).select(F.md5(F.col(text).cast("binary")).alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))).alias("_v"))
+        held = base.where(hinted).select(F.md5(F.col("_text").cast("binary")).alias("_key"), F.explode(F.array_distinct(all_found)).alias("_v"))
         held = held.withColumn("kind", kind_of(F.col("_v"))).withColumn("norm", normal(F.col("kind"), F.col("_v")))
         held = held.join(checked_broadcast(again), ["kind", "norm"]).select("_key", F.concat("kind", F.lit("|"), "norm").alias("e"), "attempt").distinct()
         held = held.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias("_again"))
-        out = out.withColumn("_of", F.md5(F.col(text).cast("binary")))
+        out = out.withColumn("_of", F.md5(F.col("_text").cast("binary")))
         out = out.join(checked_broadcast(cut(held)), F.col("_of") == F.col("_key"), "left")
 
     def attempt_of(kind: Column, norm: Column) -> Column:
@@ -181,10 +182,10 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     known = F.transform(known, lambda e: F.struct(e["v"], e["kind"], e["norm"], attempt_of(e["kind"], e["norm"]).alias("attempt")))
     new = F.transform(known, lambda e: F.struct(e["kind"].alias("kind"), surrogate(e["kind"], e["v"], e["norm"], e["attempt"], key).alias("new")))
     out = out.withColumn("_new", F.when(F.size("_found") > 0, new))
-    parts = F.split(F.col(text), ANY, -1)
+    parts = F.split(F.col("_text"), ANY, -1)
     joined = F.array_join(F.zip_with(parts, F.col("_new"), lambda p, n: F.concat(p, F.coalesce(n["new"], F.lit("")))), "")
     return out.select(
-        *[F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in base.columns],
+        *unboxed(without(docs.columns, "n_pii", "pii_kinds"), **{text: F.when(F.col("_new").isNotNull(), joined).otherwise(F.col("_text"))}),
         F.size("_found").cast("long").alias("n_pii"),
         F.coalesce(F.array_join(F.transform("_new", lambda n: n["kind"]), ","), F.lit("")).alias("pii_kinds"),
     )

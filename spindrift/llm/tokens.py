@@ -22,8 +22,9 @@ VOCABULARY = "byte_bpe_50k"
 REMEMBERED = 600_000
 #: A longer piece (a space-free run) is encoded each time rather than remembered.
 LONGEST_KEY = 64
-#: A text with several pieces is split only where a space follows a character that no pattern calls space.
-_SPACE_BEFORE_SPACE = re.compile("[\t-\r \x1c-\x1f\x85\xa0  -     　] ")
+#: Characters that some pattern may call space, wide on purpose.
+_SPACES = "\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE_BEFORE_SPACE = re.compile(f"[{_SPACES}] ")
 LIMIT = 512
 
 
@@ -70,7 +71,7 @@ class Pieces(dict):
 def _runs(text: str) -> list[str]:
     """Spaces and what follows them, cut wherever a space follows a character that is surely no space."""
     out, at = [], 0
-    for m in re.finditer("(?<=[^\t-\r \x1c-\x1f\x85\xa0  -     　]) ", text):
+    for m in re.finditer(f"(?<=[^{_SPACES}]) ", text):
         out.append(text[at : m.start()])
         at = m.start()
     out.append(text[at:])

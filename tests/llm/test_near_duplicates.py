@@ -59,7 +59,7 @@ def brute(rows):
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(neardup, "BLOCK_CLASSES", blocks)
     rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("class_id", "_id2", "_text2", "_text", "_key")})
     got = neardup.near_duplicates(docs).collect()
     links = brute(rows)
     count = {k: 0 for k in range(len(rows))}

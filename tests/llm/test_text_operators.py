@@ -194,7 +194,7 @@ def test_arc_versions(version):
 
 def test_line_dedup_edges(spark):
     rows = [(k, "nav\nown %d\n\nnav" % k, "h") for k in range(10)] + [(99, None, "h"), (98, "", "h"), (97, "nav", None), (0, "nav\nown 0\n\nnav", "h")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("n_lines", "_host", "_all", "_row", "_text", "_kept")})
     got = {(r.doc_id, r.source): r for r in lines.drop_boilerplate(docs, ratio=0.5, min_pages=3).collect()}
     assert got[3, "h"].text == "own 3\n" and (got[3, "h"].n_lines, got[3, "h"].n_dropped) == (4, 2)
     assert got[99, "h"].text is None and got[99, "h"].n_lines == 0 and got[98, "h"].text == "" and got[97, None].text == "nav"
@@ -226,7 +226,7 @@ def test_decontamination_equals_brute_force(spark):
         parts = [" ".join(word() for _ in range(r.randint(0, 12))), (r.choice(items)[1] or "") * r.randint(0, 2), " -- ".join(word() for _ in range(r.randint(0, 30)))]
         docs.append((k, r.choice([" ", ", ", "\n"]).join(parts)))
     docs += [(100, None), (101, ""), (3, docs[3][1]), (None, docs[5][1]), (102, "filler " * 20_000 + items[6][1])]
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("clash"))
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("items", "_key", "_of", "_row", "_t")})
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_contamination(d, b).collect()
     assert len(got) == len(docs)
@@ -245,7 +245,7 @@ PII_ROWS = [
 
 
 def test_pii_surrogates(spark):
-    d = spark.createDataFrame(PII_ROWS, "doc_id long, text string").withColumn("n_pii", F.lit("clash"))
+    d = spark.createDataFrame(PII_ROWS, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_pii", "_key", "_found", "_new", "_row")})
     rows = pii.pseudonymise(d).collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == len(PII_ROWS) and got[3].text is None and got[4].text == "" and got[6].text == PII_ROWS[5][1]
