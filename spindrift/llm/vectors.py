@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, runs, table
 
 COSINE = 0.93
-#: Vectors in a shard, about, and queries in a block.
-SHARD, BLOCK = 4_000, 4_000
+#: Bytes of vectors in a shard, about (every shard is searched by all vectors of its label, so few large ones
+#: are better than many small ones), and queries in a block.
+SHARD_BYTES, BLOCK = 8 << 20, 4_000
 NEIGHBOURS, LEVEL = 16, 16
 #: Queries of each block whose answers are audited by a full scan; the share of links they must have found.
 AUDIT, RECALL = 64, 0.99
@@ -175,7 +176,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     with nothing. Vectors equal in label and numbers are one while graphs are built and searched; each
     counts as a link of the others. ``component_id`` is the smallest id reachable, the row's own included;
     rows with null ids take part, and a component of nothing but null ids has a null id. Every label is
-    dealt out in shards of about SHARD vectors, so a hot label is many tasks; every shard is queried by
+    dealt out in shards of about SHARD_BYTES, so a hot label is many tasks; every shard is queried by
     blocks of all vectors of its label.
     """
     x = F.col(vector)
@@ -184,8 +185,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = rows.where("_x is not null").groupBy("_label", "_x").agg(F.count("*").alias("_copies"), F.min("_id").alias("_first"))
     classes = classes.withColumn("_cell", F.concat_ws("/", F.col("_label").cast("string"), F.size("_x").cast("string")))
     classes = cut(classes.withColumn("_node", F.monotonically_increasing_id()))
-    sizes = classes.groupBy("_cell").agg(F.count("*").alias("_m"))
-    sizes = sizes.select("_cell", F.ceil(F.col("_m") / SHARD).cast("int").alias("_shards"), F.ceil(F.col("_m") / BLOCK).cast("int").alias("_blocks"))
+    sizes = classes.groupBy("_cell").agg(F.count("*").alias("_m"), F.max(F.size("_x")).alias("_d"))
+    sizes = sizes.select("_cell", F.ceil(F.col("_m") * F.col("_d") * 8 / SHARD_BYTES).cast("int").alias("_shards"), F.ceil(F.col("_m") / BLOCK).cast("int").alias("_blocks"))
     h = F.xxhash64("_node")
 
     def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

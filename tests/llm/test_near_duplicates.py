@@ -107,7 +107,7 @@ def points(n, seed=0):
 
 @pytest.mark.parametrize("shard", [4000, 60])
 def test_vectors_equal_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(vectors, "SHARD", shard)
+    monkeypatch.setattr(vectors, "SHARD_BYTES", shard * 24 * 8)
     monkeypatch.setattr(vectors, "BLOCK", shard + 20)
     x = points(420)
     rows = [(k, x[k].astype("f4").tolist(), k % 3) for k in range(len(x))]
