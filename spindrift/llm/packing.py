@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .tokens import VOCABULARY, Pieces, load_ranks, tokenizer_path
+from .tokens import SPECIAL, VOCABULARY, load_ranks, merger, tokenizer_path
 
 WINDOW = 2048
 END = 1
@@ -22,22 +22,18 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
-_ENCODERS: dict[str, Pieces] = {}
+_ENCODERS: dict[str, Callable[[str | None], bytes]] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Pieces:
-    """Ids (as bytes of unsigned 16-bit numbers) of the pieces of a text, the same as the tokenizers library gives."""
+def encoder(vocabulary: str = VOCABULARY) -> Callable[[str | None], bytes]:
+    """From a whole text to its ids (as bytes of unsigned 16-bit numbers), the same as the tokenizers library gives."""
     if vocabulary not in _ENCODERS:
-        import public_tokenizers
-        import tiktoken
-
         ranks = load_ranks(tokenizer_path(f"{vocabulary}.tiktoken"))
-        special = len(ranks)
-        if special >= 1 << 16:
+        if len(ranks) >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        encode = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        short = lambda piece: np.array(encode(piece), "<u2").tobytes()
-        _ENCODERS[vocabulary] = Pieces(short, "<|endoftext|>", np.array([special], "<u2").tobytes())
+        plain = merger(vocabulary, ranks)
+        special = np.array([len(ranks)], "<u2").tobytes()
+        _ENCODERS[vocabulary] = lambda text: special.join([np.array(plain(part), "<u2").tobytes() for part in (text or "").split(SPECIAL)])
     return _ENCODERS[vocabulary]
 
 
@@ -45,9 +41,9 @@ def token_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_key, ids`` for each row: 16-bit ids of the whole text, then the end id. Null text: the end id alone."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, end = encoder(), np.array([END], "<u2").tobytes()
+        encoded, end = encoder(), np.array([END], "<u2").tobytes()
         for batch in batches:
-            ids = [b"".join(pieces.of(t)) + end for t in batch.column(1).to_pylist()]
+            ids = [encoded(t) + end for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["_key", "ids"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()

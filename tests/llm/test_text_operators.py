@@ -38,6 +38,14 @@ def test_counts_equal_the_library(library):
         assert sum(counter.of(text)) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_very_long_runs_equal_the_library(library):
+    encode, counter = packing.encoder(), tokens.piece_counter()
+    for text in (" " * 1_200_000 + "a", "a" * 250_000, "x <|endoftext|>" + "\n" * 300_000, None):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u2").tolist() == ids
+        assert sum(counter.of(text)) == len(ids)
+
+
 def test_whole_tokens_are_proven(library):
     counter = tokens.piece_counter()
     assert counter.of("hello") == [1]
