@@ -18,17 +18,30 @@ GRID, IMPULSE = 0.01, 0.5
 
 def impulses(onsets: np.ndarray, n: int, grid: float, width: float) -> np.ndarray:
     """A running sum of +1 at onsets and -1 after the width; coinciding onsets are set, not added."""
-    at = lambda s: np.minimum(np.ceil(np.asarray(s) / grid - 1e-9).astype(int).clip(0), n - 1)
+    at = lambda s: np.ceil(np.asarray(s) / grid - 1e-9).astype(int)
+    return counted_impulses(at(onsets), at(np.asarray(onsets) + width), np.ones(len(onsets), int), n)
+
+
+def counted_impulses(first: np.ndarray, last: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+    """``impulses`` from the fine grid's samples and how many events have each pair of them."""
     x = np.zeros(n)
-    x[at(onsets)] = 1
-    np.subtract.at(x, at(np.asarray(onsets) + width), 1)
+    x[np.clip(first, 0, n - 1)] = 1
+    np.subtract.at(x, np.clip(last, 0, n - 1), times)
     return np.cumsum(x)
 
 
+def fine_samples(frames: np.ndarray, grid: float) -> int:
+    return int(round((frames[-1] + 1) / grid)) + 1
+
+
 def regressors(onsets: np.ndarray, frames: np.ndarray, weights: np.ndarray, grid: float = GRID, width: float = IMPULSE) -> np.ndarray:
     """One column per basis column at the frame times: the box train's lags times the basis, cubic between grid points."""
-    n = int(round((frames[-1] + 1) / grid)) + 1
-    box = impulses(onsets, n, grid, width)
+    return box_regressors(impulses(onsets, fine_samples(frames, grid), grid, width), frames, weights, grid)
+
+
+def box_regressors(box: np.ndarray, frames: np.ndarray, weights: np.ndarray, grid: float = GRID) -> np.ndarray:
+    """``regressors`` of a box train on the fine grid."""
+    n = len(box)
     size = 1 << (n + len(weights) - 1).bit_length()
     fine = np.fft.irfft(np.fft.rfft(box, size)[:, None] * np.fft.rfft(weights, size, axis=0), size, axis=0)[:n]
     at = np.arange(n) * grid
@@ -45,8 +58,9 @@ def event_design(series: DataFrame, events: DataFrame, tr: float, knots_per_seco
     """``(run, t, k, x)``, z-scored over all runs, and the shape of each trial type's basis.
 
     ``series(run, t, ...)`` gives the frames, ``events(run, trial_type, onset, duration)`` the onsets in
-    seconds. Trial types are in name order, so columns are the same in every run. A run's events, a scan's
-    worth, are one group.
+    seconds. Trial types are in name order, so columns are the same in every run. Events are first counted by
+    (run, trial type, sample of the fine grid); a group is one type in one run and holds as many rows as the
+    run has samples at most, however many events there are.
     """
     grid = grid or (GRID if tr < 10 else tr / 100)
     longest = {r["trial_type"]: r["max_duration"] for r in max_duration(events).orderBy("trial_type").collect()}
@@ -59,22 +73,26 @@ def event_design(series: DataFrame, events: DataFrame, tr: float, knots_per_seco
         first += df
     weights = {name: basis_matrix(range(s["n"]), s["df"], kind) for name, s in shapes.items()}
     frames = series.groupBy("run").agg((F.max("t") + 1).alias("n"))
-    per_run = events.groupBy("run").agg(F.collect_list(F.struct("trial_type", "onset")).alias("e")).join(frames, "run", "right")
+    sample = lambda s: F.greatest(F.ceil(s / grid - 1e-9), F.lit(0))
+    beyond = F.ceil(((F.col("n") + reference) * tr + 1 + reference) / grid)
+    on = events.join(frames, "run").select("run", "trial_type", *[F.least(sample(s), beyond).alias(c) for c, s in (("first", F.col("onset")), ("last", F.col("onset") + IMPULSE))])
+    counted = on.groupBy("run", "trial_type", "first", "last").agg(F.count("*").alias("times"))
+    listed = counted.groupBy("run", "trial_type").agg(*[F.collect_list(F.col(c)).alias(c) for c in ("first", "last", "times")])
+    names = events.sparkSession.createDataFrame([(name,) for name in shapes], "trial_type string")
+    per_type = frames.crossJoin(F.broadcast(names)).join(listed, ["run", "trial_type"], "left")
 
     def work(batches):
         for batch in batches:
-            for run, n, e in zip(batch["run"], batch["n"], batch["e"]):
-                at = np.linspace(reference, (n - 1 + reference) * tr, int(n))
-                rows = []
-                for name, s in shapes.items():
-                    on = np.array([x["onset"] for x in (e if e is not None else []) if x["trial_type"] == name])
-                    x = regressors(on, at, weights[name], grid) if len(on) else np.zeros((int(n), s["df"]))
-                    t, k = np.indices(x.shape)
-                    rows.append(pd.DataFrame({"run": run, "t": t.ravel(), "k": k.ravel() + s["first"], "x": x.ravel()}))
-                yield pd.concat(rows)
+            for run, name, n, first, last, times in zip(*[batch[c] for c in ("run", "trial_type", "n", "first", "last", "times")]):
+                s, at = shapes[name], np.linspace(reference, (n - 1 + reference) * tr, int(n))
+                x = np.zeros((int(n), s["df"]))
+                if first is not None:
+                    x = box_regressors(counted_impulses(first, last, times, fine_samples(at, grid)), at, weights[name], grid)
+                t, k = np.indices(x.shape)
+                yield pd.DataFrame({"run": run, "t": t.ravel(), "k": k.ravel() + s["first"], "x": x.ravel()})
 
     kind_of_run = series.schema["run"].dataType.simpleString()
-    design = per_run.select("run", "n", "e").mapInPandas(work, f"run {kind_of_run}, t long, k int, x double")
+    design = per_type.select("run", "trial_type", "n", "first", "last", "times").mapInPandas(work, f"run {kind_of_run}, t long, k int, x double")
     return zscore(design, "x", ["k"]).select("run", "t", "k", F.col("z").alias("x")), shapes
 
 

@@ -94,8 +94,8 @@ def dlm_physio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dlm_event")
 def dlm_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Response of the hourly series to each trial type of every fiftieth user's events, 15 hours long."""
-    e = I.events(spark, sf_dir).where("user_id % 50 = 0").select(F.lit("all").alias("run"), "trial_type", (F.col("sec") / 3600).alias("onset"), F.lit(0.0).alias("duration"))
+    """Response of the hourly series to each trial type, all users' events, 15 hours long."""
+    e = I.events(spark, sf_dir).select(F.lit("all").alias("run"), "trial_type", (F.col("sec") / 3600).alias("onset"), F.lit(0.0).alias("duration"))
     y = I.hourly(spark, sf_dir).withColumn("run", F.lit("all"))
     design, shapes = E.event_design(y, e, tr=1.0, knots_per_second=0.3, kind="cr", extend=15.0)
     z = S.zscore(y, "x", ["run"]).select("run", "t", F.lit(0).alias("voxel"), F.col("z").alias("x"))
@@ -105,7 +105,7 @@ def dlm_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("event_regressors")
 def event_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = I.events(spark, sf_dir).where("user_id % 50 = 0").select(F.lit("all").alias("run"), "trial_type", (F.col("sec") / 3600).alias("onset"), F.lit(0.0).alias("duration"))
+    e = I.events(spark, sf_dir).select(F.lit("all").alias("run"), "trial_type", (F.col("sec") / 3600).alias("onset"), F.lit(0.0).alias("duration"))
     y = I.hourly(spark, sf_dir).withColumn("run", F.lit("all"))
     return E.event_design(y, e, tr=1.0, knots_per_second=0.3, kind="bs", extend=15.0)[0].withColumn("x", F.round("x", 8))
 
