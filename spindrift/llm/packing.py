@@ -18,8 +18,6 @@ WINDOW = 2048
 END = 1
 #: Tokens (without full windows) after which a shard's index is built and packed; bounds a task's memory.
 SHARD_TOKENS = 2_000_000
-#: A seed asks for neighbours by so many of its heaviest terms.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
 _ENCODERS: dict[str, Callable[[str | None], bytes]] = {}
@@ -77,7 +75,7 @@ class Shard:
     """An inverted BM25 index over the rests (what full windows leave) of one shard's documents."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.n = len(rests)
+        self.n = self.held = len(rests)
         terms, docs, weights, self.queries = [], [], [], []
         for k, x in enumerate(rests):
             t, tf = np.unique(x, return_counts=True)
@@ -85,16 +83,25 @@ class Shard:
             terms.append(t)
             docs.append(np.full(len(t), k, np.int32))
             weights.append(w.astype(np.float32))
-            top = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(w) > QUERY_TERMS else np.arange(len(w))
-            self.queries.append(t[top])
+            self.queries.append(t)
         term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
         order = np.argsort(term, kind="stable")
-        self.docs = (np.concatenate(docs) if docs else np.zeros(0, np.int32))[order]
-        self.weights = (np.concatenate(weights) if weights else np.zeros(0, np.float32))[order]
-        self.starts = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        self.docs = (np.concatenate(docs) if docs else np.zeros(0, np.int32))[order].astype(np.int64)
+        self.weights = (np.concatenate(weights) if weights else np.zeros(0, np.float32))[order].astype(np.float64)
+        self.terms = term[order]
+        self.starts = np.searchsorted(self.terms, np.arange((1 << 16) + 1))
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Drops used documents from the index once they are a quarter of it; scores of the others stay."""
+        if 4 * (n := np.count_nonzero(unused)) > 3 * self.held:
+            return
+        stays = unused[self.docs]
+        self.docs, self.weights, self.terms, self.held = self.docs[stays], self.weights[stays], self.terms[stays], n
+        self.starts = np.searchsorted(self.terms, np.arange((1 << 16) + 1))
 
     def neighbours(self, k: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with document ``k``, best first; ties by place."""
+        """Unused documents that share a term with document ``k`` by BM25 over all its distinct terms, best first; ties by place."""
+        self.forget(unused)
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[k].astype(np.int64)]
         if not spans:
             return np.zeros(0, np.int64)
