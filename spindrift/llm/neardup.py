@@ -196,6 +196,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are compared like others, and a class of nothing but null ids has a null class id. Repeated rows link
     with each other and, sharing an id, are kept or dropped together. An empty table gives an empty one.
     """
+    return judge(docs, key, text).drop("_node")
+
+
+def judge(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``near_duplicates`` with ``_node``, the first class of the row's component; null without words."""
     rows = cut(signatures(docs, key, text))
     classes = rows.where("_class is not null").groupBy("_class").agg(
         F.count("*").alias("_copies"), F.min("_id").alias("_first"), F.min(F.struct("_text", "_id")).alias("_one"), F.first("_keys").alias("_keys"), F.first("_n").alias("_n")
@@ -214,25 +219,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     judged = classes.select("_class", "_node", "_copies", "_first").join(links, "_node", "left").join(low, "_node", "left")
     judged = judged.withColumn("_low", F.coalesce("_low", "_node"))
     first = judged.groupBy("_low").agg(F.min("_first").alias("class_id"))
-    judged = judged.join(first, "_low").select("_class", "class_id", (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
+    judged = judged.join(first, "_low").select("_class", "_low", "class_id", (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
     out = rows.select("_id", "_text", "_class").join(judged, "_class", "left")
     out = out.withColumn("class_id", F.when(F.col("_class").isNull(), F.col("_id")).otherwise(F.col("class_id")))
-    return out.select(F.col("_id").alias(key), "_text", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select(F.col("_id").alias(key), "_text", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("_low").alias("_node"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the smallest id, once.
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id (null ids last), then
+    the smallest text hash, once.
 
     Rows without words all stay. Texts aren't shuffled while the lists of rows to drop are short.
     """
-    judged = cut(near_duplicates(docs, key, text))
-    mark = [F.col(key).alias("_id2"), F.col("_text").alias("_text2")]
-    same = F.col("_id2").eqNullSafe(F.col("_key")) & F.col("_text2").eqNullSafe(F.md5(F.col("_whole").cast("binary")))
-    gone = cut(judged.where("not kept").select(*mark).distinct())
-    many = cut(judged.where("kept").join(judged.where("kept and n_links > 0").select(F.col(key).alias("_k")).distinct(), F.col(key).eqNullSafe(F.col("_k"))).groupBy(*mark).count().where("count > 1").select("_id2", "_text2"))
+    judged = judge(docs, key, text).where("_node is not null").select("_node", F.col(key).alias("_id2"), F.col("_text").alias("_text2"))
+    # a text is in one component, so id and text tell which rows are the one that stays
+    distinct = cut(judged.groupBy("_node", "_id2", "_text2").count())
+    place = F.struct(F.col("_id2").isNull().alias("a"), F.col("_id2").alias("b"), F.col("_text2").alias("c"))
+    first = cut(distinct.groupBy("_node").agg(F.min(place).alias("_first"), F.sum("count").alias("_n")).where("_n > 1").drop("_n"))
+    ranked = cut(distinct.join(checked_broadcast(first), "_node").select("_id2", "_text2", "count", (place == F.col("_first")).alias("_stays")))
+    same = F.col("_id2").eqNullSafe(F.col("_key")) & (F.col("_text2") == F.md5(F.col("_whole").cast("binary")))
+    gone = ranked.where("not _stays").select("_id2", "_text2")
+    many = ranked.where("_stays and count > 1").select("_id2", "_text2")
     out = boxed(docs, _key=key, _whole=text).join(checked_broadcast(gone), same, "left_anti")
     if not many.isEmpty():
-        once = out.join(checked_broadcast(many), same, "left_semi").dropDuplicates(["_key"])
+        once = out.join(checked_broadcast(many), same, "left_semi").dropDuplicates(["_key", "_whole"])
         out = out.join(checked_broadcast(many), same, "left_anti").unionByName(once)
     return out.select(*unboxed(docs.columns))
 

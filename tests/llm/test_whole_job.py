@@ -24,3 +24,16 @@ def test_neighbours_score_all_terms():
         got = index.neighbours(seed, unused)
         assert sorted(got) == np.flatnonzero((score > 0) & unused).tolist()
         assert (np.diff(score[got]) <= 1e-3).all()
+
+
+def test_keep_one_goes_by_component(spark):
+    a, b, c = ("abcdefghijklmnopqrst"[k] * 3 for k in range(3))
+    text = lambda w: " ".join(f"{w}{k}" for k in range(60))
+    near = text(c) + " more"
+    rows = [(None, text(a)), (None, text(a)), (None, text(b)), (None, text(b)), (None, text(c)), (None, near), (None, ""), (None, ""), (None, None), (7, "seven alone"), (7, text("x")), (7, text("x")), (8, text("x"))]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=repr)
+    third = [t for t in (text(c), near) if (None, t) in got]
+    assert len(third) == 1
+    wanted = [(None, text(a)), (None, text(b)), (None, third[0]), (None, ""), (None, ""), (None, None), (7, "seven alone"), (7, text("x"))]
+    assert got == sorted(wanted, key=repr)
