@@ -18,8 +18,9 @@ COSINE = 0.93
 #: are better than many small ones), and queries in a block.
 SHARD_BYTES, BLOCK = 8 << 20, 4_000
 NEIGHBOURS, LEVEL = 16, 16
-#: Queries of each block whose answers are audited by a full scan; the share of links they must have found.
-AUDIT, RECALL = 64, 0.99
+#: Queries of each block audited by a full scan at first; how many with few links (at most FEW) the audit must
+#: hold, or else scan the whole block; the mean share of its links that a query must have found.
+AUDIT, EVIDENCE, FEW, RECALL = 64, 32, 8, 0.99
 BEAMS = (32, 64, 128, 256, 512, 1024, 4096)
 
 
@@ -145,25 +146,47 @@ class Graph:
 def search(graph: Graph, queries: np.ndarray, ids: np.ndarray, at_least: float) -> list[np.ndarray]:
     """For each query the places in the graph that it links with, itself left out.
 
-    The beam widens until an evenly spaced sample of queries, audited by a full scan, has found its share.
-    Similarities are double precision. Raises if the widest beam fails its audit.
+    A sample of queries is answered by a full scan and doubles until EVIDENCE of them have one to FEW links
+    (those that a very large group can hide); a block that hasn't so many is scanned whole. The beam then
+    widens until the audited queries have found their share on average, those with few links and those
+    with more each by themselves; if the widest beam fails too, the block is scanned whole. Similarities
+    are double precision.
     """
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = [np.flatnonzero(graph.v @ queries[k] >= at_least) for k in sample]
-    wanted = sum(map(len, truth))
-    for width in BEAMS:
-        got = sum(len(np.intersect1d(graph.within(queries[k], width, at_least), t)) for k, t in zip(sample, truth))
-        if got >= RECALL * wanted:
+    order = np.random.default_rng(7).permutation(len(queries))
+    known: dict[int, np.ndarray] = {}
+    size = min(AUDIT, len(queries))
+    while True:
+        _scan(graph, queries, ids, at_least, order[len(known) : size], known)
+        few = [k for k, t in known.items() if 0 < len(t) <= FEW]
+        if len(few) >= EVIDENCE or size == len(queries):
             break
-    else:
-        raise RuntimeError("the widest beam fails its audit")
+        size = min(2 * size, len(queries))
+    if size < len(queries):
+        strata = [few, [k for k, t in known.items() if len(t) > FEW]]
+        share = lambda k, width: len(np.intersect1d(graph.within(queries[k], width, at_least), known[k])) / len(known[k])
+        for width in BEAMS:
+            if all(np.mean([share(k, width) for k in s]) >= RECALL for s in strata if s):
+                break
+        else:
+            _scan(graph, queries, ids, at_least, order[size:], known)
     out = []
-    for q, own in zip(queries, ids):
+    for k, (q, own) in enumerate(zip(queries, ids)):
+        if k in known:
+            out.append(known[k])
+            continue
         hit = graph.within(q, width, at_least)
         out.append(hit[graph.ids[hit] != own])
     return out
 
 
+def _scan(graph: Graph, queries: np.ndarray, ids: np.ndarray, at_least: float, which: np.ndarray, known: dict[int, np.ndarray]) -> None:
+    """Adds the exact answers of the queries ``which`` to ``known``, in blocks."""
+    for at in range(0, len(which), 128):
+        part = which[at : at + 128]
+        link = (queries[part] @ graph.v.T >= at_least) & (graph.ids[None, :] != ids[part][:, None])
+        known |= {int(k): np.flatnonzero(row) for k, row in zip(part, link)}
+
+
 def _stack(raw) -> np.ndarray:
     return np.array([np.frombuffer(x, "<f8") for x in raw])
 

@@ -37,3 +37,30 @@ def test_keep_one_goes_by_component(spark):
     assert len(third) == 1
     wanted = [(None, text(a)), (None, text(b)), (None, third[0]), (None, ""), (None, ""), (None, None), (7, "seven alone"), (7, text("x"))]
     assert got == sorted(wanted, key=repr)
+
+
+@pytest.mark.parametrize("group", [0, 1500])
+def test_search_without_evidence_is_exact(monkeypatch, group):
+    """A few pairs among vectors without links, alone and beside a large group that the graph finds easily."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2000, 48))
+    x[:group] = x[0] + r.normal(size=(group, 48)) * 0.01
+    x[1991:2000:2] = x[1990:2000:2][:5] + 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(2000)
+    graph = vectors.Graph(x, ids)
+    monkeypatch.setattr(graph, "within", lambda q, width, at_least: np.flatnonzero(x[:group] @ q >= at_least))
+    hits = vectors.search(graph, x, ids, 0.93)
+    truth = x @ x.T >= 0.93
+    np.fill_diagonal(truth, False)
+    assert truth[1990:].sum() == 10
+    assert all((h == np.flatnonzero(t)).all() for h, t in zip(hits, truth))
+
+
+def test_search_falls_back_when_the_audit_fails(monkeypatch):
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(500, 24)), 2, axis=0) + r.normal(size=(1000, 24)) * 0.001
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vectors.Graph(x, np.arange(1000))
+    monkeypatch.setattr(graph, "within", lambda *a: np.zeros(0, np.int64))
+    assert [h.tolist() for h in vectors.search(graph, x, np.arange(1000), 0.93)] == [[k ^ 1] for k in range(1000)]
