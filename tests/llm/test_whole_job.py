@@ -54,7 +54,7 @@ def test_search_without_evidence_is_exact(monkeypatch, group):
     truth = x @ x.T >= 0.93
     np.fill_diagonal(truth, False)
     assert truth[1990:].sum() == 10
-    assert all((h == np.flatnonzero(t)).all() for h, t in zip(hits, truth))
+    assert all(np.array_equal(h, np.flatnonzero(t)) for h, t in zip(hits, truth))
 
 
 def test_search_falls_back_when_the_audit_fails(monkeypatch):
