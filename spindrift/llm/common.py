@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a small side may be broadcast; a row here is a few hundred bytes at most.
 BROADCAST_ROWS = 200_000
+#: Keys at most that count as hot in a ``hub_join``; keys with fewer rows than the second number never do.
+HUBS, HUB_ROWS = 50_000, 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Unset, a local session gets a temporary folder; on a cluster that would be lost with an executor, so it raises.
+    What is written there belongs to the session that set the folder, which removes it.
+    """
     there = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="spindrift-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(there)
@@ -81,22 +89,34 @@ def runs(batches: Iterator, key: str) -> Iterator:
         yield at, pd.concat(held, ignore_index=True)
 
 
+def hub_join(rows: DataFrame, hubs: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``hubs`` (one row a key; ``n``: how many of ``rows`` have it), which lose ``n``.
+
+    Keys that hold more than a ``HUBS``-th of ``total``, the number of ``rows``, are met by a broadcast of at
+    most ``HUBS`` hubs where their rows lie, so that no task gets all rows of one key; the others shuffle.
+    """
+    hot = F.col(n) > max(HUB_ROWS, total // HUBS)
+    few = F.broadcast(hubs.where(hot).drop(n))
+    there = rows.join(few, key)
+    return there.unionByName(rows.join(few.select(key), key, "left_anti").join(hubs.where(~hot).drop(n), key))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; root is the smallest node of its component.
 
     Alternates the two star contractions of Kiveris et al. (2014): in a large-star round each node hands
     its smallest neighbour to its larger neighbours, in a small-star round to the smaller ones. Every
-    round is a grouped minimum (combined before the shuffle) and a join that Spark may split on hot
-    nodes; no adjacency list is ever collected. Null endpoints and self-loops are ignored; a node seen
-    only in a self-loop is absent. Raises if it has not settled after ``max_rounds`` rounds.
+    round is a grouped minimum (combined before the shuffle) and a join that broadcasts hot nodes; no
+    adjacency list is ever collected. Null endpoints and self-loops are ignored; a node seen only in a
+    self-loop is absent. Raises if it has not settled after ``max_rounds`` rounds.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        out = both.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        out = hub_join(both, low, "u", "n", total)
         if large:
             out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -115,12 +135,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut(e.distinct())
     before = stamp(e)
     for _ in range(max_rounds):
-        e = cut(star(star(e, True), False))
+        if not before[0]:
+            break
+        e = cut(star(star(e, True, 2 * before[0]), False, before[0]))
         now = stamp(e)
         if now == before:
-            roots = e.select("b").distinct()
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                roots.select(F.col("b").alias("node"), F.col("b").alias("root"))
-            )
+            break
         before = now
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+    roots = e.select("b").distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        roots.select(F.col("b").alias("node"), F.col("b").alias("root"))
+    )

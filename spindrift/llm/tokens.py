@@ -2,7 +2,7 @@
 
 A byte-level BPE tokenizer first cuts a text with a fixed pattern and then merges inside each cut. No cut
 spans a non-space character followed by a space, so a text can be split there and every piece encoded by
-itself. Natural text repeats its pieces; each distinct one is encoded once per worker.
+itself. Natural text repeats its pieces; the first distinct ones that a task meets are encoded once.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 VOCABULARY = "byte_bpe_50k"
-#: Distinct pieces remembered by a worker; further ones are encoded each time they occur.
-REMEMBERED = 600_000
+#: Distinct pieces remembered by a task; further ones are encoded each time they occur.
+REMEMBERED = 50_000
 #: A longer piece (a space-free run) is encoded each time rather than remembered.
 LONGEST_KEY = 64
 #: Characters that some pattern may call space, wide on purpose.
@@ -124,14 +125,20 @@ def whole_tokens(ranks: dict[bytes, int], merge) -> frozenset[str]:
     return frozenset(kept)
 
 
+@lru_cache(1)
+def _proven(vocabulary: str) -> tuple[Callable[[str], list[int]], frozenset[str]]:
+    """The merger and the proven set, as large as the vocabulary; a worker makes them once."""
+    ranks = load_ranks(tokenizer_path(f"{vocabulary}.tiktoken"))
+    merge = merger(vocabulary, ranks)
+    return merge, whole_tokens(ranks, merge)
+
+
 def piece_counter(vocabulary: str = VOCABULARY) -> Pieces:
     """Counts tokens: pre-tokens of the proven set count one, only the rest are merged."""
     import public_tokenizers
     import regex
 
-    ranks = load_ranks(tokenizer_path(f"{vocabulary}.tiktoken"))
-    merge = merger(vocabulary, ranks)
-    whole = whole_tokens(ranks, merge)
+    merge, whole = _proven(vocabulary)
     cut = regex.compile(public_tokenizers.PATTERN).findall
 
     def count(piece: str) -> int:
@@ -151,13 +158,11 @@ def count_tokens(docs: DataFrame, text: str = "text", limit: int = LIMIT, vocabu
     they are, an empty table gives an empty one. Texts are counted whole, however long. A map-only plan:
     no shuffle, one text and one bounded table of remembered pieces in memory.
     """
-    memo: list[Pieces] = []
 
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if not memo:
-            memo.append(_counter(vocabulary))
+        counter = piece_counter(vocabulary)  # what it remembers goes with the task
         for texts in batches:
-            yield pd.Series([sum(memo[0].of(t)) for t in texts], dtype="int64")
+            yield pd.Series([sum(counter.of(t)) for t in texts], dtype="int64")
 
     n = F.pandas_udf(counts, "long")
     kept = docs.drop("n_bytes", "n_tokens", "over_limit")
@@ -166,16 +171,6 @@ def count_tokens(docs: DataFrame, text: str = "text", limit: int = LIMIT, vocabu
     ).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-_COUNTERS: dict[str, Pieces] = {}
-
-
-def _counter(vocabulary: str) -> Pieces:
-    """One counter for each Python worker, kept from task to task."""
-    if vocabulary not in _COUNTERS:
-        _COUNTERS[vocabulary] = piece_counter(vocabulary)
-    return _COUNTERS[vocabulary]
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import neardup, vectors
+from spindrift.llm import common, neardup, vectors
 from spindrift.llm.common import connected_components
 
 
@@ -50,7 +50,7 @@ def corpus():
 
 
 def brute(rows):
-    sets = [frozenset(neardup.shingles((t or "").lower().split()).tolist()) for _, t in rows]
+    sets = [frozenset(neardup.shingles(neardup.normal(t)).tolist()) for _, t in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     return links
 
@@ -58,6 +58,7 @@ def brute(rows):
 @pytest.mark.parametrize("blocks", [800, 7])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(neardup, "BLOCK_CLASSES", blocks)
+    monkeypatch.setattr(common, "HUB_ROWS", blocks)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("class_id", "_id2", "_text2", "_text", "_key")})
     got = neardup.near_duplicates(docs).collect()
@@ -88,14 +89,45 @@ def test_jaccard_join_of_nothing(spark):
 
 def test_forest_depth_meets_its_recall():
     d = neardup.depth_for()
-    assert 1 - (1 - 0.8**d) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** neardup.TREES
+    assert neardup.meeting(d) >= neardup.SURE > neardup.meeting(d + 1)
     r, forest, met = np.random.default_rng(0), neardup.Forest(), 0
     for _ in range(200):
         shared, a, b = (r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))
-        met += bool((forest.keys(np.unique(np.r_[shared, a])) == forest.keys(np.unique(np.r_[shared, b]))).any())
+        met += neardup.shared_prefix(forest.label(np.unique(np.r_[shared, a])), forest.label(np.unique(np.r_[shared, b]))) >= d
     assert met >= 196
 
 
+@pytest.mark.parametrize("changed", [0, 6])
+def test_prefix_is_shortened_to_the_measured_recall(spark, changed):
+    """Links of near-equal texts let the audit keep long prefixes; links at the threshold make it shorten them."""
+    r = random.Random(changed)
+    docs = []
+    for k in range(120):
+        base = [f"w{k}x{r.randint(0, 9)}y{j}" for j in range(300)]
+        near = list(base)
+        for j in range(changed):
+            near[20 + 45 * j] = "other"
+        docs += [" ".join(base), " ".join(near[: 300 if changed else 299])]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string")
+    sample = neardup.audit_sample(rows, "text")
+    signed = neardup.signatures(rows, "doc_id", "text", sample)
+    depth, recall, evidence = neardup.measure(signed, sample)
+    assert evidence == 240 and recall[depth] >= neardup.TARGET
+    assert depth == neardup.DEPTH if not changed else recall[depth + 1] < neardup.TARGET or depth == neardup.DEPTH
+    got = neardup.near_duplicates(rows).collect()
+    assert sum(x.n_links == 1 for x in got) >= 0.99 * len(got)
+
+
+def test_shingles_of_long_texts_do_not_depend_on_stretches(monkeypatch):
+    words = [random.Random(4).choice(["a", "bb", "é", "日本", "x" * 40]) + str(k % 977) for k in range(9000)]
+    text = neardup.normal(" ".join(words))
+    whole = neardup.shingles(text)
+    assert len(whole) == len({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    monkeypatch.setattr(neardup, "_CHUNK", 100)
+    assert (neardup.shingles(text) == whole).all()
+    assert len(neardup.shingles("one")) == len(neardup.shingles("one two")) == 1
+
+
 def points(n, seed=0):
     r = np.random.default_rng(seed)
     x = r.normal(size=(n, 24))
