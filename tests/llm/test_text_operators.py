@@ -172,18 +172,49 @@ def test_elastic_net_leaves_zeros():
     assert all(model.labels[int(model.logits(i, c).argmax())] == y for i, c, y in rows)
 
 
-def test_archives_round_trip(spark):
-    pages = spark.createDataFrame([(3, "http://a b", "x"), (1, "u", "x"), (2, None, None), (5, "u", ""), (9, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "x"), (7, "u", "y" * 300_000)], "page_id long, url string, html string")
-    import tempfile
-
-    folder = tempfile.mkdtemp() + "/w"
-    archives.convert(archives.pages_to_arc(pages.withColumn("filename", F.lit("clash"))), folder, "try_cast(filename as bigint)")
-    rows = {r.name: r for r in archives.read_warcs(spark, folder).collect()}
-    assert len(rows) == 7 and all(r.intact for r in rows.values())
-    for page, _, html in pages.collect():
-        body, r = (html or "").encode(), rows[str(page) if page is not None else "-"]
-        assert (r.payload_bytes, r.payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
-    assert {n: r.refers_to for n, r in rows.items() if r.record_type == "revisit"} == {"3": "1", "5": "2"}
+PAGES = [(3, "http://a b", "x"), (1, "u", "x"), (2, None, None), (5, "u", ""), (9, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "x"), (7, "u", "y" * 300_000), (3, "u", "unique"), (4, "v", "Z"), (4, "v", "Z"), (11, "u", "HTTP/1.1 200 OK\n\nno head")]
+
+
+def test_archives_round_trip(spark, monkeypatch, tmp_path):
+    """Repeated page ids, ties and nulls against a plain reading; every archive and file is cut several times."""
+    monkeypatch.setattr(archives, "ARCHIVE_BYTES", 200)
+    monkeypatch.setattr(archives, "WARC_BYTES", 100)
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    archives.convert(archives.pages_to_arc(pages.withColumn("filename", F.lit("clash"))), f"{tmp_path}/w", "try_cast(filename as bigint)")
+    rows = archives.read_warcs(spark, f"{tmp_path}/w").collect()
+    assert len(rows) == len(PAGES) == len({r.record_id for r in rows}) and all(r.intact for r in rows)
+    got = sorted((r.name, r.payload_digest, r.payload_bytes) for r in rows)
+    sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    assert got == sorted((str(p) if p is not None else "-", sha(t), len((t or "").encode())) for p, _, t in PAGES)
+    again = sorted((r.name, r.refers_to) for r in rows if r.record_type == "revisit")
+    assert again == [("-", "1"), ("3", "1"), ("4", "4"), ("5", "2")]
+    by_id = {r.record_id: r for r in rows}
+    for r in rows:
+        if r.refers_to_id:
+            assert (by_id[r.refers_to_id].record_type, by_id[r.refers_to_id].payload_digest) == ("response", r.payload_digest)
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_converter_keeps_bytes(spark, tmp_path, version):
+    """Payloads that aren't UTF-8, heads of records kept as they are, records without a head, gzip members."""
+    import gzip
+
+    head = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    bodies = [head + b"caf\xe9 \xff\x00\r\n\r\n", b"GIF89a\xff\xfe", b"", head, head + b"caf\xe9 \xff\x00\r\n\r\n"]
+    parts = [archives.arc_header(version), *[archives.arc_record(version, f"http://x/{k}", b, str(k)) for k, b in enumerate(bodies)]]
+    rows = [("a.arc", b"".join(parts)), ("b.arc.gz", b"".join(map(gzip.compress, parts))), ("c.arc", None), ("d.arc", b"")]
+    given = spark.createDataFrame(rows, "path string, content binary").withColumn("again", F.lit("clash"))
+    archives.convert(given, f"{tmp_path}/w", "position")
+    got = archives.read_warcs(spark, f"{tmp_path}/w").orderBy("url").collect()
+    assert len(got) == 10 and all(r.intact for r in got)
+    wanted = [archives.digest(archives.split_http(b)[1]) for b in bodies for _ in "ab"]
+    assert [r.payload_digest for r in got] == wanted
+    assert sum(r.record_type == "revisit" for r in got) == 10 - len(set(wanted))
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/w/part-*").collect()
+    blocks = [b for f in files for h, b in archives.read_warc(bytes(f.content)) if h["warc-type"] in ("response", "resource")]
+    assert sorted(blocks) == sorted([bodies[0], bodies[1], blocks[[len(b) for b in blocks].index(min(map(len, blocks)))]])
+    archives.convert(given.limit(0), f"{tmp_path}/none")
+    assert archives.read_warcs(spark, f"{tmp_path}/none").count() == 0
 
 
 @pytest.mark.parametrize("version", ["1", "2"])
