@@ -1,8 +1,12 @@
-"""Embedding near-dedup (operator 2): hierarchical navigable small-world graphs per shard, exact cosine, components."""
+"""Embedding near-dedup (operator 2): hierarchical navigable small-world graphs per shard, exact cosine, components.
+
+Vectors are dealt out in shards within their label. A shard's graph is built by inserting its vectors one batch
+after another: each finds its neighbours by searching the graph as it stands, its own batch besides. Every shard
+is queried by blocks of all vectors of its label. Searches of a batch run in step, so that NumPy does the work.
+"""
 
 from __future__ import annotations
 
-import heapq
 import io
 from collections.abc import Iterator
 
@@ -11,180 +15,259 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, runs, table
+from .common import connected_components, cut, hub_join, runs, table
 
 COSINE = 0.93
 #: Bytes of vectors in a shard, about (every shard is searched by all vectors of its label, so few large ones
 #: are better than many small ones), and queries in a block.
 SHARD_BYTES, BLOCK = 8 << 20, 4_000
-NEIGHBOURS, LEVEL = 16, 16
-#: Queries of each block audited by a full scan at first; how many with few links (at most FEW) the audit must
-#: hold, or else scan the whole block; the mean share of its links that a query must have found.
-AUDIT, EVIDENCE, FEW, RECALL = 64, 32, 8, 0.99
-BEAMS = (32, 64, 128, 256, 512, 1024, 4096)
+#: Ties that a vector makes at each level (it may hold twice as many at the lowest), the share of vectors that
+#: a level passes on, and the beam of an insertion.
+NEIGHBOURS, LEVEL, INSERT_BEAM = 12, 16, 32
+#: Vectors inserted, or queries searched, in step; beam members expanded at a time.
+STEP, EXPAND = 256, 6
+#: The audit of a block: probes at the threshold from random members, queries answered by a full scan besides,
+#: and the mean share of its links that either must find.
+PROBES, AUDIT, RECALL = 96, 96, 0.99
+BEAMS = (32, 64, 128, 256, 512)
+#: How far single precision may be from a cosine.
+_SLACK = 1e-5
+
+
+def _sorted_top(sims: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` best of each row, best first; ties by place."""
+    if sims.shape[1] > n:
+        at = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+        sims, ids = np.take_along_axis(sims, at, 1), np.take_along_axis(ids, at, 1)
+    at = np.argsort(-sims, axis=1, kind="stable")
+    return np.take_along_axis(sims, at, 1), np.take_along_axis(ids, at, 1)
 
 
 class Graph:
-    """A hierarchical small-world graph over unit vectors.
+    """A hierarchical small-world graph over unit vectors, built by insertion.
 
-    Level 0 holds every vector, each further one about a sixteenth of the last. In each level a vector is
-    tied to its nearest ones that are nearer to it than to a tie already made (so ties also lead out of a
-    dense group), then to the nearest of the rest; ties go both ways.
+    Level 0 holds every vector, each further one about a sixteenth of the last. In each level a new vector is
+    tied to those that its search found and that are nearer to it than to a tie already made (so ties also
+    lead out of a dense group), then to the nearest of the rest; ties go both ways, and a vector with too
+    many keeps some by the same rule.
     """
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, ties: list[np.ndarray] | None = None, members: list[np.ndarray] | None = None):
-        self.v, self.ids = vectors, ids
-        if ties is None:
-            members, ties = self._build()
-        self.members, self.ties = members, ties
-        self.place = []
-        for m in self.members:
-            at = np.full(len(self.v), -1, np.int64)
-            at[m] = np.arange(len(m))
-            self.place.append(at)
-
-    def _build(self):
-        n = len(self.v)
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, ties: list[np.ndarray] | None = None):
+        self.v, self.ids, self.x = vectors, ids, vectors.astype(np.float32)
+        n = len(ids)
         rank = np.random.default_rng(5).random(n)
-        members, ties, size = [], [], n
-        level = 0
-        while True:
-            m = np.flatnonzero(rank < LEVEL ** -float(level)) if level else np.arange(n)
-            if level and not len(m):
-                break
-            members.append(m)
-            ties.append(self._tie(m))
-            if len(m) <= LEVEL * 4:
+        height = np.minimum(np.floor(-np.log(np.maximum(rank, 1e-12)) / np.log(LEVEL)).astype(int), 8)
+        self.top = int(height.max()) if n else 0
+        self.entry = int(height.argmax()) if n else -1
+        if ties is not None:
+            self.ties = ties
+            return
+        # Level 0 has room for twice the ties. Upper levels keep a row for every vector, which is simple and small.
+        self.ties = [np.full((n, 2 * NEIGHBOURS if level == 0 else NEIGHBOURS), -1, np.int32) for level in range(self.top + 1)]
+        order = np.r_[self.entry, np.delete(np.arange(n), self.entry)] if n else np.zeros(0, int)
+        at, size = 1, 1
+        while at < n:
+            part = order[at : at + size]
+            self._insert(part, height[part])
+            at += len(part)
+            size = min(STEP, at)
+
+    def _insert(self, new: np.ndarray, height: np.ndarray) -> None:
+        q = self.x[new]
+        start = np.full((len(new), 1), self.entry, np.int64)
+        for level in range(self.top, -1, -1):
+            here = height >= level
+            sims, ids = self._beam(q, start, INSERT_BEAM if here.any() else 1, level)
+            start = ids[:, :1]
+            if not here.any():
+                continue
+            mine, q1 = new[here], q[here]
+            own = q1 @ q1.T
+            np.fill_diagonal(own, -np.inf)
+            sims = np.concatenate([sims[here], own], axis=1)
+            ids = np.concatenate([ids[here], np.broadcast_to(mine, own.shape)], axis=1)
+            self._tie(level, mine, *_sorted_top(sims, ids, INSERT_BEAM))
+
+    def _choose(self, sims: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+        """Which candidates (best first) become ties: the diverse ones, then the nearest of the rest."""
+        x = self.x[np.maximum(ids, 0)]
+        among = np.matmul(x, x.transpose(0, 2, 1))
+        kept = np.zeros(sims.shape, bool)
+        nearest = np.full(sims.shape, -np.inf, np.float32)  # to a tie already made
+        count = np.zeros(len(sims), int)
+        for j in range(sims.shape[1]):
+            ok = (sims[:, j] > nearest[:, j]) & (ids[:, j] >= 0) & np.isfinite(sims[:, j]) & (count < most)
+            kept[:, j] = ok
+            count += ok
+            nearest = np.where(ok[:, None], np.maximum(nearest, among[:, j, :]), nearest)
+        rest = ~kept & (ids >= 0) & np.isfinite(sims)
+        return kept | (rest & (np.cumsum(rest, axis=1) <= (most - count)[:, None]))
+
+    def _tie(self, level: int, mine: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
+        ties = self.ties[level]
+        kept = self._choose(sims, ids, NEIGHBOURS)
+        a, b = np.repeat(mine, kept.sum(axis=1)), ids[kept].astype(np.int64)
+        both = np.unique(np.concatenate([a * len(ties) + b, b * len(ties) + a]))
+        node, other = both // len(ties), both % len(ties)
+        touched, first, added = np.unique(node, return_index=True, return_counts=True)
+        old = ties[touched]
+        had = (old >= 0).sum(axis=1)
+        row = np.repeat(np.arange(len(touched)), added)
+        place = np.arange(len(node)) - np.repeat(first, added) + np.repeat(had, added)
+        wide = np.full((len(touched), max(int((had + added).max()), ties.shape[1])), -1, np.int64)
+        wide[:, : ties.shape[1]] = old
+        wide[row, place] = other
+        full = had + added > ties.shape[1]
+        ties[touched[~full]] = wide[~full, : ties.shape[1]]
+        for at in range(0, int(full.sum()), STEP):
+            some = np.flatnonzero(full)[at : at + STEP]
+            ids = wide[some]
+            sims = np.where(ids >= 0, np.einsum("ijk,ik->ij", self.x[np.maximum(ids, 0)], self.x[touched[some]]), -np.inf)
+            sims, ids = _sorted_top(sims, ids, 2 * ties.shape[1])
+            kept = self._choose(sims, ids, ties.shape[1])
+            new = np.full((len(some), ties.shape[1]), -1, np.int64)
+            r, c = np.nonzero(kept)
+            new[r, np.cumsum(kept, axis=1)[r, c] - 1] = ids[r, c]
+            ties[touched[some]] = new
+
+    def _beam(self, q: np.ndarray, start: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``width`` that a search from ``start`` (a row each) finds for each query, best first; -1 where fewer."""
+        n, ties = len(self.x), self.ties[level]
+        seen = np.zeros(len(q) * n, bool)
+        width = max(width, start.shape[1])
+        sims = np.full((len(q), width), -np.inf, np.float32)
+        ids = np.full((len(q), width), -1, np.int64)
+        done = np.ones((len(q), width), bool)
+        ids[:, : start.shape[1]] = start
+        sims[:, : start.shape[1]] = np.where(start >= 0, np.einsum("ijk,ik->ij", self.x[np.maximum(start, 0)], q), -np.inf)
+        done[:, : start.shape[1]] = start < 0
+        r, c = np.nonzero(start >= 0)
+        seen[r * n + start[r, c]] = True
+        active = np.arange(len(q))
+        few = min(EXPAND, width)
+        while len(active):
+            open_sims = np.where(done[active], -np.inf, sims[active])
+            pick = np.argpartition(-open_sims, few - 1, axis=1)[:, :few] if width > few else np.broadcast_to(np.arange(width), open_sims.shape)
+            live = np.isfinite(np.take_along_axis(open_sims, pick, 1))
+            going = live.any(axis=1)
+            active, pick, live = active[going], pick[going], live[going]
+            if not len(active):
                 break
-            level += 1
-        return members, ties
-
-    def _tie(self, m: np.ndarray) -> np.ndarray:
-        x, n, wide = self.v[m], len(m), min(4 * NEIGHBOURS, max(len(m) - 1, 0))
-        near = [[] for _ in range(n)]
-        for at in range(0, n, 512):
-            s = x[at : at + 512] @ x.T
-            s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
-            if not wide:
+            r, c = np.nonzero(live)
+            r, c = active[r], pick[r, c]
+            done[r, c] = True
+            near = ties[ids[r, c]]
+            ok = near >= 0
+            flat = (r[:, None] * n + near)[ok]
+            flat = np.sort(flat[~seen[flat]])
+            flat = flat[np.r_[True, flat[1:] != flat[:-1]]] if len(flat) else flat
+            seen[flat] = True
+            r, new = flat // n, flat % n
+            if not len(r):
                 continue
-            top = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
-            for k, c in enumerate(top):
-                own, among = s[k, c], x[c] @ x[c].T
-                kept: list[int] = []
-                for j in range(len(c)):
-                    if len(kept) == NEIGHBOURS:
-                        break
-                    if not kept or among[j, kept].max() < own[j]:
-                        kept.append(j)
-                rest = [j for j in range(len(c)) if j not in set(kept)]
-                kept += rest[: max(4, NEIGHBOURS - len(kept))]
-                near[at + k] = c[kept].tolist()
-        both = [set(a) for a in near]
-        for a, row in enumerate(near):
-            for b in row:
-                both[b].add(a)
-        widest = max(map(len, both), default=0)
-        out = np.full((n, max(1, widest)), -1, np.int32)
-        for a, row in enumerate(both):
-            out[a, : len(row)] = sorted(row)
-        return out
+            s = np.einsum("ij,ij->i", self.x[new], q[r])
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            rows, count = r[first], np.diff(np.r_[first, len(r)])
+            place = np.arange(len(r)) - np.repeat(first, count)
+            more_s = np.full((len(rows), int(count.max())), -np.inf, np.float32)
+            more_i = np.full(more_s.shape, -1, np.int64)
+            at = np.repeat(np.arange(len(rows)), count)
+            more_s[at, place], more_i[at, place] = s, new
+            all_s = np.concatenate([sims[rows], more_s], axis=1)
+            top = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
+            sims[rows] = np.take_along_axis(all_s, top, 1)
+            ids[rows] = np.take_along_axis(np.concatenate([ids[rows], more_i], axis=1), top, 1)
+            done[rows] = np.take_along_axis(np.concatenate([done[rows], more_i < 0], axis=1), top, 1)
+        return _sorted_top(sims, ids, width)
+
+    def nearest(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines in single precision and places of the ``width`` nearest that a beam of that width finds for each query."""
+        sims, ids = np.full((len(q), width), -np.inf, np.float32), np.full((len(q), width), -1, np.int64)
+        if len(self.x):
+            for at in range(0, len(q), STEP):
+                part = q[at : at + STEP].astype(np.float32)
+                start = np.full((len(part), 1), self.entry, np.int64)
+                for level in range(self.top, 0, -1):
+                    start = self._beam(part, start, 4, level)[1]
+                sims[at : at + STEP], ids[at : at + STEP] = self._beam(part, start, width, 0)
+        return sims, ids
 
     def pack(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, v=self.v, ids=self.ids, **{f"t{k}": t for k, t in enumerate(self.ties)}, **{f"m{k}": m for k, m in enumerate(self.members)})
+        np.savez(out, v=self.v, ids=self.ids, **{f"t{k}": t for k, t in enumerate(self.ties)})
         return out.getvalue()
 
     @classmethod
     def unpack(cls, raw: bytes) -> Graph:
         z = np.load(io.BytesIO(raw))
-        n = sum(1 for k in z.files if k.startswith("t"))
-        return cls(z["v"], z["ids"], [z[f"t{k}"] for k in range(n)], [z[f"m{k}"] for k in range(n)])
-
-    def _beam(self, q: np.ndarray, start: list[int], width: int, level: int, at_least: float) -> list[tuple[float, int]]:
-        """The best ``width`` found in a level, and all found with a similarity of ``at_least``."""
-        m, place, ties = self.members[level], self.place[level], self.ties[level]
-        seen = np.zeros(len(self.v), bool)
-        seen[start] = True
-        first = [(float(s), int(k)) for s, k in zip(self.v[start] @ q, start)]
-        todo = [(-s, k) for s, k in first]
-        heapq.heapify(todo)
-        best = sorted(first)[-width:]
-        heapq.heapify(best)
-        found = [(s, k) for s, k in first if s >= at_least]
-        while todo:
-            s, k = heapq.heappop(todo)
-            if -s < best[0][0] and len(best) >= width and -s < at_least:
-                break
-            t = ties[place[k]]
-            t = m[t[t >= 0]]
-            t = t[~seen[t]]
-            if not len(t):
-                continue
-            seen[t] = True
-            sims = self.v[t] @ q
-            low = best[0][0] if len(best) >= width else -2.0
-            for s2, k2 in zip(sims.tolist(), t.tolist()):
-                if s2 >= at_least:
-                    found.append((s2, k2))
-                if s2 > low or s2 >= at_least:
-                    heapq.heappush(todo, (-s2, k2))
-                    heapq.heappush(best, (s2, k2))
-                    if len(best) > width:
-                        heapq.heappop(best)
-                        low = best[0][0]
-        return found if level == 0 else best
-
-    def within(self, q: np.ndarray, width: int, at_least: float) -> np.ndarray:
-        """Places of vectors whose similarity to ``q`` is at least that, as far as a beam of ``width`` finds them."""
-        start = self.members[-1][:1].tolist() if len(self.members) == 1 else self.members[-1].tolist()
-        for level in range(len(self.members) - 1, 0, -1):
-            start = [k for _, k in self._beam(q, start, min(8, width), level, 2.0)]
-        return np.array(sorted(k for _, k in self._beam(q, start, width, 0, at_least)), np.int64)
-
-
-def search(graph: Graph, queries: np.ndarray, ids: np.ndarray, at_least: float) -> list[np.ndarray]:
-    """For each query the places in the graph that it links with, itself left out.
-
-    A sample of queries is answered by a full scan and doubles until EVIDENCE of them have one to FEW links
-    (those that a very large group can hide); a block that hasn't so many is scanned whole. The beam then
-    widens until the audited queries have found their share on average, those with few links and those
-    with more each by themselves; if the widest beam fails too, the block is scanned whole. Similarities
-    are double precision.
+        return cls(z["v"], z["ids"], [z[f"t{k}"] for k in range(len(z.files) - 2)])
+
+
+def probes(graph: Graph, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors just within the threshold of random members, and the members' places: links that are known."""
+    r = np.random.default_rng(13)
+    place = r.integers(0, len(graph.v), PROBES)
+    x = graph.v[place]
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    c = at_least + (1 - at_least) * 0.02
+    q = c * x + np.sqrt(1 - c * c) * side / np.where(length > 0, length, 1)
+    ok = length[:, 0] > 1e-9
+    return q[ok], place[ok]
+
+
+def _exact(graph: Graph, queries: np.ndarray, own: np.ndarray, at_least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Every link of every query, by products of blocks."""
+    for at in range(0, len(queries), 128):
+        link = (queries[at : at + 128] @ graph.v.T >= at_least) & (graph.ids[None, :] != own[at : at + 128][:, None])
+        for k, row in enumerate(link):
+            yield at + k, np.flatnonzero(row)
+
+
+def search(graph: Graph, queries: np.ndarray, own: np.ndarray, at_least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query, one at a time, the places in the graph that it links with, itself left out.
+
+    The beam widens until an audit passes: probes made within the threshold of random members must find their
+    member, and a sample of the queries, scanned in full, must find its links on average (each query that
+    has some counts the same). Queries whose whole beam is within the threshold lie in a dense group and are
+    scanned in full; so are all, if the widest beam fails. Links are checked in double precision.
     """
-    order = np.random.default_rng(7).permutation(len(queries))
-    known: dict[int, np.ndarray] = {}
-    size = min(AUDIT, len(queries))
-    while True:
-        _scan(graph, queries, ids, at_least, order[len(known) : size], known)
-        few = [k for k, t in known.items() if 0 < len(t) <= FEW]
-        if len(few) >= EVIDENCE or size == len(queries):
+    if len(graph.v) <= BEAMS[0]:
+        yield from _exact(graph, queries, own, at_least)
+        return
+    some = np.random.default_rng(7).permutation(len(queries))[:AUDIT]
+    truth = {int(some[k]): hit for k, hit in _exact(graph, queries[some], own[some], at_least)}
+    linked = [k for k in truth if len(truth[k])]
+    asked, member = probes(graph, at_least)
+    for width in BEAMS:
+        share = [1.0]
+        if len(asked):
+            ids = graph.nearest(asked, width)[1]
+            share.append(float((ids == member[:, None]).any(axis=1).mean()))
+        if linked:
+            sims, ids = graph.nearest(queries[linked], width)
+            got = [np.isin(truth[k], i).mean() if s[-1] < at_least + _SLACK else 1.0 for k, s, i in zip(linked, sims, ids)]
+            share.append(float(np.mean(got)))
+        if min(share) >= RECALL:
             break
-        size = min(2 * size, len(queries))
-    if size < len(queries):
-        strata = [few, [k for k, t in known.items() if len(t) > FEW]]
-        share = lambda k, width: len(np.intersect1d(graph.within(queries[k], width, at_least), known[k])) / len(known[k])
-        for width in BEAMS:
-            if all(np.mean([share(k, width) for k in s]) >= RECALL for s in strata if s):
-                break
-        else:
-            _scan(graph, queries, ids, at_least, order[size:], known)
-    out = []
-    for k, (q, own) in enumerate(zip(queries, ids)):
-        if k in known:
-            out.append(known[k])
-            continue
-        hit = graph.within(q, width, at_least)
-        out.append(hit[graph.ids[hit] != own])
-    return out
-
-
-def _scan(graph: Graph, queries: np.ndarray, ids: np.ndarray, at_least: float, which: np.ndarray, known: dict[int, np.ndarray]) -> None:
-    """Adds the exact answers of the queries ``which`` to ``known``, in blocks."""
-    for at in range(0, len(which), 128):
-        part = which[at : at + 128]
-        link = (queries[part] @ graph.v.T >= at_least) & (graph.ids[None, :] != ids[part][:, None])
-        known |= {int(k): np.flatnonzero(row) for k, row in zip(part, link)}
+    else:
+        yield from _exact(graph, queries, own, at_least)
+        return
+    for at in range(0, len(queries), 4 * STEP):
+        q, mine = queries[at : at + 4 * STEP], own[at : at + 4 * STEP]
+        sims, ids = graph.nearest(q, width)
+        dense = np.flatnonzero(sims[:, -1] >= at_least - _SLACK)
+        for k, hit in _exact(graph, q[dense], mine[dense], at_least):
+            yield at + int(dense[k]), hit
+        close = sims >= at_least - _SLACK
+        close[dense] = False
+        for k in np.flatnonzero(close.any(axis=1)):
+            hit = ids[k][close[k]]
+            hit = hit[(graph.v[hit] @ q[k] >= at_least) & (graph.ids[hit] != mine[k])]
+            if at + k in truth:
+                hit = truth[at + k]
+            yield at + int(k), np.sort(hit)
 
 
 def _stack(raw) -> np.ndarray:
@@ -200,12 +283,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     counts as a link of the others. ``component_id`` is the smallest id reachable, the row's own included;
     rows with null ids take part, and a component of nothing but null ids has a null id. Every label is
     dealt out in shards of about SHARD_BYTES, so a hot label is many tasks; every shard is queried by
-    blocks of all vectors of its label.
+    blocks of all vectors of its label. An empty table gives an empty one; other columns don't matter.
     """
     x = F.col(vector)
     ok = F.coalesce(x.isNotNull() & F.col(label).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(x, lambda e: e != 0), F.lit(False))
-    rows = cut(vectors.select(F.col(key).alias("_id"), F.col(label).alias("_label"), F.when(ok, F.transform(x, lambda e: e.cast("double") + F.lit(0.0))).alias("_x")))
-    classes = rows.where("_x is not null").groupBy("_label", "_x").agg(F.count("*").alias("_copies"), F.min("_id").alias("_first"))
+    rows = vectors.select(F.col(key).alias("_id"), F.col(label).alias("_label"), F.when(ok, F.transform(x, lambda e: e.cast("double") + F.lit(0.0))).alias("_x"))
+    # 128 bits of label and numbers stand for them
+    rows = cut(rows.withColumn("_key", F.struct(F.xxhash64(F.lit(1), "_label", "_x").alias("a"), F.xxhash64(F.lit(2), "_x", "_label").alias("b"))))
+    valid = rows.where("_x is not null")
+    classes = valid.groupBy("_key").agg(F.count("*").alias("_copies"), F.min("_id").alias("_first"), F.first("_label").alias("_label"), F.first("_x").alias("_x"))
     classes = classes.withColumn("_cell", F.concat_ws("/", F.col("_label").cast("string"), F.size("_x").cast("string")))
     classes = cut(classes.withColumn("_node", F.monotonically_increasing_id()))
     sizes = classes.groupBy("_cell").agg(F.count("*").alias("_m"), F.max(F.size("_x")).alias("_d"))
@@ -239,33 +325,33 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             graph = Graph.unpack(g.loc[index, "_v"].iloc[0])
             copies = np.frombuffer(g.loc[index, "_n"].iloc[0], "<i8")
             g = g[~index].sort_values("_node")
-            ids = g["_node"].to_numpy()
-            hits = search(graph, _stack(g["_v"]), ids, at_least)
-            up: dict[int, int] = {}
-
-            def top(a: int) -> int:
-                while (b := up.get(a, a)) != a:
-                    up[a] = a = up.get(b, b)
-                return a
-
-            for q, hit in zip(ids.tolist(), hits):
-                for other in graph.ids[hit].tolist():
-                    a, b = top(q), top(other)
-                    if a != b:
-                        up[max(a, b)] = min(a, b)
-            links = pd.DataFrame({"_node": ids, "_links": [int(copies[h].sum()) for h in hits]})
-            ties = pd.DataFrame({"_node": list(up), "_low": [top(a) for a in up]}, dtype="int64")
-            yield pd.concat([links[links["_links"] > 0].assign(_low=pd.array([None] * int((links["_links"] > 0).sum()), "Int64")), ties.assign(_links=0)[["_node", "_links", "_low"]].astype({"_low": "Int64"})])
+            own = g["_node"].to_numpy()
+            links = np.zeros(len(own), np.int64)
+            # the smallest node of each place's component so far; queries are tied to that of their links
+            low, of_query = graph.ids.copy(), own.copy()
+            for k, hit in search(graph, _stack(g["_v"]), own, at_least):
+                if not len(hit):
+                    continue
+                links[k] = copies[hit].sum()
+                met = np.unique(low[hit])
+                of_query[k] = met[0]
+                if len(met) > 1:
+                    low[np.isin(low, met[1:])] = met[0]
+            ties = pd.DataFrame({"_node": np.r_[graph.ids, own[links > 0]], "_low": np.r_[low, of_query[links > 0]], "_links": 0})
+            counts = pd.DataFrame({"_node": own, "_links": links})[links > 0].assign(_low=pd.array([None] * int((links > 0).sum()), "Int64"))
+            yield pd.concat([counts, ties[ties["_node"] != ties["_low"]].astype({"_low": "Int64"})])[["_node", "_links", "_low"]]
 
     found = cut(units.repartition("_unit").sortWithinPartitions("_unit", "_node").mapInPandas(ask, "_node long, _links long, _low long"))
     links = found.groupBy("_node").agg(F.sum("_links").alias("_links"))
     low = connected_components(found.select(F.col("_node").alias("a"), F.col("_low").alias("b")))
-    judged = classes.drop("_cell").join(links, "_node", "left").join(low.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
-    first = judged.groupBy("root").agg(F.min("_first").alias("component_id"))
-    judged = judged.join(first, "root").select(F.col("_label").alias("_l"), F.col("_x").alias("_y"), "component_id", (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
-    out = rows.join(judged, (F.col("_label") == F.col("_l")) & (F.col("_x") == F.col("_y")), "left")
-    out = out.withColumn("component_id", F.when(F.col("_x").isNull(), F.col("_id")).otherwise(F.col("component_id")))
-    return out.select(F.col("_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    judged = classes.select("_key", "_node", "_copies", "_first").join(links, "_node", "left").join(low.select(F.col("node").alias("_node"), "root"), "_node", "left")
+    judged = cut(judged.withColumn("root", F.coalesce("root", "_node")))
+    first = judged.groupBy("root").agg(F.min("_first").alias("component_id"), F.count("*").alias("_m"))
+    judged = hub_join(judged, first, "root", "_m", judged.count())
+    judged = judged.select("_key", "component_id", "_copies", (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).cast("long").alias("n_links"))
+    out = hub_join(valid.select("_id", "_key"), judged, "_key", "_copies", valid.count()).select("_id", "n_links", "component_id")
+    out = out.unionByName(rows.where("_x is null").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id")))
+    return out.select(F.col("_id").alias(key), "n_links", "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

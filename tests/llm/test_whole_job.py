@@ -40,7 +40,7 @@ def test_keep_one_goes_by_component(spark):
 
 
 @pytest.mark.parametrize("group", [0, 1500])
-def test_search_without_evidence_is_exact(monkeypatch, group):
+def test_search_finds_rare_links(monkeypatch, group):
     """A few pairs among vectors without links, alone and beside a large group that the graph finds easily."""
     r = np.random.default_rng(3)
     x = r.normal(size=(2000, 48))
@@ -49,12 +49,16 @@ def test_search_without_evidence_is_exact(monkeypatch, group):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids = np.arange(2000)
     graph = vectors.Graph(x, ids)
-    monkeypatch.setattr(graph, "within", lambda q, width, at_least: np.flatnonzero(x[:group] @ q >= at_least))
-    hits = vectors.search(graph, x, ids, 0.93)
+    hide = np.arange(2000) >= 1000  # a search that never finds the second half: probes tell
+    nearest = graph.nearest
+    monkeypatch.setattr(graph, "nearest", lambda q, width: (lambda s, i: (np.where(hide[i], -1, s), np.where(hide[i], -1, i)))(*nearest(q, width)))
     truth = x @ x.T >= 0.93
     np.fill_diagonal(truth, False)
     assert truth[1990:].sum() == 10
-    assert all(np.array_equal(h, np.flatnonzero(t)) for h, t in zip(hits, truth))
+    for blind in (True, False):
+        hits = dict(vectors.search(graph, x, ids, 0.93))
+        assert all(np.array_equal(hits.get(k, []), np.flatnonzero(t)) for k, t in enumerate(truth)), blind
+        monkeypatch.undo()
 
 
 def test_search_falls_back_when_the_audit_fails(monkeypatch):
@@ -62,5 +66,6 @@ def test_search_falls_back_when_the_audit_fails(monkeypatch):
     x = np.repeat(r.normal(size=(500, 24)), 2, axis=0) + r.normal(size=(1000, 24)) * 0.001
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = vectors.Graph(x, np.arange(1000))
-    monkeypatch.setattr(graph, "within", lambda *a: np.zeros(0, np.int64))
-    assert [h.tolist() for h in vectors.search(graph, x, np.arange(1000), 0.93)] == [[k ^ 1] for k in range(1000)]
+    monkeypatch.setattr(graph, "nearest", lambda q, width: (np.full((len(q), width), -1.0), np.full((len(q), width), -1)))
+    hits = dict(vectors.search(graph, x, np.arange(1000), 0.93))
+    assert [hits[k].tolist() for k in range(1000)] == [[k ^ 1] for k in range(1000)]
