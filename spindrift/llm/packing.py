@@ -1,4 +1,9 @@
-"""Lexical retrieval packing (operator 8): fixed windows filled with the seed's BM25 neighbours."""
+"""Lexical retrieval packing (operator 8): fixed windows filled with the seed's BM25 neighbours.
+
+Documents are brought into lexical order (by the tokens that weigh most in them) before they are dealt out in
+shards, so that those with the same rare words lie in one shard. A shard is a stretch of that order, hence its
+neighbours don't depend on how files were laid out, and many documents with one key are simply several shards.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +23,8 @@ WINDOW = 2048
 END = 1
 #: Tokens (without full windows) after which a shard's index is built and packed; bounds a task's memory.
 SHARD_TOKENS = 2_000_000
+#: Tokens that place a document in the lexical order.
+ORDER_TERMS = 4
 K1, B = 1.2, 0.75
 
 _ENCODERS: dict[str, Callable[[str | None], bytes]] = {}
@@ -110,17 +117,17 @@ class Shard:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length) that hold each token of ``docs`` once.
+def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (document, start in its rest, length) that hold each token of ``rests`` once.
 
-    Full windows of a long document stand alone. Each rest, longest first, seeds a sequence that its best
-    unused neighbours fill; the last one taken is cut to fit and what is left of it stays unused. Only the
-    last sequence can be short: it is cut into lengths that are powers of two.
+    Each rest, longest first, seeds a sequence that its best unused neighbours fill; the last one taken is cut
+    to fit and what is left of it stays unused. Only the last sequence can be short: it is cut into lengths
+    that are powers of two.
     """
-    out = [[(k, w * window, window)] for k, x in enumerate(docs) for w in range(len(x) // window)]
-    start = np.array([len(x) // window * window for x in docs], np.int64)
-    left = np.array([len(x) for x in docs], np.int64) - start
-    index = Shard([x[s:] for x, s in zip(docs, start)], idf, mean)
+    out: list[list[tuple[int, int, int]]] = []
+    start = np.zeros(len(rests), np.int64)
+    left = np.array([len(x) for x in rests], np.int64)
+    index = Shard(rests, idf, mean)
     order = np.argsort(-left, kind="stable")
     short: list[tuple[int, int, int]] = []
     at = 0
@@ -174,14 +181,37 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def lexical_place(x: np.ndarray, idf: np.ndarray, mean: float) -> bytes:
+    """A document's place in the lexical order: its tokens of the greatest BM25 weight, then a hash of all."""
+    t, tf = np.unique(x, return_counts=True)
+    w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / max(mean, 1.0)))
+    top = np.argsort(-w, kind="stable")[:ORDER_TERMS]
+    return t[top].astype(">u2").tobytes().ljust(2 * ORDER_TERMS, b"\0") + zlib.crc32(x.tobytes()).to_bytes(4, "big")
+
+
+def lexical_order(ids: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
+    """``ids`` dealt out and sorted by lexical place; the rest of the order is by content and key, so it is repeatable."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = [lexical_place(np.frombuffer(raw.as_buffer(), "<u2"), idf, mean) for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.binary())], names=["_key", "ids", "_place"])
+
+    kind = ids.schema[0].dataType.simpleString()
+    out = ids.mapInArrow(placed, f"_key {kind}, ids binary, _place binary")
+    return out.repartitionByRange("_place", "_key").sortWithinPartitions("_place", "_key").select("_key", "ids")
+
+
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: ``key``, then ``start, length, ids_crc32, doc_tokens, sequence_id, offset`` (long).
 
-    Ids are written once to the shared folder; document frequencies are counted over all of them. A shard is
-    a stretch of one input partition of about ``shard_tokens`` tokens, indexed and packed by the task that
-    reads it, so nothing is gathered by key and a hot source costs nothing extra. Sequence ids combine
-    partition and place: unique, and the same when a lost task runs again. Null and empty texts are the end
-    id alone; each repeated row is a document of its own; null keys stay null; an empty table has no pieces.
+    Ids are written once to the shared folder; document frequencies are counted over all of them. Ranges of the
+    lexical order are dealt to tasks (however many documents share a place), and each stretch of about
+    ``shard_tokens`` tokens is indexed and packed by itself; full windows of a long document stand alone and
+    leave at once. Neighbours across the ends of a shard aren't found. Sequence ids combine partition and
+    place: unique, and the same when a lost task runs again. Null and empty texts are the end id alone; each
+    repeated row is a document of its own; null keys stay null; an empty table has no pieces; other columns
+    don't matter.
     """
     ids = cut(token_ids(docs, key, text))
     df, n, mean = document_frequencies(ids)
@@ -189,37 +219,51 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     kind = ids.schema[0].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, size = [], [], 0
         next_id = TaskContext.get().partitionId() << 36
         key_type = None
+        held: list[tuple] = []  # key, start of the rest, the rest, tokens of the whole
+        rows: list[tuple] = []
+        size = 0
 
-        def flush() -> pa.RecordBatch:
+        def emit(pieces: list[tuple]) -> None:
             nonlocal next_id
-            rows: list[list] = [[] for _ in range(7)]
-            for pieces in pack_shard(held, idf, mean, window):
-                offset = 0
-                for k, s, m in pieces:
-                    crc = zlib.crc32(held[k][s : s + m].astype("<u4").tobytes())
-                    for column, v in zip(rows, (keys[k], s, m, crc, len(held[k]), next_id, offset)):
-                        column.append(v)
-                    offset += m
-                next_id += 1
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], key_type), *[pa.array(r, pa.int64()) for r in rows[1:]]], names=["_key", *PIECE])
+            offset = 0
+            for k, s, x, whole in pieces:
+                rows.append((k, s, len(x), zlib.crc32(x.astype("<u4").tobytes()), whole, next_id, offset))
+                offset += len(x)
+            next_id += 1
+
+        def flush() -> None:
+            for pieces in pack_shard([x for _, _, x, _ in held], idf, mean, window):
+                emit([(held[d][0], held[d][1] + s, held[d][2][s : s + m], held[d][3]) for d, s, m in pieces])
+            held.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 7
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["_key", *PIECE])
 
         for batch in batches:
             key_type = batch.column(0).type
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(raw, "<u2")
-                keys.append(k)
-                held.append(x)
-                size += len(x) % window
-                if size >= shard_tokens or sum(map(len, held[-1:])) > shard_tokens:
-                    yield flush()
-                    keys, held, size = [], [], 0
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(raw.as_buffer(), "<u2")
+                whole = len(x) // window * window
+                for s in range(0, whole, window):
+                    emit([(k, s, x[s : s + window], len(x))])
+                if len(x) > whole:
+                    held.append((k, whole, x[whole:].copy(), len(x)))
+                    size += len(x) - whole
+                if size >= shard_tokens:
+                    flush()
+                    size = 0
+                if len(rows) >= 10_000:
+                    yield batch_of()
         if held:
-            yield flush()
+            flush()
+        if rows:
+            yield batch_of()
 
-    out = ids.mapInArrow(place, f"_key {kind}, " + ", ".join(f"{c} long" for c in PIECE))
+    out = lexical_order(ids, idf, mean).mapInArrow(place, f"_key {kind}, " + ", ".join(f"{c} long" for c in PIECE))
     return out.withColumnRenamed("_key", key)
 
 
