@@ -42,7 +42,7 @@ def _windows(df: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """Distinct windows of all items: ``_size, _text`` (words joined by spaces), ``_fp``, ``_items``."""
+    """The windows of all items: ``_size, _text`` (words joined by spaces), ``_fp``, ``_item``."""
     words = words_of(F.translate(F.col(text), _UPPER, _LOWER))
     b = benchmark.select(F.col(item).cast("string").alias("_item"), words.alias("_words")).where(F.size("_words") > 0)
     b = _windows(b, list(range(1, WINDOW)))
@@ -52,13 +52,13 @@ def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     fp = F.when(F.col("_n") >= WINDOW, F.get("_min", F.col("_i")))
     for k in range(1, WINDOW):
         fp = fp.when(F.col("_n") == k, F.get(f"_s{k}", F.lit(0)))
-    b = b.select("_item", size.alias("_size"), F.array_join(F.slice("_words", F.col("_i") + 1, size), " ").alias("_text"), fp.alias("_fp"))
-    return b.groupBy("_size", "_text", "_fp").agg(F.sort_array(F.collect_set("_item")).alias("_items"))
+    return b.select("_item", size.alias("_size"), F.array_join(F.slice("_words", F.col("_i") + 1, size), " ").alias("_text"), fp.alias("_fp")).distinct()
 
 
 def hits_by_text(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str) -> DataFrame:
     """``_key`` (md5 of the text), ``n_hit``, ``items`` for each distinct text that holds an item's window."""
-    windows = cut(item_windows(benchmark, item, item_text))
+    held = cut(item_windows(benchmark, item, item_text))
+    windows = cut(held.select("_size", "_text", "_fp").distinct().withColumn("_w", F.monotonically_increasing_id()))
     short = sorted(r[0] for r in windows.where(F.col("_size") < WINDOW).select("_size").distinct().collect())  # nine at most
     base = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("_key"), F.col(text).alias("_t"))
     prints = _windows(base.select("_key", words_of(F.col("_t")).alias("_words")), short)
@@ -66,7 +66,7 @@ def hits_by_text(docs: DataFrame, benchmark: DataFrame, text: str, item: str, it
     wanted = checked_broadcast(cut(windows.select("_fp").distinct()), 2_000_000)
     met = prints.select("_key", F.explode(every).alias("_fp")).join(wanted, "_fp").groupBy("_key").agg(F.collect_set("_fp").alias("_fps"))
     near = checked_broadcast(cut(met))
-    again = base.join(near, "_key").select("_key", "_fps", words_of(F.translate("_t", _UPPER, _LOWER)).alias("_words"))
+    again = base.join(near, "_key").dropDuplicates(["_key"]).select("_key", "_fps", words_of(F.translate("_t", _UPPER, _LOWER)).alias("_words"))
     again = _windows(again, short)
 
     def matched(column: str, size: int) -> Column:
@@ -77,10 +77,13 @@ def hits_by_text(docs: DataFrame, benchmark: DataFrame, text: str, item: str, it
     spots = F.concat(matched("_min", WINDOW), *[matched(f"_s{k}", k) for k in short])
     spots = again.select("_key", "_words", F.explode(spots).alias("_s"))
     spots = spots.select("_key", F.col("_s.at").alias("_at"), F.col("_s.size").alias("_size"), F.array_join(F.slice("_words", F.col("_s.at") + 1, F.col("_s.size")), " ").alias("_text"))
-    hits = spots.join(checked_broadcast(windows.drop("_fp")), ["_size", "_text"])
-    whole = hits.groupBy("_key").agg(F.collect_set(F.struct("_at", "_size")).alias("_spots"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("items"))
+    hits = cut(spots.join(checked_broadcast(windows.drop("_fp")), ["_size", "_text"]).select("_key", "_at", "_size", "_w"))
+    whole = hits.groupBy("_key").agg(F.collect_set(F.struct("_at", "_size")).alias("_spots"))
     covered = F.array_distinct(F.flatten(F.transform("_spots", lambda s: F.sequence(s["_at"], s["_at"] + s["_size"] - 1))))
-    return whole.select("_key", F.size(covered).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
+    # items are looked up by window once texts are distinct, so a window that very many items share isn't multiplied by its hits
+    holders = cut(held.join(windows, ["_size", "_text", "_fp"]).select("_w", "_item"))
+    items = hits.select("_key", "_w").distinct().join(checked_broadcast(holders), "_w").groupBy("_key").agg(F.sort_array(F.collect_set("_item")).alias("items"))
+    return whole.select("_key", F.size(covered).cast("long").alias("n_hit")).join(items, "_key", "left")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -89,9 +92,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     A window is 10 words of an item in a row, or all words of a shorter item; a word of a document inside
     any occurrence of a window is hit. Null and wordless texts have no words and aren't contaminated; null
     or wordless items match nothing; an item with a null id hits words but isn't listed. Rows are judged by
-    their text, so repeated rows get equal results and copies are searched once. Earlier columns with these
-    names are replaced. Nothing is broadcast unchecked: small lists of fingerprints, matched texts and
-    windows are, larger ones shuffle.
+    their text, so repeated rows get equal results; copies are fingerprinted each and extended once. Empty
+    tables on either side are fine; texts are searched whole, however long. Earlier columns with these names
+    are replaced. Nothing is broadcast unchecked: small lists of fingerprints, matched texts and windows are,
+    larger ones shuffle.
     """
     base = boxed(docs, _text=text)
     hits = checked_broadcast(cut(hits_by_text(docs, benchmark, text, item, item_text)))
