@@ -18,9 +18,10 @@ from .common import boxed, table, unboxed, without
 
 #: Hashed n-grams of 1 to 3 characters.
 FEATURES = 1 << 15
-#: The bound of the training sample: so many rows of each label, about.
-PER_LABEL = 1_500
-#: More labels than this is an error: the model has FEATURES x labels weights.
+#: The bound of the training sample: so many distinct texts of each label, about, and so many in all; a text is
+#: FEATURES numbers at most.
+PER_LABEL, SAMPLE = 1_500, 20_000
+#: Labels learned at most, the most frequent ones (ties by name): the model has FEATURES x labels weights.
 MOST_LABELS = 500
 UNKNOWN = "und"
 _CHUNK = 1 << 20
@@ -122,13 +123,14 @@ def fit_language(labelled: DataFrame, text: str = "text", label: str = "lang", p
     """A model from rows with a non-null label. No labelled row gives a model that always answers ``und``.
 
     Two scans: document frequencies of all rows (a vector of FEATURES sums, so what reaches the driver
-    doesn't grow with the data), and the features of about ``per_label`` rows of each label, gathered in
-    one training task.
+    doesn't grow with the data), and the features of about ``per_label`` distinct texts of each label (fewer
+    if there are many labels), chosen by their hashes and gathered in one training task. The model depends
+    on the rows alone, not on their order or files. Null texts and labels teach nothing; repeated texts
+    count each time in the frequencies and once in the sample; texts are read whole, however long.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).where("label is not null and text is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
-    if len(sizes) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
+    per_label = min(per_label, SAMPLE // max(1, len(sizes)))
     if not sizes:
         return Model([], np.ones(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0))
 
@@ -156,7 +158,8 @@ def fit_language(labelled: DataFrame, text: str = "text", label: str = "lang", p
         yield pd.DataFrame({"labels": [m.labels], "weights": [m.weights.astype("<f8").tobytes()], "bias": [m.bias.astype("<f8").tobytes()], "t": [m.temperature]})
 
     rate = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_label / v)))])
-    sample = rows.where(F.rand(seed) < F.element_at(rate, F.col("label"))).withColumn("o", F.xxhash64("text"))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / (1 << 30) < F.element_at(rate, F.col("label"))
+    sample = rows.where(drawn).withColumn("o", F.xxhash64("text")).dropDuplicates(["label", "o"])
     out = sample.mapInPandas(features, "label string, o long, i binary, c binary").repartition(1).mapInPandas(fit, "labels array<string>, weights binary, bias binary, t double").first()
     if out is None or not out["labels"]:
         return Model([], idf, np.zeros((FEATURES, 0)), np.zeros(0))
@@ -167,8 +170,9 @@ def fit_language(labelled: DataFrame, text: str = "text", label: str = "lang", p
 def predict_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, from the whole text alone. Map-only.
 
-    Null texts and texts without a letter are ``und`` with score 0. Repeated rows get equal answers; earlier
-    columns with these names are replaced.
+    Null texts and texts without a letter are ``und`` with score 0. Repeated rows get equal answers; very long
+    texts are read whole, in stretches; an empty table gives an empty one; ties go to the first label by name;
+    earlier columns with these names are replaced.
     """
 
     def predict(texts: pd.Series) -> pd.DataFrame:
