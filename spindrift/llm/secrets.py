@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokens import VOCABULARY, load_ranks, tokenizer_path
 
 # The base patterns. Keywords match in either case of A-Z only.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -24,7 +25,7 @@ CONTEXT = re.compile(
 )
 #: A value that needs 10**9 guesses or more counts as a secret.
 GUESSES = 9.0
-#: Words that guessing programs try first, most common first.
+#: Words that guessing programs try first, most common first; the words of a vocabulary follow by rank.
 COMMON = """password admin welcome login letmein qwerty dragon master monkey shadow sunshine princess football baseball
 superman batman trustno secret access hello freedom whatever changeme default guest root user test demo example sample
 token key name value none null true false public private server client system network internet computer service account
@@ -34,13 +35,30 @@ january february march april may june july august september october november dec
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:])}
 _LEET = str.maketrans("013457$@", "oieastsa")
-_DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+#: Dates: year first or last, in full or two digits, with or without separators; then years. Guesses as log10.
+_D, _M, _Y = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d"
+_DATES = tuple(
+    (re.compile(p), cost)
+    for p, cost in (
+        (rf"{_Y}([-/._]?){_M}\1{_D}", 4.7), (rf"{_D}([-/._]?){_M}\1{_Y}", 4.7), (rf"{_M}([-/._]?){_D}\1{_Y}", 4.7),
+        (r"[1-9]\d?([-/._])[1-9]\d?\1(?:19|20)?\d\d", 4.7), (rf"\d\d{_M}{_D}", 4.6), (rf"{_D}{_M}\d\d", 4.6), (_Y, 2.1),
+    )
+)
 LONGEST_WORD = 24
 
 
 @lru_cache(1)
-def common_words() -> dict[str, float]:
-    return {w: log10(k + 2) for k, w in enumerate(COMMON)}
+def common_words(vocabulary: str = VOCABULARY) -> dict[str, float]:
+    """log10 of a word's rank: the common ones, then the words of a public byte-pair vocabulary, which learns the
+    most frequent first. As large as the vocabulary."""
+    ranked = (raw.decode("ascii", "ignore").strip().lower() for raw in load_ranks(tokenizer_path(f"{vocabulary}.tiktoken")))
+    words = dict.fromkeys([*COMMON, *(w for w in ranked if len(w) >= 3 and w.isalpha())])
+    return {w: log10(k + 2) for k, w in enumerate(words)}
+
+
+def dates_at(value: str, i: int) -> list[tuple[int, float]]:
+    """Ends and costs of the dates that start at ``i``."""
+    return [(m.end(), cost) for p, cost in _DATES if (m := p.match(value, i))]
 
 
 def guess_cost(value: str, words: dict[str, float]) -> float:
@@ -53,10 +71,6 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [float("inf")] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if m := _DATE.match(value, i):
-            dates.setdefault(i, []).append(m.end())
     longest = min(LONGEST_WORD, max(map(len, words), default=0))
     same_to, walk_to = list(range(1, n + 1)), list(range(1, n + 1))
     for i in range(n - 2, -1, -1):
@@ -75,8 +89,8 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
         if walk_to[i] - i >= 3:
             j = walk_to[i]
             best[j] = min(best[j], here + log10(72 * (j - i)) + 0.3)
-        for j in dates.get(i, ()):
-            best[j] = min(best[j], here + (4.7 if j - i > 4 else 2.1) + 0.3)
+        for j, cost in dates_at(value, i) if c.isdigit() else ():
+            best[j] = min(best[j], here + cost + 0.3)
         for j in range(i + 3, min(n, i + longest) + 1):
             cost = words.get(low[i:j])
             if cost is None and (cost := words.get(plain[i:j])) is not None:
@@ -92,18 +106,11 @@ def spans_of(text: str, threshold: float = GUESSES) -> list[tuple[str, int, int]
     found = []
     if ":" in text or "=" in text:
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        words: dict[str, float] = {}
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}")
             if len(value) < 6:
                 continue
-            if not words:  # words that this very text uses more than once are cheap to guess
-                own = [w for w in re.findall(r"[^\W\d_]{3,24}", text.lower())]
-                seen, twice = set(), set()
-                for w in own:
-                    (twice if w in seen else seen).add(w)
-                words = {w: log10(len(seen) + 100) for w in twice} | common_words()
-            if guess_cost(value, words) >= threshold:
+            if guess_cost(value, common_words()) >= threshold:
                 found.append(("guess", m.start(1), m.start(1) + len(value)))
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
@@ -121,8 +128,9 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Kinds ``assign``, ``access`` and ``hex`` follow fixed patterns; ``guess`` marks a value in a
     credential context whose cheapest segmentation (words, dates, repeats, keyboard walks, brute force)
-    takes 10**9 guesses or more. Spans of different kinds may overlap. Null and empty texts give an empty
-    array; an earlier ``secrets`` column is replaced; repeated rows and null keys stay. Map-only: no shuffle.
+    takes 10**9 guesses or more, however often the text repeats it. Spans of different kinds may overlap.
+    Null and empty texts give an empty array, an empty table an empty one; texts are scanned whole, however
+    long; an earlier ``secrets`` column is replaced; repeated rows and null keys stay. Map-only: no shuffle.
     """
     return docs.withColumn("secrets", F.pandas_udf(_spans, "array<struct<kind:string,start:int,end:int>>")(F.col(text)))
 

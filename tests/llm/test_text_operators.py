@@ -121,11 +121,16 @@ def test_secret_spans(spark, odd):
     assert [s for s in spans if s[0] == "assign"] == base
     guessed = {text[a:b] for k, a, b in spans if k == "guess"}
     assert "zq9Xv7Lp2Rt5" in guessed and "aaaaaaaa" not in guessed and "Summer2024" not in guessed
+    for n in (1, 2, 3):
+        assert [k for k, *_ in secrets.spans_of("password: zqmvtrxkwpl " * n)].count("guess") == n
+    long = "words and more of them " * 50_000 + "pwd=9fK2#vQx7!mZ"
+    assert secrets.spans_of(long) == [("guess", len(long) - 12, len(long))]
+    assert not [s for s in secrets.spans_of("password: correcthorse passwd=12.03.1980 pwd: 3/4/1985x") if s[0] == "guess"]
     assert secrets.spans_of("") == [] and secrets.find_secrets(odd).count() == len(ODD)
     assert secrets.find_secrets(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("value", ["password", "qwertyuiop", "20240131", "aaaa1111", "Dragon99", "kX8#q!v2"])
+@pytest.mark.parametrize("value", ["password", "qwertyuiop", "20240131", "aaaa1111", "Dragon99", "kX8#q!v2", "31.12.85x", "tr0ub4dor&3", "1234851224"])
 def test_guess_cost_is_the_cheapest_segmentation(value):
     """Against a plain recursion over all segmentations."""
     words = secrets.common_words()
@@ -152,8 +157,7 @@ def test_guess_cost_is_the_cheapest_segmentation(value):
             for extra, form in ((0.0, low), (0.6, low.translate(secrets._LEET))):
                 if len(part) >= 3 and form in words and not (extra and low in words):
                     out.append(words[form] + extra + 0.3 * (low != part) + 0.3 + best(j))
-        if m := secrets._DATE.match(value, i):
-            out.append((4.7 if m.end() - i > 4 else 2.1) + 0.3 + best(m.end()))
+        out += [cost + 0.3 + best(j) for j, cost in secrets.dates_at(value, i)]
         return min(out)
 
     assert secrets.guess_cost(value, words) == pytest.approx(best(0))
