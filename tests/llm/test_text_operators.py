@@ -304,31 +304,59 @@ PII_ROWS = [
 
 def test_pii_surrogates(spark):
     d = spark.createDataFrame(PII_ROWS, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_pii", "_key", "_found", "_new", "_row")})
-    rows = pii.pseudonymise(d).collect()
+    rows = pii.pseudonymise(d, "k").collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == len(PII_ROWS) and got[3].text is None and got[4].text == "" and got[6].text == PII_ROWS[5][1]
     mail = re.findall(r"\S+@\S+\.com", got[1].text)
     assert mail[0].lower() == mail[1].lower() == got[7].text and mail[0].lower() != "a.b@mail7.example.com" and mail[0].split(".")[1][0].isupper()
     phones = re.findall(r"\+1 \(\d{3}\) ?\d{3}-\d{4}", got[2].text)
     assert len(phones) == 2 and phones[0].replace(" ", "") == phones[1].replace(" ", "") and "7713" not in got[2].text
+    luhn = lambda n: sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(n))) % 10
+    assert luhn(re.search(r"\b\d{16}\b", got[2].text)[0]) == luhn("4929348385146306")
     assert re.search(r"\b\d{16}\b", got[2].text) and re.search(r"\b\d{3}-\d{2}-\d{4}\b", got[2].text)
     frau, herr = re.search(r"Frau (\w+) (\w+)", got[5].text), re.search(r"Herr (\w+)", got[5].text)
-    assert frau[2] == herr[1] != "Müller" and frau[1].endswith("a") and re.search(r"Г-н [А-Я][а-я]+", got[5].text)
+    assert frau[2] == herr[1] != "Müller" and frau[1] != "Anna" and frau[1] in pii.GIVEN[0] and re.search(r"Г-н [А-Я][а-я]+", got[5].text)
     assert got[None].n_pii == 5000 and len(set(got[None].text.split())) == 1
-    assert pii.pseudonymise(d.limit(0)).count() == 0
+    assert pii.pseudonymise(d.limit(0), "k").count() == 0
 
 
 def test_pii_surrogates_stay_distinct(spark):
     """So many short addresses that first attempts must collide."""
     mails = [f"{a}{b}@q.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
     d = spark.createDataFrame([(k, m) for k, m in enumerate(mails)], "doc_id long, text string")
-    got = [r.text for r in pii.pseudonymise(d).collect()]
+    got = [r.text for r in pii.pseudonymise(d, "k").collect()]
     assert len(set(got)) == len(mails) and not set(got) & set(mails)
 
 
+def test_pii_mentions_without_titles(spark):
+    """The names, phones, dates and account numbers that a title or a bracket doesn't announce."""
+    rows = [(1, "Frau Anna Müller met Herr Müller; later Anna Müller again, born 12.03.1980, +49 171 5550123 or 555 123 4567"), (2, "When Anna Müller left, Xaver Huber and Robert Quandt stayed."), (3, "Dr Xaver Huber, DOB: 1980-03-12. IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432"), (4, "Mr Bo Li and Bo Li, geboren am 3/4/1985"), (5, "New York and General Public License 12.03.1980")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    frau = re.search(r"Frau (\w+ (\w+)) met Herr (\w+); later (\w+ \w+) again, born (\d\d\.\d\d\.\d{4}), (\+49 \d{3} \d{7}) or (\d{3} \d{3} \d{4})$", got[1].text)
+    assert frau and frau[1] == frau[4] != "Anna Müller" and frau[2] == frau[3] and frau[1].split()[0] in pii.GIVEN[0]
+    assert frau[5] != "12.03.1980" and frau[6] != "+49 171 5550123" and frau[7] != "555 123 4567"
+    later = re.search(r"^When (\w+ \w+) left, (\w+ \w+) and (\w+ \w+) stayed", got[2].text)
+    assert later[1] == frau[1] and later[2] != "Xaver Huber" and later[3].split()[0] in pii.GIVEN[1] and "Quandt" not in later[3]
+    third = re.search(r"^Dr (\w+ \w+), DOB: (\d{4}-\d\d-\d\d)\. IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d), (GB\d\d[A-Z]{4}\d{14})$", got[3].text)
+    assert third[1] == later[2] and third[2] == "-".join(reversed(frau[5].split(".")))
+    for iban in third.groups()[2:]:
+        bare = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 and "3704" not in iban and "WEST" not in iban
+    fourth = re.search(r"^Mr (\w+ \w+) and (\w+ \w+), geboren am \d{1,2}/\d{1,2}/\d{4}$", got[4].text)
+    assert fourth[1] == fourth[2] != "Bo Li" and got[5].text == rows[4][1] and got[5].n_pii == 0
+    assert got[1].pii_kinds == "name,name,name,date,phone,phone"
+
+
+def test_pii_short_names_have_room(spark):
+    """More two-letter names than two letters can replace: surrogates grow."""
+    rows = [(k, f"Herr {a}{b}") for k, (a, b) in enumerate((a, b) for a in "BCDFGHKLM" for b in "aeiou")]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows * 2, "doc_id long, text string"), "k").collect()]
+    assert len(set(got)) == len(rows) and not set(got) & {t for _, t in rows}
+
+
 def test_pii_finds_what_a_plain_scan_finds(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     scan = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\w.-])\d{16}(?![\w-])|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)")
     before = {v for r in docs.collect() for v in scan.findall(r.text or "")}
-    after = {v for r in pii.pseudonymise(docs).collect() for v in scan.findall(r.text or "")}
+    after = {v for r in pii.pseudonymise(docs, "k").collect() for v in scan.findall(r.text or "")}
     assert len(before) == len(after) and not {b for b in before if "@" in b} & after
