@@ -34,17 +34,19 @@ _WORD = rf"\p{{Lu}}{_L}+"
 # What is detected; the first kind that matches a place wins.
 PATTERNS = {
     "email": rf"(?<![{_L}\p{{N}}._%+-])[{_L}\p{{N}}_%+-](?:[{_L}\p{{N}}._%+-]{{0,62}}[{_L}\p{{N}}_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]{{0,62}}\.){{1,8}}[A-Za-z]{{2,24}}(?![{_L}\p{{N}}])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
-    "date": rf"(?<={_BORN}[ :,]{{1,3}}(?:(?:on|am|le|el|date)[ :]{{1,2}})?)(?:\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{4}}-\d\d-\d\d)(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,8}){1,5}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])",
-    "card": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])|(?<![\w.-])\d{4}[ -]?\d{6}[ -]?\d{4,5}(?![\w-])",
-    "name": rf"(?<!{_L}){TITLES}\.? {_WORD}(?:[ -]{_WORD}){{0,2}}",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?=\d)(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
+    "date": rf"(?=\d)(?<={_BORN}[ :,]{{1,3}}(?:(?:on|am|le|el|date)[ :]{{1,2}})?)(?:\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{4}}-\d\d-\d\d)(?!\w)",
+    "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?=[\d+(])(?:(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,8}){1,5}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))",
+    "card": r"(?=\d)(?<![\w.-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{4,5})(?![\w-])",
+    "name": rf"(?=\p{{Lu}})(?<!{_L}){TITLES}\.? {_WORD}(?:[ -]{_WORD}){{0,2}}",
     # capitalised words in a row: names if a part of them is known as one
-    "words": rf"(?<![{_L}\p{{N}}])(?!{TITLES}\b){_WORD}(?:[ -](?!{TITLES}\b){_WORD}(?![{_L}\p{{N}}]))+",
+    "words": rf"(?=\p{{Lu}})(?<![{_L}\p{{N}}])(?!{TITLES}\b){_WORD}(?:[ -](?!{TITLES}\b){_WORD}(?![{_L}\p{{N}}]))+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: The same for texts without an @, where the search for addresses would be in vain.
+NO_MAIL = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
 #: A text without any of these can't match; it is cheap to test.
 HINT = rf"[0-9@]|{TITLES}\.? \p{{Lu}}|\p{{Lu}}{_L}+[ -]\p{{Lu}}"
 # The letters that replace letters, by script and sound.
@@ -54,6 +56,16 @@ GROWTH = ((r"\p{IsCyrillic}", "аеиоубвгдклмнрст"), (r"\p{IsGreek
 MAX_ROUNDS = 200
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` mentions it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def by_any(text: Column, f) -> Column:
+    """``f(pattern)`` of the pattern that fits the text."""
+    return F.when(F.contains(text, F.lit("@")), f(ANY)).otherwise(f(NO_MAIL))
+
+
 def kind_of(v: Column) -> Column:
     """The kind of a value that one of the patterns has matched, from its shape."""
     letters = F.when(v.rlike(r"^[A-Z]{2}\d{2}"), "iban").when(v.rlike(rf"^{TITLES}\.? "), "name").otherwise("words")
@@ -73,9 +85,9 @@ def words_of(value: Column) -> Column:
 
 def pairs_of(words: Column) -> Column:
     """Neighbouring words, lower-cased, joined by a space."""
-    low = F.transform(words, F.lower)
     none = F.array().cast("array<string>")
-    return F.when(F.size(low) > 1, F.transform(F.sequence(F.lit(1), F.size(low) - 1), lambda i: F.concat(F.get(low, i - 1), F.lit(" "), F.get(low, i)))).otherwise(none)
+    low = F.transform(words, F.lower)
+    return let(low, lambda a: F.when(F.size(a) > 1, F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda x, y: F.concat_ws(" ", x, y))).otherwise(none))
 
 
 def is_given(low: Column) -> Column:
@@ -172,12 +184,13 @@ def parts_of(items: Column) -> Column:
 def decided(parts: Column, attempt, is_pair) -> Column:
     """``parts`` with the attempt of each value, and for each word of a name whether it changes and its attempt."""
 
+    out = F.transform(parts, lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), x["norm"].alias("norm"), x["title"].alias("title"), x["words"].alias("words"), x["gaps"].alias("gaps"), F.zip_with(F.transform(x["words"], lambda w: is_given(F.lower(w))), F.transform(pairs_of(x["words"]), is_pair), lambda g, p: F.coalesce(g & p.isNotNull(), F.lit(False)) | F.coalesce(p, F.lit(False))).alias("opens")))
+
     def word(x: Column, w: Column, i: Column) -> Column:
-        known = lambda k: is_given(F.lower(F.get(x["words"], k))) | is_pair(F.concat(F.lower(F.get(x["words"], k)), F.lit(" "), F.lower(F.get(x["words"], k + 1))))
-        hit = (x["kind"] != "words") | ((i + 1 < F.size(x["words"])) & known(i)) | ((i > 0) & known(i - 1))
+        hit = (x["kind"] != "words") | F.get(x["opens"], i) | ((i > 0) & F.get(x["opens"], F.greatest(i - 1, F.lit(0))))
         return F.struct(w.alias("w"), F.lower(w).alias("low"), hit.alias("hit"), attempt(F.lit("word"), F.lower(w)).alias("attempt"), F.coalesce(F.get(x["gaps"], i), F.lit("")).alias("gap"))
 
-    return F.transform(parts, lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), x["norm"].alias("norm"), x["title"].alias("title"), attempt(x["kind"], x["norm"]).alias("attempt"), F.transform(x["words"], lambda w, i: word(x, w, i)).alias("words")))
+    return F.transform(out, lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), x["norm"].alias("norm"), x["title"].alias("title"), attempt(x["kind"], x["norm"]).alias("attempt"), F.transform(x["words"], lambda w, i: word(x, w, i)).alias("words")))
 
 
 def surrogates(items: Column, key: str) -> Column:
@@ -240,17 +253,16 @@ def moved(value: Column, key: str) -> Column:
 def found_in(docs: DataFrame, text: str) -> DataFrame:
     """``_key`` (md5 of the text), ``_found``: distinct values with their kinds, of each text that has any."""
     t = docs.where(F.col(text).rlike(HINT)).select(F.col(text).alias("_t"))
-    values = F.array_distinct(F.regexp_extract_all(F.col("_t"), F.lit(ANY), F.lit(0)))
+    values = F.array_distinct(by_any(F.col("_t"), lambda p: F.regexp_extract_all(F.col("_t"), F.lit(p), F.lit(0))))
     out = t.select(F.md5(F.col("_t").cast("binary")).alias("_key"), values.alias("_v")).where(F.size("_v") > 0)
     return out.select("_key", F.transform("_v", lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind"))).alias("_found"))
 
 
 def named_words(kind: Column, value: Column) -> Column:
     """The words of a value that are a name's: all after a title; in a row of words, a known given name and the next."""
-    words = words_of(value)
-    led = lambda i: is_given(F.lower(F.get(words, i)))
-    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ((i + 1 < F.size(words)) & led(i)) | ((i > 0) & led(i - 1)))
-    return F.when(kind == "name", words).otherwise(F.transform(at, lambda i: F.get(words, i)))
+    marked = F.transform(words_of(value), lambda w: F.struct(w.alias("w"), is_given(F.lower(w)).alias("given")))
+    led = let(marked, lambda a: F.filter(a, lambda x, i: ((i + 1 < F.size(a)) & x["given"]) | ((i > 0) & F.coalesce(F.get(a, i - 1)["given"], F.lit(False)))))
+    return F.when(kind == "name", words_of(value)).otherwise(F.transform(led, lambda x: x["w"]))
 
 
 def mentions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -328,7 +340,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     hinted = F.coalesce(F.col("_text").rlike(HINT), F.lit(False))
     # one pass of the pattern: matches are fenced off, the pieces between fences are in turn text and match
     fence = f"\ufdd0{hash_of(key):x}\ufdd1"
-    out = out.withColumn("_pieces", F.when(hinted, F.split(F.regexp_replace("_text", ANY, f"{fence}$0{fence}"), fence)))
+    out = out.withColumn("_pieces", F.when(hinted, F.split(by_any(F.col("_text"), lambda p: F.regexp_replace("_text", p, f"{fence}$0{fence}")), fence)))
     attempt = lambda kind, norm: F.coalesce(F.try_element_at("_known", _entity(kind, norm)), F.lit(0))
     is_pair = lambda p: F.coalesce(F.map_contains_key("_known", _entity("pair", p)), F.lit(False))
     odd = lambda r: F.filter("_pieces", lambda p, i: i % 2 == r)
