@@ -169,7 +169,7 @@ def _prominence(x: np.ndarray, k: int) -> float:
 
 
 def resample(x: np.ndarray, rate: float, to: float) -> np.ndarray:
-    """A series at another rate: low-pass below the new limit when that is lower, then cubic interpolation."""
+    """A series at another rate: low-pass below the new limit when that is lower, then linear interpolation."""
     x = np.asarray(x, float)
     if to < rate and len(x) > 30:
         x = zero_phase(butterworth(4, 0.45 * to, rate), x)

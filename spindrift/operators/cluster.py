@@ -53,7 +53,9 @@ def co_activation(frames: DataFrame, key: str, vector: str, n: int, rounds: int
     mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x) / F.size(vector)
     g = frames.select(F.col(key).alias("t"), F.col(vector).alias("v"), mean.alias("gs")).withColumn("run", F.lit(0))
     bound = g.agg(F.percentile("gs", quantile)).first()[0]
-    top = find(g, "gs", ["run"], ["t"], F.lit(bound))
+    # the peaks are found on times and means alone; only theirs are the vectors that follow
+    at = find(g.select("run", "t", "gs"), "gs", ["run"], ["t"], F.lit(bound)).select("t")
+    top = g.join(at, "t", "left_semi")
     first = [r["v"] for r in top.orderBy(F.col("gs").desc(), "t").limit(n).collect()]
     if len(first) < n:
         raise ValueError("fewer peaks than patterns")

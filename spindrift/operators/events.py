@@ -76,6 +76,29 @@ def event_average(series: DataFrame, events: DataFrame, by: Sequence[str], t: st
     return met.groupBy("trial_type", "lag", *keys).agg((F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("avg_response"), F.sum("_c").alias("n_events"))
 
 
+def event_average_window(series: DataFrame, events: DataFrame, by: Sequence[str], t: str, value: str, tr: float, window: tuple[float, float] | None = None, extend: int = 0) -> DataFrame:
+    """``trial_type, lag, avg_response, n_events`` of events with ``onset, duration`` in seconds (or the series' unit).
+
+    With ``window`` a segment runs between those two offsets from the onset, else from the onset for each
+    event's own duration and ``extend`` samples more. Onset, offset and length are each cut to whole samples.
+    Segments that don't lie inside their run are left out. Segments of unequal length are averaged at each
+    lag over those that reach it. Events with one start and length are counted first; the join is by sample.
+    """
+    by = list(by)
+    samples = lambda c: (c / tr).cast("int")
+    first = samples(F.col("onset"))
+    length = samples(F.col("duration")) + extend
+    if window is not None:
+        first, length = first + int(window[0] / tr), F.lit(int((window[1] - window[0]) / tr))
+    counted = events.select(*by, "trial_type", first.alias("_on"), length.alias("_len")).groupBy(*by, "trial_type", "_on", "_len").agg(F.count("*").alias("_c"))
+    ends = series.groupBy(*by).agg((F.max(t) + 1).alias("_n")) if by else series.agg((F.max(t) + 1).alias("_n"))
+    counted = counted.join(ends, by) if by else counted.crossJoin(F.broadcast(ends))
+    inside = counted.where((F.col("_on") >= 0) & (F.col("_on") < F.col("_n")) & (F.col("_on") + F.col("_len") <= F.col("_n")) & (F.col("_len") > 0))
+    wanted = inside.select(*by, "trial_type", "_c", F.explode(F.sequence(F.lit(0), F.col("_len") - 1)).alias("lag"), "_on").withColumn(t, F.col("_on") + F.col("lag"))
+    met = wanted.join(series.select(*by, t, value), [*by, t])
+    return met.groupBy("trial_type", "lag").agg((F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("avg_response"), F.sum("_c").alias("n_events"))
+
+
 def kept_events(events: DataFrame, onset: str, length: int, n: int) -> DataFrame:
     """Per trial type the onsets whose segment fits, in order."""
     inside = events.where((F.col(onset) >= 0) & (F.col(onset) + length <= n))

@@ -51,9 +51,10 @@ def legend(values: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def colour(key: Column) -> Column:
-    """A label's colour by its key: red, green, blue, opaque; key 0 is transparent black."""
+    """A label's colour by its key: red, green, blue, opaque; keys of 0 or less are transparent black."""
+    # fixed values: the multipliers
     part = lambda m: F.pmod(key * m, F.lit(255)) / 255.0
-    return F.when(key == 0, F.array(*[F.lit(0.0)] * 4)).otherwise(F.array(part(37), part(67), part(97), F.lit(1.0)))
+    return F.when(key <= 0, F.array(*[F.lit(0.0)] * 4)).otherwise(F.array(part(37), part(91), part(173), F.lit(1.0)))
 
 
 def hex_colour(text: Column) -> Column:

@@ -74,8 +74,8 @@ def dummy_samples(n_volumes: int, tr: float, rate: float) -> int:
 
 
 def trim_trigger(df: DataFrame, trigger: str, by: Sequence[str], index: str, level: int = 5) -> DataFrame:
-    """Rows from the first to before the last one whose rounded trigger is ``level``; a run without any is an error."""
-    hit = F.round(trigger) == level
+    """Rows from the first to before the last one whose trigger, rounded half to even, is ``level``; a run without any is an error."""
+    hit = F.bround(trigger) == level
     bounds = df.groupBy(*by).agg(F.min(F.when(hit, F.col(index))).alias("_lo"), F.max(F.when(hit, F.col(index))).alias("_hi"))
     ok = F.assert_true(F.col("_lo").isNotNull(), F.lit("a run has no trigger"))
     bounds = bounds.withColumn("_lo", F.when(ok.isNull(), F.col("_lo")))

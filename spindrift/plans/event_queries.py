@@ -41,6 +41,32 @@ def event_average_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("trial_type", "lag", F.round("avg_response", 6).alias("avg_response"), "n_events")
 
 
+def _window_sql(first: str, length: str) -> str:
+    return f"""WITH s AS {HOURLY_SQL}, n AS (SELECT max(t) + 1 AS n FROM s),
+    e AS (SELECT event_type AS trial_type, {first} AS on_ix, {length} AS len FROM events),
+    k AS (SELECT e.* FROM e, n WHERE on_ix >= 0 AND on_ix < n AND on_ix + len <= n AND len > 0)
+    SELECT trial_type, CAST(s.t - k.on_ix AS INTEGER) AS lag, round(avg(s.x), 6) AS avg_response, count(*) AS n_events
+    FROM k JOIN s ON s.t >= k.on_ix AND s.t < k.on_ix + k.len GROUP BY 1, 2"""
+
+
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.events(spark, sf_dir).select("trial_type", F.col("t").cast("double").alias("onset"), (F.col("user_id") % 5).cast("double").alias("duration"))
+
+
+@query("event_average_bounds", _window_sql(f"{HOUR_SQL} - 2", "6"))
+def event_average_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean hourly value from two hours before to four after each event."""
+    out = E.event_average_window(I.hourly(spark, sf_dir), _hours(spark, sf_dir), [], "t", "x", 1.0, (-2.0, 4.0))
+    return out.select("trial_type", "lag", F.round("avg_response", 6).alias("avg_response"), "n_events")
+
+
+@query("event_average_durations", _window_sql(HOUR_SQL, "user_id % 5 + 1"))
+def event_average_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean hourly value over each event's own duration and an hour more."""
+    out = E.event_average_window(I.hourly(spark, sf_dir), _hours(spark, sf_dir), [], "t", "x", 1.0, extend=1)
+    return out.select("trial_type", "lag", F.round("avg_response", 6).alias("avg_response"), "n_events")
+
+
 @query(
     "kept_events",
     f"""SELECT event_type AS trial_type, count(*) AS n_kept, min({HOUR_SQL}) AS first_onset, max({HOUR_SQL}) AS last_onset, CAST(sum({HOUR_SQL}) AS BIGINT) AS sum_onset

@@ -116,8 +116,8 @@ def label_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "label_table",
     """SELECT key, CASE WHEN key = 0 THEN 'unlabelled' ELSE 'label-' || CAST(key AS VARCHAR) END AS name,
-      CASE WHEN key = 0 THEN 0.0 ELSE round((key * 37 % 255) / 255.0, 6) END AS r, CASE WHEN key = 0 THEN 0.0 ELSE round((key * 67 % 255) / 255.0, 6) END AS g,
-      CASE WHEN key = 0 THEN 0.0 ELSE round((key * 97 % 255) / 255.0, 6) END AS b FROM (SELECT DISTINCT label AS key FROM embeddings UNION SELECT 0)""",
+      CASE WHEN key <= 0 THEN 0.0 ELSE round((key * 37 % 255) / 255.0, 6) END AS r, CASE WHEN key <= 0 THEN 0.0 ELSE round((key * 91 % 255) / 255.0, 6) END AS g,
+      CASE WHEN key <= 0 THEN 0.0 ELSE round((key * 173 % 255) / 255.0, 6) END AS b FROM (SELECT DISTINCT label AS key FROM embeddings UNION SELECT 0)""",
 )
 def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = K.label_table(I.table(spark, sf_dir, "embeddings").select(F.col("label").alias("key")).distinct())

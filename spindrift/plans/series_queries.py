@@ -89,13 +89,13 @@ def dummy_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "trigger_trim",
-    """WITH b AS (SELECT user_id, min(event_id) FILTER (WHERE round(value / 100) = 3) AS lo, max(event_id) FILTER (WHERE round(value / 100) = 3) AS hi FROM events GROUP BY 1)
+    """WITH b AS (SELECT user_id, min(event_id) FILTER (WHERE round_even(value / 100, 0) = 3) AS lo, max(event_id) FILTER (WHERE round_even(value / 100, 0) = 3) AS hi FROM events GROUP BY 1)
     SELECT e.event_id FROM events e JOIN b USING (user_id) WHERE e.event_id >= lo AND e.event_id < hi""",
 )
 def trigger_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Between the first and the last trigger (a value that rounds to 300) of each user who has one."""
     e = I.table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("value") / 100).alias("trigger"))
-    some = e.where(F.round("trigger") == 3).select("user_id").distinct()
+    some = e.where(F.bround("trigger") == 3).select("user_id").distinct()
     return S.trim_trigger(e.join(some, "user_id", "left_semi"), "trigger", ["user_id"], "event_id", 3).select("event_id")
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTITIES = ("sub", "ses", "task", "run", "echo", "space", "desc")
-# Repetition times in seconds, and the letters of a session's runs.
-REPETITION = {"rest": 1.0, "imagery": 1.333, "pinel": 1.5, "simon": 1.5, "motor": 1.5, "breathhold": 1.5}
-RUN_LETTERS = {"02": "A", "05": "B", "08": "C"}
+# Repetition times in seconds, and the names of the event tasks of a session's runs.
+REPETITION = {"rest": 1.0, "nsdimagery": 1.333, "pinel": 1.5, "simon": 1.5, "motor": 1.5, "breathhold": 1.5}
+RUN_LETTERS = {"02": "attA", "05": "attB", "08": "attC"}
 
 
 def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -114,9 +114,17 @@ def timing_pairs(files: DataFrame) -> DataFrame:
     return pairs.withColumn("onset_path", F.when(ok.isNull(), F.col("onset_path"))).drop("_n")
 
 
-def repetition_time(task: Column) -> Column:
+def condition_file(files: DataFrame, condition: str) -> DataFrame:
+    """The one file whose path holds ``condition``; none or several is an error."""
+    met = files.where(F.contains("path", F.lit(condition)))
+    n = met.agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    ok = F.assert_true(F.col("n") == 1, F.format_string("%d files for condition " + condition.replace("%", "%%"), F.col("n")))
+    return n.select(F.when(ok.isNull(), F.col("path")).alias("path"))
+
+
+def repetition_time(task: Column, times: dict[str, float] = REPETITION) -> Column:
     """Seconds a volume takes; an unknown task is an error."""
-    table = F.create_map(*[F.lit(x) for kv in REPETITION.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in times.items() for x in kv])
     tr = F.try_element_at(table, task)
     return F.coalesce(tr, F.raise_error(F.concat(F.lit("unknown task "), task)).cast("double"))
 

@@ -94,6 +94,28 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def label_map_json(text: str, spark: SparkSession) -> DataFrame:
+    """``key, name, colour, rgba`` of a JSON label map: an object by key, or a list of objects with ``id``.
+
+    A value is a name, or an object with ``name`` and ``color`` (hexadecimal text, or three or four numbers).
+    Entries without a whole number as key go.
+    """
+    import json
+
+    from ..operators.labels import unit_colour
+
+    given = json.loads(text)
+    pairs = given.items() if isinstance(given, dict) else [(x.get("id"), x) for x in given if isinstance(x, dict)]
+    rows = []
+    for key, v in pairs:
+        v = {"name": v} if isinstance(v, str) else v if isinstance(v, dict) else {}
+        name, colour = v.get("name"), v.get("color")
+        numbers = [float(c) for c in colour] if isinstance(colour, list) and len(colour) in (3, 4) else None
+        rows.append((str(key), name if isinstance(name, str) else None, colour if isinstance(colour, str) else None, numbers + [1.0] * (4 - len(numbers)) if numbers else None))
+    out = spark.createDataFrame(rows, "key string, name string, colour string, rgba array<double>")
+    return out.select(F.expr("try_cast(key as int)").alias("key"), "name", "colour", unit_colour(F.col("rgba")).alias("rgba")).where("key is not null")
+
+
 def label_map(text: DataFrame) -> DataFrame:
     """``key, name, colour`` from lines (column ``value``) of ``key<TAB or comma>name[<TAB or comma>colour]``; unreadable lines go."""
     p = F.split("value", "[\t,]")

@@ -392,3 +392,26 @@ def test_streaming_bins_equal_batch(spark, tmp_path, data):
     whole = spark.read.parquet(str(tmp_path / "in")).groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.avg("value").alias("y"), F.count("*").alias("m"))
     both = got.join(whole, ["start", "event_type"]).where("abs(x - y) < 1e-9 and n = m").count()
     assert both == got.count() > 0 and whole.count() - got.count() <= 20
+
+
+def test_condition_file_and_json_labels(spark):
+    from spindrift.sources import catalog as C
+    from spindrift.sources import tables
+
+    f = spark.createDataFrame([("x/a_cong_onset.1D",), ("x/a_left_onset.1D",), ("x/b_left_onset.1D",)], "path string")
+    assert C.condition_file(f, "cong").first().path == "x/a_cong_onset.1D"
+    for bad in ("left", "none"):
+        with pytest.raises(Exception, match="files for condition"):
+            C.condition_file(f, bad).collect()
+    got = {r.key: r for r in tables.label_map_json('{"1": "Left", "2": {"name": "Right", "color": [255, 0, 0]}, "x": "gone", "3": {"color": "#fff000"}}', spark).collect()}
+    assert set(got) == {1, 2, 3} and got[1].name == "Left" and got[2].rgba[0] == 1.0 and got[3].colour == "#fff000"
+    listed = tables.label_map_json('[{"id": 4, "name": "Up"}, {"name": "none"}, 7]', spark).collect()
+    assert [(r.key, r.name) for r in listed] == [(4, "Up")]
+
+
+def test_trigger_rounds_half_to_even(spark):
+    from spindrift.operators import series as S
+
+    rows = [("r", k, v) for k, v in enumerate([4.5, 4.6, 5.5, 5.4, 5.6])]
+    got = S.trim_trigger(spark.createDataFrame(rows, "run string, ix int, trigger double"), "trigger", ["run"], "ix").collect()
+    assert sorted(r.ix for r in got) == [1, 2]
