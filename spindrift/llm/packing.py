@@ -22,7 +22,7 @@ from .tokens import SPECIAL, VOCABULARY, load_ranks, merger, tokenizer_path
 WINDOW = 2048
 END = 1
 #: Tokens (without full windows) after which a shard's index is built and packed; bounds a task's memory.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 #: Tokens that place a document in the lexical order.
 ORDER_TERMS = 4
 K1, B = 1.2, 0.75
@@ -93,8 +93,8 @@ class Shard:
             self.queries.append(t)
         term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
         order = np.argsort(term, kind="stable")
-        self.docs = (np.concatenate(docs) if docs else np.zeros(0, np.int32))[order].astype(np.int64)
-        self.weights = (np.concatenate(weights) if weights else np.zeros(0, np.float32))[order].astype(np.float64)
+        self.docs = (np.concatenate(docs) if docs else np.zeros(0, np.int32))[order]
+        self.weights = (np.concatenate(weights) if weights else np.zeros(0, np.float32))[order]
         self.terms = term[order]
         self.starts = np.searchsorted(self.terms, np.arange((1 << 16) + 1))
 
