@@ -36,7 +36,7 @@ TREES, DEPTH = 24, 8
 TARGET, SURE = 0.995, 0.998
 #: The audit: so many texts of at most so many characters are compared with all; so many of them must have
 #: links; those with few links count as many as those with more.
-AUDIT, AUDIT_LENGTH, EVIDENCE, FEW = 512, 20_000, 32, 8
+AUDIT, AUDIT_LENGTH, EVIDENCE, FEW = 320, 6_000, 24, 8
 #: Shingles and classes of a block, at most about; a task holds two blocks.
 BLOCK_SHINGLES, BLOCK_CLASSES = 400_000, 800
 #: Bytes of text hashed at once.
