@@ -41,6 +41,8 @@ AUDIT, AUDIT_LENGTH, EVIDENCE, FEW = 320, 6_000, 24, 8
 BLOCK_SHINGLES, BLOCK_CLASSES = 400_000, 800
 #: Bytes of text hashed at once.
 _CHUNK = 1 << 18
+#: Shingles of a block pair compared at once.
+_WIDTH = 1024
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _LEAP = np.uint64(0xD1342543DE82EF95)
 
@@ -226,34 +228,49 @@ def candidates(classes: DataFrame, depth: int) -> DataFrame:
     return met.where("_node <> _hub").select(F.col("_node").alias("a"), F.col("_hub").alias("b"))
 
 
-def compare(sets: list[np.ndarray], block: np.ndarray, crossed: bool) -> np.ndarray:
-    """Which pairs are links: a boolean matrix. ``crossed``: only pairs of different blocks count."""
-    size = np.array([len(x) for x in sets], np.float64)
-    row = np.repeat(np.arange(len(sets)), size.astype(int))
-    value, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    width = 4096
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, (at, at + width))
-        x = np.zeros((len(sets), min(width, int(column[-1]) + 1 - at)), np.float32)
-        x[row[lo:hi], column[lo:hi] - at] = 1
-        both += x @ x.T
-    link = LINK[1] * both >= LINK[0] * (size[:, None] + size[None, :] - both)
-    np.fill_diagonal(link, False)
-    if crossed:
-        link &= block[:, None] != block[None, :]
+def compare(rows: list[np.ndarray], columns: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which sets of ``rows`` link with which of ``columns``, as a boolean matrix; without ``columns`` with each other.
+
+    Only shingles that occur on both sides (or twice) are compared, a bounded number of them at once.
+    """
+    own = columns is None
+    sides = [rows] if own else [rows, columns]
+    value = [np.concatenate(s) for s in sides]
+    if own:
+        common, times = np.unique(value[0], return_counts=True)
+        common = common[times > 1]
+    else:
+        common = np.intersect1d(*value)
+    places = []
+    for side, v in zip(sides, value):
+        row = np.repeat(np.arange(len(side), dtype=np.int32), [len(x) for x in side])
+        at = np.searchsorted(common, v).astype(np.int32)
+        known = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == v) if len(common) else np.zeros(0, int)
+        known = known[np.argsort(at[known], kind="stable")]
+        places.append((row[known], at[known], len(side)))
+    both = np.zeros((len(rows), len(sides[-1])), np.int32)
+    for lo in range(0, len(common), _WIDTH):
+        x = []
+        for row, at, n in places:
+            here = slice(*np.searchsorted(at, (lo, lo + _WIDTH)))
+            part = np.zeros((n, min(_WIDTH, len(common) - lo)), np.float32)
+            part[row[here], at[here] - lo] = 1
+            x.append(part)
+        both += (x[0] @ x[-1].T).astype(np.int32)
+    size = [np.array([len(x) for x in s], np.int64) for s in sides]
+    link = (LINK[0] + LINK[1]) * both.astype(np.int64) >= LINK[0] * (size[0][:, None] + size[-1][None, :])
+    if own:
+        np.fill_diagonal(link, False)
     return link
 
 
-def lowest(link: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric boolean matrix the smallest index of its component."""
-    label = np.arange(len(link))
+def lowest(link: np.ndarray, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the smallest of its component, where ``link`` joins nodes ``rows`` with nodes ``columns``."""
+    label = np.arange(n, dtype=np.int32)
     while True:
-        new = np.minimum(label, np.where(link, label[None, :], len(link)).min(axis=1))
+        new = label.copy()
+        new[columns] = np.minimum(new[columns], np.where(link, new[rows][:, None], n).min(axis=0))
+        new[rows] = np.minimum(new[rows], np.where(link, new[columns][None, :], n).min(axis=1))
         new = new[new]
         if (new == label).all():
             return label
@@ -307,11 +324,17 @@ def verify(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFram
         for unit, group in runs(batches, "_unit"):
             group = group.drop_duplicates("_node").sort_values("_node")
             _, i, j = unit.rsplit("/", 2)
-            if len(group) > 1:
-                link = compare([np.frombuffer(x, np.uint64) for x in group["_x"]], group["_place"].to_numpy(), i != j)
-                node, any_link = group["_node"].to_numpy(), link.any(axis=1)
-                found = pd.DataFrame({"_node": node, "_links": link.astype(np.int64) @ group["_copies"].to_numpy(), "_low": node[lowest(link)], "_multi": ~group["_whole"].to_numpy(bool)})
-                out.append(found[any_link])
+            place, sets = group["_place"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["_x"]]
+            a, b = (np.arange(len(sets)),) * 2 if i == j else (np.flatnonzero(place == i), np.flatnonzero(place == j))
+            if len(a) and len(b) and len(sets) > 1:
+                link = compare([sets[k] for k in a], None if i == j else [sets[k] for k in b])
+                node, copies = group["_node"].to_numpy(), group["_copies"].to_numpy()
+                links = np.zeros(len(sets), np.int64)
+                links[a] += np.where(link, copies[b][None, :], 0).sum(axis=1)
+                if i != j:
+                    links[b] += np.where(link, copies[a][:, None], 0).sum(axis=0)
+                found = pd.DataFrame({"_node": node, "_links": links, "_low": node[lowest(link, a, b, len(sets))], "_multi": ~group["_whole"].to_numpy(bool)})
+                out.append(found[links > 0])
                 held += len(out[-1])
             if held > 10_000:
                 yield pd.concat(out)
