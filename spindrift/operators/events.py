@@ -100,6 +100,6 @@ def event_average_window(series: DataFrame, events: DataFrame, by: Sequence[str]
 
 
 def kept_events(events: DataFrame, onset: str, length: int, n: int) -> DataFrame:
-    """Per trial type the onsets whose segment fits, in order."""
+    """``trial_type, onset, n_events``: the onsets whose segment fits, each with how many events share it."""
     inside = events.where((F.col(onset) >= 0) & (F.col(onset) + length <= n))
-    return inside.groupBy("trial_type").agg(F.sort_array(F.collect_list(onset)).alias("onsets"))
+    return inside.groupBy("trial_type", F.col(onset).alias("onset")).agg(F.count("*").alias("n_events"))

@@ -118,12 +118,16 @@ FEATURES = {
 }
 
 
-def to_frames(df: DataFrame, by: str, columns: list[str], rate: float, tr: float, n_volumes: int, reference: float = 0.5, high_pass: float = 0.01) -> DataFrame:
-    """Each feature at the scan's frame times ``(t + reference) tr``: low-pass, monotone cubic, high-pass, z-score."""
+def to_frames(df: DataFrame, by: str, columns: list[str], rate: float, tr: float, n_volumes: int | None, reference: float = 0.5, high_pass: float = 0.01) -> DataFrame:
+    """Each feature at the scan's frame times ``(t + reference) tr``: low-pass, monotone cubic, high-pass, z-score.
+
+    Without ``n_volumes`` each run has as many frames as its recording covers.
+    """
 
     def f(x: np.ndarray) -> pd.DataFrame:
-        at = (np.arange(n_volumes) + reference) * tr
-        out = {"t": np.arange(n_volumes)}
+        frames = np.arange(int(len(x) / rate / tr + 1e-9) if n_volumes is None else n_volumes)
+        at = (frames + reference) * tr
+        out = {"t": frames}
         for c, v in zip(columns, x.T):
             limit = 1 / (2 * tr) + 0.05
             v = K.zero_phase(K.butterworth(4, limit, rate), v) if limit < rate / 2 else v
@@ -135,7 +139,7 @@ def to_frames(df: DataFrame, by: str, columns: list[str], rate: float, tr: float
     return run_map(df, by, "ix", columns, "t int, " + ", ".join(f"`{c}` double" for c in columns), f)
 
 
-def process_physio(df: DataFrame, by: str, columns: list[str], rate: float, tr: float, n_volumes: int, to: float = 50.0, reference: float = 0.5) -> DataFrame:
+def process_physio(df: DataFrame, by: str, columns: list[str], rate: float, tr: float, n_volumes: int | None, to: float = 50.0, reference: float = 0.5) -> DataFrame:
     """Recording to features at frame times: resample, extract by column name, interpolate. Unknown columns are skipped."""
     known = [c for c in columns if c in FEATURES]
 
@@ -164,13 +168,18 @@ def peak_table(df: DataFrame, by: str, order: str, value: str, **limits) -> Data
 def smooth(voxels: DataFrame, fwhm: float, size: float) -> DataFrame:
     """``i, j, k, x``: Gaussian smoothing over neighbours within three deviations, weights renewed at the mask's edge.
 
-    Each voxel is sent to its neighbours (a number set by ``fwhm / size`` alone) and the sums combine by key.
+    The kernel is a product of three, one for each axis, so values and weights are summed along one axis after
+    the other: a voxel is sent to a few neighbours of its line (their number is set by ``fwhm / size`` alone).
     """
     sigma = fwhm / 2.3548 / size
     r = int(np.ceil(3 * sigma))
     if not r:
         return voxels
-    g = [(a, b, c, float(np.exp(-(a * a + b * b + c * c) / (2 * sigma * sigma)))) for a in range(-r, r + 1) for b in range(-r, r + 1) for c in range(-r, r + 1)]
-    kernel = voxels.sparkSession.createDataFrame(g, "di int, dj int, dk int, w double")
-    sent = voxels.crossJoin(F.broadcast(kernel)).select((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), (F.col("k") + F.col("dk")).alias("k"), "w", (F.col("w") * F.col("x")).alias("wx"))
-    return sent.groupBy("i", "j", "k").agg((F.sum("wx") / F.sum("w")).alias("x")).join(voxels.select("i", "j", "k"), ["i", "j", "k"], "left_semi")
+    steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(np.exp(-d * d / (2 * sigma * sigma)))).alias("g")) for d in range(-r, r + 1)])
+    axes = ("i", "j", "k")
+    sums = voxels.select(*axes, F.lit(1.0).alias("w"), F.col("x").alias("wx"))
+    for axis in axes:
+        sent = sums.select(*axes, "w", "wx", F.explode(steps).alias("s"))
+        to = [(F.col(c) + F.col("s.d")).alias(c) if c == axis else F.col(c) for c in axes]
+        sums = sent.groupBy(*to).agg(F.sum(F.col("w") * F.col("s.g")).alias("w"), F.sum(F.col("wx") * F.col("s.g")).alias("wx"))
+    return sums.select(*axes, (F.col("wx") / F.col("w")).alias("x")).join(voxels.select(*axes), list(axes), "left_semi")

@@ -111,12 +111,12 @@ def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "paired_timing",
-    "WITH t AS (SELECT event_id, event_type AS trial_type, round(value - 50, 2) AS onset, round(value / 100, 2) AS duration FROM events WHERE user_id < 20) SELECT trial_type, onset, duration FROM t WHERE onset >= 0",
+    "WITH t AS (SELECT event_id, event_type AS trial_type, value - 50 AS onset, value / 100 AS duration FROM events) SELECT trial_type, onset, duration FROM t WHERE onset >= 0",
 )
 def paired_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``onset:duration`` tokens written to lines and parsed again; negative onsets mean no event."""
-    e = I.table(spark, sf_dir, "events").where("user_id < 20").withColumns({"o": F.round(F.col("value") - 50, 2), "d": F.round(F.col("value") / 100, 2)})
-    lines = e.groupBy("event_type", F.col("event_id") % 50).agg(F.array_join(F.collect_list(F.concat_ws(":", "o", "d")), " ").alias("value"))
+    """``onset:duration`` tokens written to lines of at most fifty and parsed again; negative onsets mean no event."""
+    e = I.table(spark, sf_dir, "events").withColumns({"o": F.col("value") - 50, "d": F.col("value") / 100})
+    lines = e.groupBy("event_type", F.floor(F.col("event_id") / 50)).agg(F.array_join(F.collect_list(F.concat_ws(":", "o", "d")), " ").alias("value"))
     parts = [R.paired_timing(lines.where(F.col("event_type") == t), t) for t in ("click", "error", "purchase", "signup", "view")]
     out = parts[0]
     for p in parts[1:]:

@@ -70,12 +70,13 @@ def event_average_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "kept_events",
     f"""SELECT event_type AS trial_type, count(*) AS n_kept, min({HOUR_SQL}) AS first_onset, max({HOUR_SQL}) AS last_onset, CAST(sum({HOUR_SQL}) AS BIGINT) AS sum_onset
-    FROM events WHERE {HOUR_SQL} + {LENGTH} <= 700 GROUP BY 1""",
+    FROM events WHERE {HOUR_SQL} + {LENGTH} <= (SELECT max({HOUR_SQL}) + 1 FROM events) GROUP BY 1""",
 )
 def kept_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.kept_events(I.events(spark, sf_dir), "t", LENGTH, 700)
-    total = F.aggregate("onsets", F.lit(0).cast("long"), lambda a, v: a + v)
-    return out.select("trial_type", F.size("onsets").cast("long").alias("n_kept"), F.get("onsets", F.lit(0)).alias("first_onset"), F.element_at("onsets", -1).alias("last_onset"), total.alias("sum_onset"))
+    """Events of each type whose six hours lie inside the series."""
+    e = I.events(spark, sf_dir)
+    out = E.kept_events(e, "t", LENGTH, (e.agg(F.max("t")).first()[0] or 0) + 1)
+    return out.groupBy("trial_type").agg(F.sum("n_events").alias("n_kept"), F.min("onset").alias("first_onset"), F.max("onset").alias("last_onset"), F.sum(F.col("onset") * F.col("n_events")).alias("sum_onset"))
 
 
 @query("keep_trial", f"SELECT event_id, {SECONDS_SQL} AS onset, value FROM events WHERE event_type = 'click'")
@@ -113,18 +114,17 @@ def trial_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "boxcar",
-    f"""WITH g AS (SELECT r.run, t FROM (SELECT DISTINCT event_type AS run FROM events) r, range(0, 720) x(t)),
-    e AS (SELECT event_type AS run, {HOUR_SQL} AS on_ix FROM events WHERE user_id % 10 = 0),
-    i AS (SELECT run, least(on_ix, 719) AS t, 1 AS d FROM e UNION ALL SELECT run, least(on_ix + 3, 719), -1 FROM e),
+    f"""WITH n AS (SELECT max({HOUR_SQL}) AS last FROM events), g AS (SELECT run, unnest(range(0, last + 1)) AS t FROM (SELECT DISTINCT event_type AS run FROM events), n),
+    e AS (SELECT event_type AS run, {HOUR_SQL} AS on_ix, last FROM events, n),
+    i AS (SELECT run, least(on_ix, last) AS t, 1 AS d FROM e UNION ALL SELECT run, least(on_ix + 3, last), -1 FROM e),
     s AS (SELECT run, t, sum(d) AS d FROM i GROUP BY 1, 2)
     SELECT g.run, CAST(g.t AS BIGINT) AS t, CAST(sum(coalesce(d, 0)) OVER (PARTITION BY g.run ORDER BY g.t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS box FROM g LEFT JOIN s ON s.run = g.run AND s.t = g.t""",
 )
 def boxcar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many three-hour boxes of every tenth user's events cover each hour of a run."""
-    e = I.events(spark, sf_dir)
-    grid = e.select(F.col("event_type").alias("run")).distinct().select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("t"))
-    some = e.where("user_id % 10 = 0").select(F.col("event_type").alias("run"), F.col("t").alias("onset"))
-    return S.boxcar(grid, some, ["run"], "t", "onset", 3).select("run", "t", F.col("box").cast("long").alias("box"))
+    """How many three-hour boxes of events cover each hour of a run; all runs end with the last event's hour."""
+    e = I.events(spark, sf_dir).select(F.col("event_type").alias("run"), F.col("t").alias("onset"))
+    grid = e.select("run").distinct().crossJoin(e.agg(F.max("onset").alias("last"))).select("run", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("t"))
+    return S.boxcar(grid, e, ["run"], "t", "onset", 3).select("run", "t", F.col("box").cast("long").alias("box"))
 
 
 @query(

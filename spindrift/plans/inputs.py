@@ -51,4 +51,10 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("t"), "label", F.posexplode("embedding").alias("voxel", "x")).withColumn("x", F.col("x").cast("double"))
 
 
+def length(spark: SparkSession, sf_dir: str) -> int:
+    """How many frames the matrix has, gaps included."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    return 0 if last is None else last + 1
+
+
 MATRIX_SQL = "(SELECT t, label, CAST(voxel - 1 AS INTEGER) AS voxel, CAST(embedding[voxel] AS DOUBLE) AS x FROM (SELECT vec_id AS t, label, embedding, unnest(range(1, len(embedding) + 1)) AS voxel FROM embeddings))"

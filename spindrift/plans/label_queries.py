@@ -99,9 +99,10 @@ def label_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", F.size("indices").cast("long").alias("n"), F.get("indices", F.lit(0)).alias("first"), F.element_at("indices", -1).alias("last"))
 
 
-@query("vertex_scatter", "SELECT r.vertex, coalesce(e.label, -1) AS label FROM range(0, 1200) r(vertex) LEFT JOIN embeddings e ON e.vec_id = r.vertex")
+@query("vertex_scatter", "SELECT r.vertex, coalesce(e.label, -1) AS label FROM (SELECT unnest(range(0, last + 101)) AS vertex FROM (SELECT max(vec_id) AS last FROM embeddings)) r LEFT JOIN embeddings e ON e.vec_id = r.vertex")
 def vertex_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = spark.range(1200).withColumnRenamed("id", "vertex")
+    """Labels on a grid that ends a hundred vertices after the last one with a label."""
+    full = spark.range(I.length(spark, sf_dir) + 100).withColumnRenamed("id", "vertex")
     return B.scatter(full, I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vertex"), "label")).withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
@@ -132,28 +133,29 @@ def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "face_levels",
-    f"""WITH f AS (SELECT vec_id AS face, unnest([vec_id % 64, (vec_id * 7) % 64, (vec_id * 13) % 64]) AS voxel FROM embeddings WHERE vec_id < 400), v AS (SELECT voxel, avg(x) AS x FROM {MATRIX_SQL} GROUP BY 1),
+    f"""WITH f AS (SELECT vec_id AS face, unnest([vec_id % 64, (vec_id * 7) % 64, (vec_id * 13) % 64]) AS voxel FROM embeddings), v AS (SELECT voxel, avg(x) AS x FROM {MATRIX_SQL} GROUP BY 1),
     a AS (SELECT face, avg(v.x) AS x FROM f JOIN v USING (voxel) GROUP BY 1) SELECT face, round(greatest(0.0, least(1.0, (x + 0.02) / 0.04)), 6) AS level FROM a""",
 )
 def face_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of three vertices each, on a scale from -0.02 to 0.02."""
     v = F.col("vec_id")
-    faces = I.table(spark, sf_dir, "embeddings").where(v < 400).select(v.alias("face"), F.array((v % 64).cast("int"), ((v * 7) % 64).cast("int"), ((v * 13) % 64).cast("int")).alias("vertices"))
+    faces = I.table(spark, sf_dir, "embeddings").select(v.alias("face"), F.array((v % 64).cast("int"), ((v * 7) % 64).cast("int"), ((v * 13) % 64).cast("int")).alias("vertices"))
     values = A.column_moments(I.matrix(spark, sf_dir)).select(F.col("voxel").alias("vertex"), F.col("mean").alias("x"))
     got = A.face_levels(A.face_values(faces, values), F.lit(-0.02), F.lit(0.02))
     return got.select("face", F.round("level", 6).alias("level"))
 
 
-@query("unmask_grid", f"WITH g AS (SELECT t, voxel FROM range(0, 50) a(t), range(0, 80) b(voxel)) SELECT g.t, CAST(g.voxel AS INTEGER) AS voxel, coalesce(m.x, 0.0) AS x FROM g LEFT JOIN {MATRIX_SQL} m ON m.t = g.t AND m.voxel = g.voxel")
+@query("unmask_grid", f"WITH g AS (SELECT t, voxel FROM (SELECT unnest(range(0, last + 1)) AS t FROM (SELECT max(vec_id) AS last FROM embeddings)), range(0, 80) b(voxel)) SELECT g.t, CAST(g.voxel AS INTEGER) AS voxel, coalesce(m.x, 0.0) AS x FROM g LEFT JOIN {MATRIX_SQL} m ON m.t = g.t AND m.voxel = g.voxel")
 def unmask_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(50).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(79))).alias("voxel"))
+    """All frames on a grid of 80 voxels, of which the matrix has 64."""
+    grid = spark.range(I.length(spark, sf_dir)).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(79))).alias("voxel"))
     return K.to_grid(I.matrix(spark, sf_dir).select("t", "voxel", "x"), grid, ["t", "voxel"])
 
 
-_VOLUME = f"(SELECT CAST(t % 10 AS INTEGER) AS i, CAST((t / 10) % 10 AS INTEGER) AS j, voxel AS k, x AS v FROM (SELECT t, voxel, x, t // 10 AS q FROM {MATRIX_SQL}) WHERE t < 100)".replace("(t / 10) % 10", "(t // 10) % 10")
+_VOLUME = f"(SELECT CAST(t % 10 AS INTEGER) AS i, CAST(t // 10 AS INTEGER) AS j, voxel AS k, x AS v FROM {MATRIX_SQL})"
 
 
-@query("sample_nearest", f"WITH p AS (SELECT event_id AS id, (event_id % 90) / 10.0 AS x, (event_id % 83) / 9.0 AS y, (event_id % 61) + 0.25 AS z FROM events) SELECT id, round(v, 6) AS value FROM p LEFT JOIN {_VOLUME} m ON m.i = round_even(p.x, 0) AND m.j = round_even(p.y, 0) AND m.k = round_even(p.z, 0)")
+@query("sample_nearest", f"WITH p AS (SELECT event_id AS id, (event_id % 90) / 10.0 AS x, (event_id % 1801) / 9.0 AS y, (event_id % 61) + 0.25 AS z FROM events) SELECT id, round(v, 6) AS value FROM p LEFT JOIN {_VOLUME} m ON m.i = round_even(p.x, 0) AND m.j = round_even(p.y, 0) AND m.k = round_even(p.z, 0)")
 def sample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nearest(sample_points(spark, sf_dir), volume(spark, sf_dir)).select("id", F.round("value", 6).alias("value"))
 
@@ -164,13 +166,14 @@ def sample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = I.matrix(spark, sf_dir).where("t < 100")
+    """The matrix as one volume: ten frames wide, as long as it takes, as deep as a vector."""
+    m = I.matrix(spark, sf_dir)
     return m.select((F.col("t") % 10).cast("int").alias("i"), F.floor(F.col("t") / 10).cast("int").alias("j"), F.col("voxel").alias("k"), F.col("x").alias("v"))
 
 
 def sample_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return I.table(spark, sf_dir, "events").select(e.alias("id"), ((e % 90) / 10.0).alias("x"), ((e % 83) / 9.0).alias("y"), ((e % 61) + 0.25).alias("z"))
+    return I.table(spark, sf_dir, "events").select(e.alias("id"), ((e % 90) / 10.0).alias("x"), ((e % 1801) / 9.0).alias("y"), ((e % 61) + 0.25).alias("z"))
 
 
 @query("depth_mean", f"SELECT voxel AS vertex, t // 3 AS t, round(avg(x), 6) AS x FROM {MATRIX_SQL} GROUP BY 1, 2")

@@ -44,8 +44,8 @@ def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("physio_features")
 def physio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recording to features at 40 frames of 1.5 s."""
-    out = P.process_physio(recording(spark, sf_dir), "run", ["cardiac", "respiratory_effort", "respiratory_CO2", "respiratory_O2"], 10.0, 1.5, 40)
+    """Recording to features at every frame of 1.5 s that it covers."""
+    out = P.process_physio(recording(spark, sf_dir), "run", ["cardiac", "respiratory_effort", "respiratory_CO2", "respiratory_O2"], 10.0, 1.5, None)
     return out.select("run", "t", *[F.round(c, 5).alias(c) for c in out.columns if c not in ("run", "t")])
 
 

@@ -234,6 +234,22 @@ def test_clean_voxels(spark):
     assert len(got[1]) == 190 and abs(got[1].mean()) < 1e-9 and abs(got[1].std() - 1) < 1e-9 and not got[2].any() and len(got[3]) == 0
 
 
+def test_smoothing_equals_the_whole_kernel(spark):
+    r = np.random.default_rng(4)
+    cells = {tuple(int(v) for v in c): float(x) for c, x in zip(r.integers(0, 7, (60, 3)), r.random(60))}
+    got = P.smooth(spark.createDataFrame([(*c, x) for c, x in cells.items()], "i int, j int, k int, x double"), 4.0, 2.0).collect()
+    sigma = 4.0 / 2.3548 / 2.0
+    for q in got:
+        near = [(np.exp(-sum((a - b) ** 2 for a, b in zip(c, (q.i, q.j, q.k))) / (2 * sigma**2)), x) for c, x in cells.items() if max(abs(a - b) for a, b in zip(c, (q.i, q.j, q.k))) <= 3]
+        assert abs(q.x - sum(w * x for w, x in near) / sum(w for w, _ in near)) < 1e-12
+    assert len(got) == len(cells)
+
+
+def test_kept_events(spark):
+    e = spark.createDataFrame([("a", 3), ("a", 3), ("a", 9), ("a", -1), ("b", 4), ("b", None)], "trial_type string, t int")
+    assert sorted(map(tuple, E.kept_events(e, "t", 6, 10).collect())) == [("a", 3, 2), ("b", 4, 1)]
+
+
 def test_smoothing_keeps_a_constant(spark):
     v = spark.createDataFrame([(i, j, k, 3.0) for i in range(4) for j in range(4) for k in range(2)], "i int, j int, k int, x double")
     assert all(abs(r.x - 3) < 1e-12 for r in P.smooth(v, 4.0, 2.0).collect()) and P.smooth(v, 0.0, 2.0) is v
