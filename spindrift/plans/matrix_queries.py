@@ -72,11 +72,14 @@ def gram_voxel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.gram(rows, "embedding").select("i", "j", F.round("s", 4).alias("s"))
 
 
-@query("gram_time", f"WITH m AS (SELECT t // 24 AS day, t % 24 AS h, run, x FROM {RUNS_SQL}) SELECT a.day AS i, b.day AS j, round(sum(a.x * b.x), 4) AS s FROM m a JOIN m b USING (run, h) GROUP BY 1, 2")
+@query("gram_time", f"WITH m AS (SELECT t // 24 AS day, t % 24 AS h, run, x / 97 AS x FROM {RUNS_SQL}) SELECT a.day AS i, b.day AS j, round(sum(a.x * b.x), 6) AS s FROM m a JOIN m b USING (run, h) GROUP BY 1, 2")
 def gram_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross products of the days of all events: a day's voxels are its hours by event type."""
-    m = I.runs(spark, sf_dir).withColumns({"day": F.floor(F.col("t") / 24), "h": F.col("t") % 24})
-    return L.cross_products(m, m, ["run", "h"], "day", "day").select("i", "j", F.round("s", 4).alias("s"))
+    """Cross products of the days of all events: a day's voxels are its hours by event type.
+
+    Means of a few amounts have few decimals; divided by 97 no product lies half-way between two rounded ones.
+    """
+    m = I.runs(spark, sf_dir).withColumns({"day": F.floor(F.col("t") / 24), "h": F.col("t") % 24, "x": F.col("x") / 97})
+    return L.cross_products(m, m, ["run", "h"], "day", "day").select("i", "j", F.round("s", 6).alias("s"))
 
 
 @query("column_moments", f"SELECT voxel, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM {MATRIX_SQL} GROUP BY voxel")

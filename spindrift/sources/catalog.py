@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,16 +89,18 @@ def match_runs(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("sub",
     """Files of one kind with the other kind's file of the same run.
 
     Runs without a match are left out; several matches are an error. A key that is null on the right matches any.
+    Files with all keys are joined by all of them; only the others are joined by the first key and filtered.
     """
     r = right.groupBy(*keys).agg(F.collect_list("path").alias("_p"))
     ok = F.assert_true(F.size("_p") == 1, F.lit("several files match one run"))
     r = r.select(*[F.col(k).alias(f"_{k}") for k in keys], F.when(ok.isNull(), F.get("_p", F.lit(0))).alias("matched"))
     always = [k for k in keys if k == "sub"] or list(keys[:1])
     cond = [left[k] == F.col(f"_{k}") for k in always] + [F.col(f"_{k}").isNull() | (left[k] == F.col(f"_{k}")) for k in keys if k not in always]
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
-    return left.join(r, on).select(left["*"], "matched")
+    every = [F.col(f"_{k}").isNotNull() for k in keys]
+    known = reduce(and_, every)
+    exact = left.join(r.where(known), reduce(and_, [left[k] == F.col(f"_{k}") for k in keys])).select(left["*"], "matched")
+    loose = left.join(r.where(~known), reduce(and_, cond)).select(left["*"], "matched")
+    return exact.unionByName(loose)
 
 
 def unmatched_runs(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("sub", "ses", "task", "run")) -> DataFrame:

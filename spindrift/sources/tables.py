@@ -22,11 +22,11 @@ def read_physio(spark: SparkSession, path: str, columns: Sequence[str], normalis
 
 
 def indexed(spark: SparkSession, path: str, columns: Sequence[str], sep: str = "\t") -> DataFrame:
-    """A headerless numeric file with ``ix``, the row's place. One file is one partition (gzip can't be split)."""
+    """Headerless numeric files with ``ix``, the row's place in its file. One file is one partition (gzip can't be split)."""
     schema = ", ".join(f"`{c}` double" for c in columns)
     df = spark.read.option("maxPartitionBytes", 1 << 40).csv(path, sep=sep, schema=schema)
-    order = df.withColumn("_o", F.monotonically_increasing_id())
-    return order.withColumn("ix", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_o")) - 1).drop("_o")
+    order = df.withColumns({"_f": F.input_file_name(), "_o": F.monotonically_increasing_id()})
+    return order.withColumn("ix", F.row_number().over(Window.partitionBy("_f").orderBy("_o")) - 1).drop("_f", "_o")
 
 
 def sidecar(spark: SparkSession, path: str) -> tuple[list[str], float]:

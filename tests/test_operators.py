@@ -431,3 +431,9 @@ def test_trigger_rounds_half_to_even(spark):
     rows = [("r", k, v) for k, v in enumerate([4.5, 4.6, 5.5, 5.4, 5.6])]
     got = S.trim_trigger(spark.createDataFrame(rows, "run string, ix int, trigger double"), "trigger", ["run"], "ix").collect()
     assert sorted(r.ix for r in got) == [1, 2]
+
+
+def test_match_runs_with_missing_keys(spark):
+    f = spark.createDataFrame([("f1", "1", "1", "a", "1"), ("f2", "1", "2", "a", "1"), ("f3", "2", "1", "b", "1"), ("f4", "3", "1", "b", "1")], "path string, sub string, ses string, task string, run string")
+    p = spark.createDataFrame([("p1", "1", "1", "a", "1"), ("p2", "1", "2", "a", None), ("p3", "2", None, "b", None)], f.schema)
+    assert sorted((r.path, r.matched) for r in C.match_runs(f, p).collect()) == [("f1", "p1"), ("f2", "p2"), ("f3", "p3")]
