@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .stats import difference_rms, fit_summary, normalised_rmse
 
@@ -23,16 +24,48 @@ def check_echo_times(times: Sequence[float]) -> np.ndarray:
     return te
 
 
+#: How far apart coupled unknowns are: log S0 and rate take turns over time, and a penalty spans two times.
+BAND = 4
+
+
 @lru_cache(64)
-def _system(times: tuple[float, ...], n: int, penalty0: float, penalty1: float) -> np.ndarray:
-    """Inverse normal matrix for log S0 and rate at ``n`` times, each smooth by its second difference."""
+def _factor(times: tuple[float, ...], n: int, penalty0: float, penalty1: float) -> np.ndarray:
+    """Lower Cholesky factor of the normal matrix for log S0 and rate at ``n`` times, each smooth by its second difference.
+
+    Row ``i`` holds the entries ``BAND`` to 0 places left of the diagonal, so memory and time grow with ``n``.
+    """
     te = np.array(times)
-    d = np.zeros((max(n - 2, 0), n))
+    smooth = np.zeros((n, 3))  # second differences squared, by distance in time
     for i in range(n - 2):
-        d[i, i : i + 3] = 1, -2, 1
-    dd, eye = d.T @ d, np.eye(n)
-    a = np.block([[len(te) * eye + penalty0 * dd, -te.sum() * eye], [-te.sum() * eye, (te * te).sum() * eye + penalty1 * dd]])
-    return np.linalg.inv(a)
+        smooth[i : i + 3, 0] += 1, 4, 1
+        smooth[i + 1 : i + 3, 1] += -2, -2
+        smooth[i + 2, 2] += 1
+    a = np.zeros((2 * n, BAND + 1))
+    a[0::2, ::2] = penalty0 * smooth[:, ::-1]
+    a[1::2, ::2] = penalty1 * smooth[:, ::-1]
+    a[0::2, BAND] += len(te)
+    a[1::2, BAND] += (te * te).sum()
+    a[1::2, BAND - 1] = -te.sum()
+    rows = np.zeros((2 * n + BAND, BAND + 1))
+    for i in range(2 * n):
+        for k in range(BAND + 1):  # the entry in column i - BAND + k
+            above = rows[i + k]  # that column's own row, four rows of zeros first
+            x = a[i, k] - rows[i + BAND, :k] @ above[BAND - k : BAND]
+            rows[i + BAND, k] = np.sqrt(x) if k == BAND else x / above[BAND] if i + k >= BAND else 0.0
+    return rows[BAND:]
+
+
+def _solve(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The unknowns ``(2 n, voxel)`` for right sides ``b`` of that shape."""
+    n = len(factor)
+    y = np.zeros((n + BAND, b.shape[1]))
+    for i in range(n):
+        y[i + BAND] = (b[i] - factor[i, :BAND] @ y[i : i + BAND]) / factor[i, BAND]
+    x = np.zeros((n + BAND, b.shape[1]))
+    below = np.vstack([factor, np.zeros((BAND, BAND + 1))])
+    for i in range(n - 1, -1, -1):
+        x[i] = (y[i + BAND] - below[i + np.arange(1, BAND + 1), BAND - np.arange(1, BAND + 1)] @ x[i + 1 : i + 1 + BAND]) / factor[i, BAND]
+    return x[:n]
 
 
 def fit_series(y: np.ndarray, times: Sequence[float], penalty0: float, penalty1: float, least: float = 1e-6, rescale: float = 100.0, cap: float = 500.0):
@@ -40,16 +73,17 @@ def fit_series(y: np.ndarray, times: Sequence[float], penalty0: float, penalty1:
     te = np.asarray(times, float) / rescale
     n = y.shape[2]
     logs = np.log(np.maximum(y, least))
-    b = np.concatenate([logs.sum(1), -(te[None, :, None] * logs).sum(1)], axis=1)
-    x = b @ _system(tuple(te), n, penalty0, penalty1)
-    s0, rate = np.exp(x[:, :n]), x[:, n:]
+    b = np.empty((2 * n, len(y)))
+    b[0::2], b[1::2] = logs.sum(1).T, -(te[None, :, None] * logs).sum(1).T
+    x = _solve(_factor(tuple(te), n, penalty0, penalty1), b).T
+    s0, rate = np.exp(x[:, 0::2]), x[:, 1::2]
     with np.errstate(divide="ignore", invalid="ignore"):
         t2 = np.where(rate > 0, np.minimum(cap, rescale / rate), np.nan)
     return s0, t2
 
 
-def fit_decay(voxels: DataFrame, echo_times: Sequence[float], penalty0: float = 3.0, penalty1: float = 1.0, rescale: float = 10.0, cap: float = 500.0, least: float = 1e-6) -> DataFrame:
-    """``voxel_id, n_good, s0, t2star`` (arrays over time) from ``voxel_id, n_good, series`` (echo by time).
+def fit_decay(voxels: DataFrame, echo_times: Sequence[float], penalty0: float = 3.0, penalty1: float = 1.0, rescale: float = 10.0, cap: float = 500.0, least: float = 1e-6, keep: Sequence[str] = ()) -> DataFrame:
+    """``voxel_id, n_good, s0, t2star`` (arrays over time), after columns to ``keep``, from ``voxel_id, n_good, series`` (echo by time).
 
     Where the decay isn't positive T2* is null. Only the first ``n_good`` echoes are used; under two, or with a number that isn't finite, the voxel is
     not fitted (null). One factor per echo count and length serves all voxels of a batch. No shuffle.
@@ -69,9 +103,11 @@ def fit_decay(voxels: DataFrame, echo_times: Sequence[float], penalty0: float =
                 a, b = fit_series(np.stack([cubes[k][:g] for k in members]), te[:g], penalty0, penalty1, least, rescale, cap)
                 for k, x, y in zip(members, a, b):
                     s0[k], t2[k] = x, y
-            yield pd.DataFrame({"voxel_id": batch["voxel_id"], "n_good": batch["n_good"], "s0": s0, "t2star": t2})
+            yield batch.drop(columns="series").assign(s0=s0, t2star=t2)
 
-    return voxels.select("voxel_id", "n_good", "series").mapInPandas(work, "voxel_id long, n_good int, s0 array<double>, t2star array<double>")
+    rows = voxels.select(*keep, F.col("voxel_id").cast("long"), F.col("n_good").cast("int"), "series")
+    schema = StructType([*rows.schema.fields[:-1], StructField("s0", ArrayType(DoubleType())), StructField("t2star", ArrayType(DoubleType()))])
+    return rows.mapInPandas(work, schema)
 
 
 def good_echoes(voxels: DataFrame, fraction: float = 1 / 3) -> DataFrame:
