@@ -70,6 +70,12 @@ def with_desc(path: Column, desc: str) -> Column:
     return F.when(path.rlike("_desc-[^_./]+"), swapped).otherwise(added)
 
 
+def decay_name(path: Column, kind: str, space: str | None = None) -> Column:
+    """The name of a decay map (``t2`` or ``s0``) beside the run's first echo: the echo gone, or the space in its place."""
+    placed = F.regexp_replace(path, "_echo-1", f"_space-{space}" if space else "")
+    return F.regexp_replace(placed, "desc-preproc", f"desc-preproc{kind}")
+
+
 def stem(path: Column) -> Column:
     """Without the extension, compressed or compound ones included."""
     return F.regexp_replace(path, r"(\.dtseries|\.func|\.label)?\.(nii|gii|tsv|json|csv)(\.gz)?$", "")

@@ -125,3 +125,15 @@ def face_levels(faces: DataFrame, low: Column, high: Column) -> DataFrame:
     wide = F.when(high <= low, low + 1e-6).otherwise(high)
     level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("x") - low) / (wide - low)))
     return faces.withColumn("level", F.when(finite(F.col("x")), level))
+
+
+def draws(df: DataFrame, value: str, key: Sequence[str], n: int = 25, seed: int = 0) -> DataFrame:
+    """``draw, x``: ``n`` finite values drawn with replacement, each the row with the least hash of that draw.
+
+    One aggregation with partials whatever ``n``; ``key`` tells rows apart, rows that share it share their draws.
+    No finite value gives no row.
+    """
+    x = F.col(value)
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    one = rows.agg(*[F.min_by(value, F.xxhash64(*key, F.lit(seed), F.lit(d))).alias(f"d{d}") for d in range(n)])
+    return one.select(F.posexplode(F.array(*[f"d{d}" for d in range(n)])).alias("draw", "x")).where("x is not null")

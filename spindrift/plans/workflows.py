@@ -13,11 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as M
 from ..operators import basis as B
+from ..operators import decay as D
 from ..operators import linear as L
 from ..operators import regressors as E
 from ..operators import series as S
 from ..operators import signal as P
+from ..sources import catalog as C
+from ..sources import tables as T
 from ..sources.sinks import write_result
 
 
@@ -100,6 +104,37 @@ def components(func: DataFrame, k: int = 10) -> tuple[pd.DataFrame, DataFrame]:
     return L.pca_time(end_to_end(func), "voxel", "ts", k)
 
 
+def multiecho(spark: SparkSession, files: DataFrame, mask: DataFrame, task: str, echo_times: Sequence[float], sessions: Sequence[str] | None = None) -> DataFrame:
+    """``path, sub, ses, task, run, i, j, k, s0, t2star`` of each run of the catalog ``files``; ``path`` is its first echo.
+
+    Every run must have as many echoes as there are times (milliseconds). Voxels of ``mask (i, j, k)`` with two
+    good echoes or more are fitted, all other voxels of the grid are zeros. Voxels shuffle once, to meet their echoes.
+    """
+    D.check_echo_times(echo_times)
+    runs = C.echo_sets(C.select(files, task=task, ses=sessions, suffix="bold", extension=".nii.gz"), len(echo_times))
+    each = runs.select(F.get("paths", F.lit(0)).alias("first"), F.posexplode("paths").alias("echo", "path"))
+    paths = [r["path"] for r in each.select("path").collect()]  # names of files, which Spark lists on the driver, too
+    if not paths:
+        raise ValueError(f"no echoes of {task}")
+    voxels = T.read_nifti(spark, paths).join(each, "path")
+    where = ["first", "i", "j", "k"]
+    inside = voxels.join(mask.select("i", "j", "k").distinct(), ["i", "j", "k"], "left_semi")
+    cubes = D.good_echoes(T.echo_cube(inside, where)).withColumn("voxel_id", F.lit(0))
+    fits = D.fit_decay(cubes, echo_times, keep=where).drop("voxel_id", "n_good")
+    zeros = F.array_repeat(F.lit(0.0), F.col("_n"))
+    grid = voxels.where("echo = 0").select(*where, F.size("ts").alias("_n")).join(fits, where, "left")
+    maps = grid.select(*where, F.coalesce("s0", zeros).alias("s0"), F.coalesce("t2star", zeros).alias("t2star"))
+    about = runs.select(F.get("paths", F.lit(0)).alias("path"), "sub", "ses", "task", "run")
+    return about.join(maps.withColumnRenamed("first", "path"), "path")
+
+
+def write_multiecho(maps: DataFrame, out: str, space: str | None = None) -> None:
+    """Both maps of each run as Parquet ``(i, j, k, ts)`` in ``out/ses=.../name=...``, named after the first echo."""
+    base = F.regexp_extract("path", "([^/]*)$", 1)
+    one = lambda kind, column: maps.select("ses", M.decay_name(base, kind, space).alias("name"), "i", "j", "k", F.col(column).alias("ts"))
+    one("t2", "t2star").unionByName(one("s0", "s0")).write.mode("overwrite").partitionBy("ses", "name").parquet(out)
+
+
 ANALYSES = ("dlm_physio", "dlm_event", "pca")
 
 

@@ -85,6 +85,63 @@ def functional(files: DataFrame, task: str, desc: str | None, extension: str, se
     return got.where(F.col("desc").eqNullSafe(F.lit(desc)))
 
 
+def functional_stage(files: DataFrame, task: str, stage: str = "orig", kind: str = "volume", series: str = "optcomb", sessions: Sequence[str] | None = None) -> DataFrame:
+    """Functional files by stage (``orig`` or ``final``), ``volume`` or ``surface``, and the combined series or the ``t2`` or ``s0`` maps."""
+    # Descriptions by kind and stage, and extensions.
+    desc = {("volume", "orig"): "preproc", ("volume", "final"): "preprocfinal", ("surface", "orig"): None, ("surface", "final"): "preprocfinal"}
+    extension = {"volume": ".nii.gz", "surface": ".dtseries.nii"}
+    if (kind, stage) not in desc or series not in ("optcomb", "t2", "s0"):
+        raise ValueError(f"no functional files of {kind}, {stage}, {series}")
+    known_sessions(files, sessions)
+    name = desc[kind, stage] if series == "optcomb" else (desc[kind, stage] or "") + series
+    return functional(files, task, name, extension[kind], sessions)
+
+
+def physio_stage(files: DataFrame, task: str, stage: str = "orig", sessions: Sequence[str] | None = None) -> DataFrame:
+    """Recordings by stage: as they were taken (no description), or ``final`` ones (``desc-preproc``)."""
+    if stage not in ("orig", "final"):
+        raise ValueError("stage must be orig or final")
+    known_sessions(files, sessions)
+    got = select(files, task=task, ses=sessions, suffix="physio", extension=".tsv.gz")
+    return got.where(F.col("desc").eqNullSafe(F.lit("preproc" if stage == "final" else None)))
+
+
+def known_sessions(files: DataFrame, sessions: Sequence[str] | None) -> None:
+    """An error for a session that no file has. Only sessions that are asked for reach the driver."""
+    if sessions is not None:
+        there = {r[0] for r in files.where(F.col("ses").isin(list(sessions))).select("ses").distinct().collect()}
+        if missing := sorted(set(sessions) - there):
+            raise ValueError(f"no session {missing}")
+
+
+def single_echoes(files: DataFrame) -> DataFrame:
+    """Files of a data set with one echo in the form of ``echo_sets``: each is the only one of its list."""
+    return files.withColumn("paths", F.array("path"))
+
+
+def transforms(runs: DataFrame, files: DataFrame, space: str) -> DataFrame:
+    """``runs(sub, ses, task, run)`` with ``reference``, ``to_anatomy`` and ``to_space``: one file each or an error.
+
+    The reference and the first transform are the run's own, the second is the subject's. A null run (or
+    session) of ``runs`` is met by null only.
+    """
+    keys = ["sub", "ses", "task", "run"]
+    f = files.withColumns({"to": entity(F.col("path"), "to"), "mode": entity(F.col("path"), "mode")}).where(F.col("mode").isNull() | (F.col("mode") == "image"))
+    kinds = {
+        "reference": (keys, (F.col("suffix") == "boldref") & (F.col("space") == space)),
+        "to_anatomy": (keys, (F.col("to") == "T1w") & F.col("mode").isNotNull() & (F.col("desc") == "coreg") & (F.col("extension") == ".txt")),
+        "to_space": (["sub"], (F.col("to") == space) & F.col("mode").isNotNull()),
+    }
+    out = runs
+    for name, (by, which) in kinds.items():
+        one = f.where(which).groupBy(*by).agg(F.collect_list("path").alias("_p")).select(*[F.col(k).alias(f"_{k}") for k in by], "_p")
+        joined = out.join(one, reduce(and_, [out[k].eqNullSafe(F.col(f"_{k}")) for k in by]), "left")
+        n = F.coalesce(F.size("_p"), F.lit(0))
+        ok = F.assert_true(n == 1, F.concat(F.lit(f"expected 1 file for {name}, found "), n.cast("string")))
+        out = joined.select(*[out[c] for c in out.columns], F.when(ok.isNull(), F.get("_p", F.lit(0))).alias(name))
+    return out
+
+
 def match_runs(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("sub", "ses", "task", "run")) -> DataFrame:
     """Files of one kind with the other kind's file of the same run.
 

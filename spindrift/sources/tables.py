@@ -194,8 +194,8 @@ def decode_nifti(raw: bytes):
     return (x * slope + inter if slope else x), np.frombuffer(raw, order + "f4", 12, 280).reshape(3, 4)
 
 
-def read_nifti(spark: SparkSession, path: str) -> DataFrame:
-    """``path, i, j, k, ts`` of NIfTI files: one row per voxel, its series as an array."""
+def read_nifti(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, i, j, k, ts`` of NIfTI files (a path, or a list of them): one row per voxel, its series as an array."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,6 +215,6 @@ def masked(voxels: DataFrame, mask: DataFrame) -> DataFrame:
     return voxels.join(ids, ["i", "j", "k"])
 
 
-def echo_cube(echoes: DataFrame) -> DataFrame:
-    """``voxel_id, series``: the series of each voxel's echoes, in order of ``echo``."""
-    return echoes.groupBy("voxel_id").agg(F.sort_array(F.collect_list(F.struct("echo", "ts"))).alias("_e")).select("voxel_id", F.transform("_e", lambda e: e["ts"]).alias("series"))
+def echo_cube(echoes: DataFrame, by: Sequence[str] = ("voxel_id",)) -> DataFrame:
+    """``voxel_id, series`` (or other keys): the series of each voxel's echoes, in order of ``echo``."""
+    return echoes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("echo", "ts"))).alias("_e")).select(*by, F.transform("_e", lambda e: e["ts"]).alias("series"))

@@ -437,3 +437,87 @@ def test_match_runs_with_missing_keys(spark):
     f = spark.createDataFrame([("f1", "1", "1", "a", "1"), ("f2", "1", "2", "a", "1"), ("f3", "2", "1", "b", "1"), ("f4", "3", "1", "b", "1")], "path string, sub string, ses string, task string, run string")
     p = spark.createDataFrame([("p1", "1", "1", "a", "1"), ("p2", "1", "2", "a", None), ("p3", "2", None, "b", None)], f.schema)
     assert sorted((r.path, r.matched) for r in C.match_runs(f, p).collect()) == [("f1", "p1"), ("f2", "p2"), ("f3", "p3")]
+
+
+def test_banded_factor_solves_long_series():
+    r, te, n = np.random.default_rng(8), np.array([1.0, 2.2, 3.1]), 301
+    d = np.diff(np.eye(n), 2, axis=0)
+    a = np.block([[3 * np.eye(n) + 3 * d.T @ d, -te.sum() * np.eye(n)], [-te.sum() * np.eye(n), (te @ te) * np.eye(n) + 0.5 * d.T @ d]])
+    turns = np.arange(2 * n).reshape(2, n).T.ravel()
+    b = r.normal(size=(2 * n, 4))
+    assert np.allclose(D._solve(D._factor(tuple(te), n, 3.0, 0.5), b), np.linalg.solve(a[np.ix_(turns, turns)], b))
+    for few in (1, 2):
+        assert np.isfinite(D.fit_series(np.ones((2, 3, few)), te, 3.0, 1.0)[0]).all()
+
+
+def test_stages_and_transforms(spark):
+    stem = "/d/sub-1_ses-2_task-rest_run-03"
+    names = ["_desc-preproc_bold.nii.gz", "_desc-preprocfinal_bold.nii.gz", "_desc-preproct2_bold.nii.gz", "_bold.dtseries.nii", "_desc-s0_bold.dtseries.nii", "_echo-1_desc-preproc_bold.nii.gz", "_physio.tsv.gz", "_desc-preproc_physio.tsv.gz", "_space-MNI_boldref.nii.gz"]
+    extra = ["/d/sub-1_ses-2_task-rest_run-03_from-boldref_to-T1w_mode-image_desc-coreg_xfm.txt", "/d/anat/sub-1_from-T1w_to-MNI_mode-image_xfm.h5"]
+    files = C.parse(spark.createDataFrame([(stem + n,) for n in names] + [(e,) for e in extra], "path string"))
+    ending = lambda df: [r.path[len(stem) :] for r in df.collect()]
+    assert ending(C.functional_stage(files, "rest")) == names[:1]
+    assert ending(C.functional_stage(files, "rest", "final", sessions=["2"])) == names[1:2]
+    assert ending(C.functional_stage(files, "rest", series="t2")) == names[2:3]
+    assert ending(C.functional_stage(files, "rest", kind="surface")) == names[3:4]
+    assert ending(C.functional_stage(files, "rest", kind="surface", series="s0")) == names[4:5]
+    assert ending(C.physio_stage(files, "rest")) == names[6:7] and ending(C.physio_stage(files, "rest", "final")) == names[7:8]
+    for wrong in (dict(stage="x"), dict(series="t3"), dict(sessions=["9"])):
+        with pytest.raises(ValueError):
+            C.functional_stage(files, "rest", **wrong)
+    assert C.single_echoes(C.functional_stage(files, "rest")).first().paths == [stem + names[0]]
+    runs = spark.createDataFrame([("1", "2", "rest", "03")], "sub string, ses string, task string, run string")
+    got = C.transforms(runs, files, "MNI").first()
+    assert (got.reference, got.to_anatomy, got.to_space) == (stem + names[8], *extra)
+    with pytest.raises(Exception, match="found 0"):
+        C.transforms(runs, files.where("to_date(null) is null and suffix <> 'boldref'"), "MNI").collect()
+    with pytest.raises(Exception, match="found 2"):
+        C.transforms(runs, files.unionByName(files.where("suffix = 'boldref'")), "MNI").collect()
+    paths = spark.createDataFrame([("a_echo-1_desc-preproc_bold.nii.gz",)], "p string")
+    assert tuple(paths.select(M.decay_name(F.col("p"), "t2").alias("a"), M.decay_name(F.col("p"), "s0", "MNI").alias("b")).first()) == ("a_desc-preproct2_bold.nii.gz", "a_space-MNI_desc-preprocs0_bold.nii.gz")
+
+
+def test_gifti_round_trip(spark, tmp_path):
+    rows = [(n, t, v, float(10 * t + v) if v else None) for n in ("lh", "rh") for t in range(12) for v in range(5)]
+    sinks.write_gifti(spark.createDataFrame(rows, "name string, t int, vertex int, x double").repartition(3), str(tmp_path / "s"), series=True)
+    back = tables.read_gifti(spark, str(tmp_path / "s" / "name=rh" / "*.txt")).collect()
+    assert len(back) == 60 and all(r.value is None if r.vertex == 0 else r.value == 10 * r.array + r.vertex for r in back)
+    mask = spark.createDataFrame([(0, True), (1, False)], "vertex int, in_mask boolean")
+    sinks.write_roi_pair(mask, mask.where("vertex = 0"), str(tmp_path / "m"))
+    assert [r.value for r in tables.read_gifti(spark, str(tmp_path / "m" / "name=L" / "*.txt")).orderBy("vertex").collect()] == [1.0, 0.0]
+    with pytest.raises(Exception, match="gaps"):
+        sinks.write_roi_pair(mask, mask.where("vertex = 1"), str(tmp_path / "n"))
+
+
+def test_draws(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(40)] + [(99, float("nan")), (98, None), (97, float("inf"))], "id int, x double")
+    got = [r.x for r in stats.draws(df, "x", ["id"], 400).orderBy("draw").collect()]
+    assert len(got) == 400 and set(got) == set(map(float, range(40))) and got == [r.x for r in stats.draws(df.repartition(5), "x", ["id"], 400).orderBy("draw").collect()]
+    assert max(got.count(x) for x in set(got)) < 40
+    assert stats.draws(df.where("id > 90"), "x", ["id"]).count() == 0
+
+
+def test_multiecho(spark, tmp_path):
+    te, t2 = (10.0, 25.0, 40.0), np.array([[30.0, 60.0], [45.0, 20.0]])
+    for run in ("01", "02"):
+        for e, t in enumerate(te, 1):
+            x = np.repeat(1000 * np.exp(-t / t2)[:, :, None, None], 6, axis=3).astype("<f4")
+            head = bytearray(352)
+            struct.pack_into("<i", head, 0, 348)
+            struct.pack_into("<8h", head, 40, 4, 2, 2, 1, 6, 1, 1, 1)
+            struct.pack_into("<h", head, 70, 16)
+            struct.pack_into("<3f", head, 108, 352.0, 0.0, 0.0)
+            gz = zlib.compressobj(wbits=31)
+            (tmp_path / f"sub-1_ses-2_task-rest_run-{run}_echo-{e}_desc-preproc_bold.nii.gz").write_bytes(gz.compress(bytes(head) + x.tobytes(order="F")) + gz.flush())
+    files = C.parse(C.listing(spark, str(tmp_path), "*.nii.gz"))
+    mask = spark.createDataFrame([(0, 0, 0), (0, 1, 0), (1, 0, 0)], "i int, j int, k int")
+    maps = W.multiecho(spark, files, mask, "rest", te)
+    got = {(r.run, r.i, r.j): r for r in maps.collect()}
+    assert len(got) == 8 and np.allclose(got["01", 0, 1].t2star, 60, rtol=1e-4) and np.allclose(got["02", 1, 0].t2star, 45, rtol=1e-4)
+    assert np.allclose(got["01", 0, 0].s0, 1000, rtol=1e-4) and got["02", 1, 1].s0 == [0.0] * 6 and got["02", 1, 1].t2star == [0.0] * 6
+    W.write_multiecho(maps, str(tmp_path / "out"), "MNI")
+    assert {r.name for r in spark.read.parquet(str(tmp_path / "out")).select("name").distinct().collect()} == {f"sub-1_ses-2_task-rest_run-{r}_space-MNI_desc-preproc{k}_bold.nii.gz" for r in ("01", "02") for k in ("t2", "s0")}
+    with pytest.raises(Exception, match="echoes"):
+        W.multiecho(spark, files, mask, "rest", te[:2]).collect()
+    with pytest.raises(ValueError):
+        W.multiecho(spark, files, mask, "motor", te)
