@@ -84,6 +84,22 @@ def derived_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("path", M.with_desc(F.col("path"), "preprocfinal").alias("final"), M.parent(F.col("path")).alias("folder"), M.stem(F.col("path")).alias("stem"), C.repetition_time(F.col("task")).alias("tr"))
 
 
+@query("stage_files", f"SELECT replace(path, '_echo-1_bold', '_desc-preprocfinalt2_bold') AS path, ses, run FROM {_FILES} WHERE echo = '1' AND task = 'rest'")
+def stage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final T2* files of a task, among the combined series and both maps of each run."""
+    first = files(spark, sf_dir).where("echo = '1'").select("path")
+    kinds = F.explode(F.array(*[F.lit(f"_desc-preprocfinal{k}_bold") for k in ("", "t2", "s0")]))
+    named = first.select("path", kinds.alias("k")).select(F.replace("path", F.lit("_echo-1_bold"), F.col("k")).alias("path"))
+    return C.functional_stage(C.parse(named), "rest", "final", series="t2").select("path", "ses", "run")
+
+
+@query("decay_names", f"SELECT path, replace(path, '_echo-1_bold', '_space-std_desc-preproct2_bold') AS t2, replace(path, '_echo-1_bold', '_desc-preprocs0_bold') AS s0 FROM {_FILES} WHERE echo = '1'")
+def decay_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of both decay maps of each run, beside its first echo."""
+    f = files(spark, sf_dir).where("echo = '1'").withColumn("_p", F.replace("path", F.lit("_bold"), F.lit("_desc-preproc_bold")))
+    return f.select("path", M.decay_name(F.col("_p"), "t2", "std").alias("t2"), M.decay_name(F.col("_p"), "s0").alias("s0"))
+
+
 @query("fixed_catalog", f"SELECT 'subj' || sub AS sub, task, ses, run FROM {_FILES}")
 def fixed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names built by the fixed pattern and parsed again."""
