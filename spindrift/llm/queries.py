@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, language, lines, neardup, packing, pii, secrets, tokens, vectors
+from . import archives, decontaminate, language, lines, neardup, packing, pii, resampling, secrets, tokens, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lexical_packing": packing.op8_lexical_packing,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op9_line_dedup": lines.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
 }
