@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, language, lines, neardup, packing, pii, resampling, secrets, tokens, vectors
+from . import archives, decontaminate, language, lines, neardup, packing, pii, quality, resampling, secrets, spelling, tokens, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -20,10 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_quality_rules": quality.op12_quality_rules,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op9_line_dedup": lines.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
     "op11_importance_resampling": resampling.OP11_SQL,
+    "op12_quality_rules": quality.OP12_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
