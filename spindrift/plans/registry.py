@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import catalog_queries, event_queries, label_queries, matrix_queries, model_queries, series_queries, signal_queries  # noqa: E402, F401
+from . import catalog_queries, container_queries, event_queries, label_queries, matrix_queries, model_queries, series_queries, signal_queries  # noqa: E402, F401
