@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import boxed, checked_broadcast, cut, table, unboxed
+from .common import BROADCAST_ROWS, boxed, checked_broadcast, cut, table, unboxed
 
 #: Base rules: fewest words, and the largest share of words in repeated 3-word windows, in percent.
 LEAST_WORDS, MOST_REPEATED, RUN = 50, 50, 3
@@ -138,7 +138,7 @@ def _summed(df: DataFrame, *by: str) -> DataFrame:
 
 
 def _model(sums: DataFrame, factor: float) -> DataFrame:
-    return cut(_through(sums, covariance_sql(factor)).select("_g", *MODEL))
+    return cut(_through(sums, covariance_sql(factor)).select("_g", *MODEL, *SUMS))
 
 
 def grouped(vectors: DataFrame, least: int = LEAST_GROUP) -> tuple[DataFrame, DataFrame]:
@@ -177,21 +177,21 @@ def determinant_estimates(vectors: DataFrame, steps: int = STEPS, least: int = L
     medians = [F.percentile(q, 0.5).alias(f"m{k}") for k, q in enumerate(_Q, 1)]  # whole thousandths: few distinct values
     middle = cut(vectors.groupBy("_g").agg(F.count("*").alias("_of"), *medians).where(F.col("_of") >= least))
     spread = vectors.join(checked_broadcast(middle), "_g").groupBy("_g").agg(*[F.percentile(F.expr(f"abs({q} - m{k})"), 0.5).alias(f"w{k}") for k, q in enumerate(_Q, 1)])
+    hint = F.broadcast if middle.count() <= BROADCAST_ROWS else lambda small: small  # one row a group from here on
     model = cut(_through(middle.join(spread, "_g"), [START_SQL]).select("_g", *MODEL))
-    half = checked_broadcast(middle.select("_g", F.floor((F.col("_of") + P + 1) / 2).alias("_half")))
+    half = hint(middle.select("_g", F.floor((F.col("_of") + P + 1) / 2).alias("_half")))
     upto = Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    measured = lambda m: _through(vectors.join(checked_broadcast(m), "_g"), distance_sql())
+    measured = lambda m: _through(vectors.join(hint(m.select("_g", *MODEL)), "_g"), distance_sql())
     before = None
     for _ in range(steps):
         binned = _summed(measured(model).withColumn("_bin", F.expr(BIN)), "_g", "_bin")
         running = binned.select("_g", "_bin", *[F.sum(c).over(upto).alias(c) for c in SUMS]).join(half, "_g").where("n >= _half")
-        nearest = cut(running.groupBy("_g").agg(F.min_by(F.struct(*SUMS), "_bin").alias("s")).select("_g", "s.*"))
-        model = _model(nearest, HALF)
-        now = nearest.agg(F.bit_xor(F.xxhash64("_g", *SUMS))).first()
+        model = _model(running.groupBy("_g").agg(F.min_by(F.struct(*SUMS), "_bin").alias("s")).select("_g", "s.*"), HALF)
+        now = model.agg(F.bit_xor(F.xxhash64("_g", *SUMS))).first()
         if now == before:
             break
         before = now
-    return _model(_summed(measured(model).where(F.col("d2") <= NEAR), "_g"), MOST)
+    return _model(_summed(measured(model).where(F.col("d2") <= NEAR), "_g"), MOST).select("_g", *MODEL)
 
 
 BASE_FAILED = f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words"
