@@ -10,9 +10,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import decompose, projected, time_scores
+
 
 def gram(rows: DataFrame, vector: str, moments: bool = False) -> DataFrame:
     """``i, j, s``: sum over rows of v[i] v[j], upper half too. One partial matrix a task, then summed.
@@ -103,75 +105,43 @@ def roi_seed(matrix: DataFrame, roi: DataFrame, strategy: str = "mean") -> DataF
         return mean
     if strategy != "pca":
         raise ValueError("strategy must be mean or pca")
-    centre = inside.groupBy("voxel").agg(F.avg("x").alias("_m"))
-    c = inside.join(centre, "voxel").select("t", "voxel", (F.col("x") - F.col("_m")).alias("x"))
-    names = [r[0] for r in centre.select("voxel").orderBy("voxel").collect()]  # a region's voxels
-    at = small_index(c, names)
-    m = to_matrix(cross_products(at, at, ["t"], "k", "k"))
-    vector = np.linalg.eigh(m)[1][:, -1]
-    w = c.sparkSession.createDataFrame([(int(k), float(v)) for k, v in enumerate(vector)], "k int, w double")
-    pc = at.join(F.broadcast(w), "k").groupBy("t").agg(F.sum(F.col("x") * F.col("w")).alias("s"))
+    times = inside.select("t").distinct().withColumn("_k", F.row_number().over(Window.orderBy("t")) - 1)  # a frame each
+    n = times.count()
+    series = inside.join(F.broadcast(times), "t").groupBy("voxel").agg(F.map_from_entries(F.collect_list(F.struct("_k", "x"))).alias("_x"))
+    series = series.withColumn("_m", F.aggregate(F.map_values("_x"), F.lit(0.0), lambda a, x: a + x) / F.size("_x"))
+    ts = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda k: F.coalesce(F.col("_x")[k], F.col("_m")))
+    found = decompose(series.select(ts.alias("ts")), "ts", 1, centre="rows")
+    first = (found.vectors * found.values)[:, 0] if len(found.values) else np.zeros(0)
+    w = inside.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(first)], "_k int, s double")
+    pc = times.join(F.broadcast(w), "_k").select("t", "s")
     sign = pc.join(mean.withColumnRenamed("s", "_m"), "t").agg(F.covar_pop("s", "_m")).first()[0]
-    return pc.withColumn("s", F.col("s") * F.lit(-1.0 if sign < 0 else 1.0))
+    return pc.withColumn("s", F.col("s") * F.lit(-1.0 if sign is not None and sign < 0 else 1.0))
 
 
-def small_index(df: DataFrame, names: list) -> DataFrame:
-    """``voxel`` replaced by its place in a short list, as ``k``."""
-    t = df.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], f"voxel {df.schema['voxel'].dataType.simpleString()}, k int")
-    return df.join(F.broadcast(t), "voxel")
+def pca(rows: DataFrame, key: str, vector: str, k: int, n_iter: int = 10) -> tuple[DataFrame, pd.DataFrame]:
+    """``(key, component, score)`` and the loadings with explained variance, of rows that are samples.
 
+    Components are those of the centred columns, scores the uncentred rows times them (``components.decompose``).
+    """
+    found = decompose(rows, vector, k, n_iter)
+    loadings = pd.DataFrame(found.vectors * found.values / np.sqrt(max(found.rows - 1, 1)))
+    loadings.attrs["explained_variance"] = found.values**2 / max(found.rows - 1, 1) / max(len(found.vectors), 1)
+    return projected(rows, key, vector, found.vectors), loadings
 
-def pca(rows: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, pd.DataFrame]:
-    """``(key, component, score)`` and the loadings with explained variance.
 
-    From the uncentred second moments of the columns, so the exact solution of what a randomised one
-    approximates. The sign makes the largest entry of each component positive.
-    """
-    both = gram(rows, vector, moments=True).toPandas()
-    n = int(both.loc[(both["i"] == -1) & (both["j"] == -1), "s"].iloc[0]) if ((both["i"] == -1) & (both["j"] == -1)).any() else rows.count()
-    inner = both[(both["i"] >= 0) & (both["j"] >= 0)]
-    width = int(inner["j"].max()) + 1
-    m = np.zeros((width, width))
-    m[inner["i"], inner["j"]] = inner["s"]
-    value, vectors = np.linalg.eigh(m)
-    order = np.argsort(-value)[:k]
-    v = vectors[:, order]
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    s2 = np.maximum(value[order], 0)
-    loadings = pd.DataFrame(v * np.sqrt(s2) / np.sqrt(max(n - 1, 1)))
-    loadings.attrs["explained_variance"] = s2 / max(n - 1, 1) / width
-    weights = [[F.lit(float(x)) for x in column] for column in v.T]
-    dot = lambda w: F.aggregate(F.zip_with(vector, F.array(*w), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scores = rows.select(key, F.posexplode(F.array(*[dot(w) for w in weights])).alias("component", "score"))
-    return scores, loadings
-
-
-def pca_time(voxels: DataFrame, key: str, ts: str, k: int) -> tuple[pd.DataFrame, DataFrame]:
+def pca_time(voxels: DataFrame, key: str, ts: str, k: int, n_iter: int = 10) -> tuple[pd.DataFrame, DataFrame]:
     """Scores ``(t, component, score)`` on the driver and loadings ``(key, component, loading)``, from a row per voxel.
 
-    For far more voxels than times: the time-by-time products are summed over voxels (one partial matrix a
-    task), their eigenvectors give the scores, and a map-only product with them the loadings. As ``pca``
-    otherwise: uncentred, exact, the largest score of each component positive.
+    As ``pca`` of the matrix on its side, where times are the samples: each voxel is centred, the scores are of
+    the uncentred matrix, and the largest entry of a component's time course is positive.
     """
-    m = to_matrix(gram(voxels, ts))
-    value, vectors = np.linalg.eigh(m)
-    order = np.argsort(-value)[:k]
-    u = vectors[:, order]
-    u = u * np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
-    s = np.sqrt(np.maximum(value[order], 0))
-    t, c = np.indices(u.shape)
-    scores = pd.DataFrame({"t": t.ravel(), "component": c.ravel(), "score": (u * s).ravel()})
-    scores.attrs["explained_variance"] = s**2 / max(len(u) - 1, 1)
-    scale = np.sqrt(max(len(u) - 1, 1))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch[ts].to_numpy()).astype(float) @ u / scale
-                yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), x.shape[1]), "component": np.tile(np.arange(x.shape[1]), len(x)), "loading": x.ravel()})
-
-    kind = voxels.schema[key].dataType.simpleString()
-    return scores, voxels.select(key, ts).mapInPandas(work, f"`{key}` {kind}, component int, loading double")
+    found = decompose(voxels, ts, k, n_iter, centre="rows")
+    course = time_scores(voxels, ts, found)
+    t, c = np.indices(course.shape)
+    scores = pd.DataFrame({"t": t.ravel(), "component": c.ravel(), "score": course.ravel()})
+    n = max(len(found.vectors) - 1, 1)
+    scores.attrs["explained_variance"] = found.values**2 / n / max(found.rows, 1)
+    return scores, projected(voxels, key, ts, found.vectors / np.sqrt(n), "rows", "loading")
 
 
 def bilinear(design: DataFrame, outcomes: DataFrame, maps: DataFrame, penalty: float = 0.01) -> tuple[DataFrame, DataFrame]:

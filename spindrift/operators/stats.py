@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import exact_quantiles
+
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -25,35 +27,30 @@ def global_signal(matrix: DataFrame, how: str = "mean", mask: DataFrame | None =
     return m.groupBy("t").agg((F.avg("x") if how == "mean" else F.median("x")).alias("gs"))
 
 
-def quantiles(value: Column, at: Sequence[float], accuracy: int | None = None) -> Column:
-    """An array of quantiles: exact and interpolated, or, for groups with too many distinct values to hold, by a sketch.
-
-    The exact aggregate keeps a count per distinct value of a group; ``accuracy`` (rank error 1 / accuracy)
-    keeps a bounded sketch instead.
-    """
-    p = [float(v) for v in at]
-    return F.percentile(value, F.array(*map(F.lit, p))) if accuracy is None else F.percentile_approx(value, p, accuracy)
+def quantiles(df: DataFrame, value: str, by: Sequence[str], at: Sequence[float], accuracy: int | None = None) -> DataFrame:
+    """``by`` and ``q``, an array of quantiles: exact whatever the size of a group, or with ``accuracy`` (rank error 1 / accuracy) a sketch's."""
+    if accuracy is None:
+        return exact_quantiles(df, value, by, at)
+    return df.groupBy(*by).agg(F.percentile_approx(value, [float(v) for v in at], accuracy).alias("q"))
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Quartiles, mean, and whiskers: the extreme values within 1.5 interquartile ranges of the box."""
     by = list(by)
-    q = df.groupBy(*by).agg(quantiles(F.col(value), (0.25, 0.5, 0.75), accuracy).alias("_q"), F.avg(value).alias("mean"))
-    q = q.select(*by, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("median"), F.get("_q", F.lit(2)).alias("q3"), "mean")
+    q = quantiles(df, value, by, (0.25, 0.5, 0.75), accuracy)
+    q = q.select(*by, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     x = F.col(value)
-    ends = df.join(q, by).groupBy(*by).agg(
-        F.min(F.when(x >= F.col("q1") - 1.5 * iqr, x)).alias("low"), F.max(F.when(x <= F.col("q3") + 1.5 * iqr, x)).alias("high")
+    return df.join(q, by).groupBy(*by, "q1", "median", "q3").agg(
+        F.avg(value).alias("mean"), F.min(F.when(x >= F.col("q1") - 1.5 * iqr, x)).alias("low"), F.max(F.when(x <= F.col("q3") + 1.5 * iqr, x)).alias("high")
     )
-    return q.join(ends, by)
 
 
 def intensity_bounds(df: DataFrame, value: str, low: float = 1.0, high: float = 99.0, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """Percentile bounds of the finite values; degenerate bounds are opened a little."""
     check_percentiles(low, high)
-    x = F.col(value)
-    p = df.where(finite(x)).groupBy(*by).agg(quantiles(x, (low / 100, high / 100), accuracy).alias("_p"))
-    a, b = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
+    p = quantiles(df.where(finite(F.col(value))), value, by, (low / 100, high / 100), accuracy)
+    a, b = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     return p.select(*by, a.alias("vmin"), F.when(b <= a, a + 1e-6).otherwise(b).alias("vmax"))
 
 
@@ -76,14 +73,17 @@ def normalised_rmse(df: DataFrame, observed: str, fitted: str, by: Sequence[str]
 
 def fit_summary(df: DataFrame, value: str, cap: float, by: Sequence[str] = ()) -> DataFrame:
     """Share of missing values, share at the cap (within one part in 10**5), median and 99th percentile."""
-    x = F.col(value)
+    x, by = F.col(value), list(by)
     ok = finite(x)
-    return df.groupBy(*by).agg(
-        F.avg(F.when(ok, 0.0).otherwise(1.0)).alias("nan_fraction"),
-        F.avg(F.when(ok, F.when(F.abs(x - cap) <= 1e-5 * cap, 1.0).otherwise(0.0))).alias("clip_fraction"),
-        F.percentile(F.when(ok, x), 0.5).alias("median"),
-        F.percentile(F.when(ok, x), 0.99).alias("p99"),
+    shares = df.groupBy(*by).agg(
+        F.avg(F.when(ok, 0.0).otherwise(1.0)).alias("nan_fraction"), F.avg(F.when(ok, F.when(F.abs(x - cap) <= 1e-5 * cap, 1.0).otherwise(0.0))).alias("clip_fraction")
     )
+    q = exact_quantiles(df.where(ok), value, by, (0.5, 0.99))
+    q = q.select(*[F.col(c).alias(f"_q{c}") for c in by], F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p99"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_q{c}"))
+    return shares.join(q, same, "left").drop(*[f"_q{c}" for c in by])
 
 
 def column_moments(matrix: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def intensity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("percentiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = I.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"))
-    return p.select("l_returnflag", *[F.round(F.get("p", F.lit(k)), 4).alias(n) for k, n in enumerate(("p05", "p50", "p95"))])
+    p = A.quantiles(I.table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"], (0.05, 0.5, 0.95))
+    return p.select("l_returnflag", *[F.round(F.get("q", F.lit(k)), 4).alias(n) for k, n in enumerate(("p05", "p50", "p95"))])
 
 
 @query(

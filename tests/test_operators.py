@@ -168,9 +168,9 @@ def test_pca(spark):
     x = r.normal(size=(40, 5)) @ np.diag([5, 3, 1, 0.5, 0.1])
     df = spark.createDataFrame([(t, v.tolist()) for t, v in enumerate(x)], "t int, v array<double>")
     scores, loadings = L.pca(df, "t", "v", 2)
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
     got = L.to_matrix(scores, "t", "component", "score")
-    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2])) and np.allclose(loadings.attrs["explained_variance"], s[:2] ** 2 / 39 / 5)
+    assert np.allclose(np.abs(got), np.abs(x @ vt[:2].T)) and np.allclose(loadings.attrs["explained_variance"], s[:2] ** 2 / 39 / 5)
 
 
 def test_pca_over_time(spark):
@@ -178,8 +178,9 @@ def test_pca_over_time(spark):
     x = r.normal(size=(12, 60)) * np.linspace(3, 1, 12)[:, None]
     df = spark.createDataFrame([(v, x[:, v].tolist()) for v in range(60)], "voxel int, ts array<double>")
     scores, loadings = L.pca_time(df, "voxel", "ts", 3)
-    u, s, vt = np.linalg.svd(x, full_matrices=False)
-    assert np.allclose(np.abs(scores["score"].to_numpy().reshape(12, 3)), np.abs(u[:, :3] * s[:3]))
+    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(scores["score"].to_numpy().reshape(12, 3)), np.abs(x @ vt[:3].T))
+    assert np.allclose(scores.attrs["explained_variance"], s[:3] ** 2 / 11 / 60)
     assert np.allclose(np.abs(L.to_matrix(loadings, "voxel", "component", "loading")), np.abs(vt[:3].T * s[:3]) / np.sqrt(11))
 
 
