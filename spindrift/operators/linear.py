@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .components import decompose, projected, time_scores
 
 
@@ -107,10 +108,11 @@ def roi_seed(matrix: DataFrame, roi: DataFrame, strategy: str = "mean") -> DataF
         raise ValueError("strategy must be mean or pca")
     times = inside.select("t").distinct().withColumn("_k", F.row_number().over(Window.orderBy("t")) - 1)  # a frame each
     n = times.count()
-    series = inside.join(F.broadcast(times), "t").groupBy("voxel").agg(F.map_from_entries(F.collect_list(F.struct("_k", "x"))).alias("_x"))
-    series = series.withColumn("_m", F.aggregate(F.map_values("_x"), F.lit(0.0), lambda a, x: a + x) / F.size("_x"))
-    ts = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda k: F.coalesce(F.col("_x")[k], F.col("_m")))
-    found = decompose(series.select(ts.alias("ts")), "ts", 1, centre="rows")
+    series = inside.join(F.broadcast(times), "t").groupBy("voxel").agg(F.sort_array(F.collect_list(F.struct("_k", "x"))).alias("_x"), F.avg("x").alias("_m"))
+    held = F.map_from_entries("_x")  # a frame that a voxel lacks has its mean
+    filled = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda k: F.coalesce(held[k], F.col("_m")))
+    ts = F.when(F.size("_x") == n, F.transform("_x", lambda e: e["x"])).otherwise(filled)
+    found = decompose(cut(series.select(ts.alias("ts"))), "ts", 1, centre="rows")
     first = (found.vectors * found.values)[:, 0] if len(found.values) else np.zeros(0)
     w = inside.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(first)], "_k int, s double")
     pc = times.join(F.broadcast(w), "_k").select("t", "s")
