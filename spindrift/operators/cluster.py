@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+from .peaks import Limits, find_peaks, numbered
+from .selection import exact_quantiles
+
 
 def squared_distance(vector: str, centre: list[float]) -> Column:
     pairs = F.zip_with(vector, F.array(*[F.lit(float(c)) for c in centre]), lambda a, b: (a - b) * (a - b))
@@ -42,20 +48,66 @@ def occurrences(frames: DataFrame, peaks: DataFrame) -> DataFrame:
     return frames.select("t").join(peaks.select("t", "cluster"), "t", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
-def co_activation(frames: DataFrame, key: str, vector: str, n: int, rounds: int = 300, quantile: float = 0.75) -> tuple[list[list[float]], DataFrame]:
-    """Maps of ``n`` patterns and the occurrence of each over all frames.
+def global_peaks(
+    signal: DataFrame, method: str = "zscore", threshold: float = 2.0, distance: int = 0, most: int | None = None, local_maxima: bool = True,
+    prominence: Limits = None, width: Limits = None, wlen: int | None = None, rel_height: float = 0.5, plateau_size: Limits = None,
+) -> tuple[DataFrame, float]:
+    """``t, gs`` of the peaks of ``signal(t, gs)``, and the threshold that was used.
 
-    The global signal is each frame's mean; its strict local maxima in the top quarter are the peaks. The
-    first centres are the ``n`` highest peaks. Fewer peaks than patterns is an error.
+    ``zscore`` compares the standardised signal with the threshold, ``percentile`` the signal with its percentile of
+    that name, ``absolute`` with the number itself. Without ``local_maxima`` every frame at or above it counts. Of
+    more than ``most`` peaks the highest stay (earlier ones of equals). Frames are numbered in order of ``t``.
     """
-    from .series import peaks as find
+    if method not in ("zscore", "percentile", "absolute"):
+        raise ValueError("method must be zscore, percentile or absolute")
+    if method == "percentile":
+        found = exact_quantiles(signal, "gs", [], [threshold / 100]).first()
+        score, bound = F.col("gs"), float(found.q[0]) if found else 0.0
+    else:
+        m = signal.agg(F.avg("gs"), F.stddev_pop("gs")).first() if method == "zscore" else None
+        score, bound = (F.col("gs") - F.lit(m[0])) / F.nullif(F.lit(m[1]), F.lit(0.0)) if m and m[0] is not None else F.col("gs"), float(threshold)
+    scored = signal.select("t", "gs", score.alias("_s"))
+    if not local_maxima:
+        return scored.where(F.col("_s") >= bound).select("t", "gs"), bound
+    rows = numbered(scored.where("_s is not null"), ["t"]).withColumn("_run", F.lit("all"))
+    at = find_peaks(rows, "_s", "_run", "ix", bound, plateau_size, distance or None, prominence, width, wlen, rel_height)
+    if most is not None:
+        at = at.orderBy(F.desc("height"), "ix").limit(most)
+    return rows.join(at.select("ix"), "ix", "left_semi").select("t", "gs"), bound
+
+
+def co_activation(
+    frames: DataFrame, key: str, vector: str, n: int, rounds: int = 300, method: str = "percentile", threshold: float = 75.0, mask: Sequence[bool] | None = None,
+    reducer: str = "mean", standardise: bool = False, eps: float = 1e-12, **limits,
+) -> tuple[list[list[float]], DataFrame]:
+    """Maps of ``n`` patterns and the occurrence of each over all frames.
 
-    mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x) / F.size(vector)
-    g = frames.select(F.col(key).alias("t"), F.col(vector).alias("v"), mean.alias("gs")).withColumn("run", F.lit(0))
-    bound = g.agg(F.percentile("gs", quantile)).first()[0]
+    The global signal is each frame's mean or median (``reducer``) over all places or those of ``mask``; its peaks
+    are as ``global_peaks`` takes them, with ``limits`` passed on. With ``standardise`` a peak's vector loses its own
+    mean and spread. The first centres are the ``n`` highest peaks. Fewer peaks than patterns is an error, and so is
+    a mask of another length than the vectors or without a place.
+    """
+    if reducer not in ("mean", "median"):
+        raise ValueError("reducer must be mean or median")
+    v = F.col(vector)
+    if mask is not None:
+        if not any(mask):
+            raise ValueError("the mask has no place")
+        fits = F.assert_true(F.size(v) == len(mask), F.lit("the mask is of another length than a vector"))
+        v = F.filter(F.when(fits.isNull(), v), lambda x, i: F.get(F.array(*[F.lit(bool(b)) for b in mask]), i))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    s = F.array_sort(v)
+    middle = (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    gs = total(v) / F.size(v) if reducer == "mean" else middle
+    g = frames.select(F.col(key).alias("t"), F.col(vector).alias("v"), gs.alias("gs"))
     # the peaks are found on times and means alone; only theirs are the vectors that follow
-    at = find(g.select("run", "t", "gs"), "gs", ["run"], ["t"], F.lit(bound)).select("t")
-    top = g.join(at, "t", "left_semi")
+    at, _ = global_peaks(g.select("t", "gs"), method, threshold, **limits)
+    top = g.join(at.select("t"), "t", "left_semi")
+    if standardise:
+        mean = total(F.col("v")) / F.size("v")
+        top = top.withColumn("_m", mean).withColumn("_sd", F.sqrt(total(F.transform("v", lambda x: (x - F.col("_m")) * (x - F.col("_m")))) / F.size("v")))
+        top = top.withColumn("v", F.transform("v", lambda x: (x - F.col("_m")) / (F.col("_sd") + eps))).drop("_m", "_sd")
+    top = cut(top)
     first = [r["v"] for r in top.orderBy(F.col("gs").desc(), "t").limit(n).collect()]
     if len(first) < n:
         raise ValueError("fewer peaks than patterns")

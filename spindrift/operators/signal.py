@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .peaks import chunked
 
 
 def clean_voxels(voxels: DataFrame, tr: float, high_pass: float | None = 0.01, low_pass: float | None = None, order: int = 4, trim: int = 0, linear: bool = True, scale: bool = True, ts: str = "ts") -> DataFrame:
@@ -183,3 +184,34 @@ def smooth(voxels: DataFrame, fwhm: float, size: float) -> DataFrame:
         to = [(F.col(c) + F.col("s.d")).alias(c) if c == axis else F.col(c) for c in axes]
         sums = sent.groupBy(*to).agg(F.sum(F.col("w") * F.col("s.g")).alias("w"), F.sum(F.col("wx") * F.col("s.g")).alias("wx"))
     return sums.select(*axes, (F.col("wx") / F.col("w")).alias("x")).join(voxels.select(*axes), list(axes), "left_semi")
+
+
+def resampled(df: DataFrame, value: str, run: str, ix: str, up: int, down: int, chunk: int = 1 << 16) -> DataFrame:
+    """``run, ix, value`` of each series (``ix`` from 0 without gaps) at ``up / down`` of its rate, a chunk and what the filter reaches of its neighbours in a task.
+
+    Equal to the whole series in one piece, of which n samples give ceil(n up / down). Before and after it lie zeros.
+    """
+    if up < 1 or down < 1:
+        raise ValueError("up and down must be 1 or more")
+    common = int(np.gcd(up, down))
+    u, d = up // common, down // common
+    reach = 10 * max(u, d) // u + 2
+    size = max(chunk, reach)
+    c = F.col("_chunk")
+    chunks = chunked(df, value, run, ix, size)
+    last = chunks.groupBy("_run").agg(F.max(F.col("_first") + F.size("_x")).alias("_n"))
+    beside = chunks.select("_run", F.explode(F.array(c - 1, c, c + 1)).alias("_chunk"), F.struct("_first", "_x").alias("_p"))
+    wide = beside.groupBy("_run", "_chunk").agg(F.sort_array(F.collect_list("_p")).alias("_p")).join(last, "_run")
+    wide = wide.where((c >= 0) & (c * size < F.col("_n")))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, k, parts, n in zip(batch["_run"], batch["_chunk"], batch["_p"], batch["_n"]):
+                parts = [p if isinstance(p, dict) else p.asDict() for p in parts]
+                x = np.concatenate([np.asarray(p["_x"], float) for p in parts])
+                start, stop = -(-int(k) * size * u // d), -(-min((int(k) + 1) * size, int(n)) * u // d)
+                y = K.polyphase(x, u, d, int(parts[0]["_first"]), start, stop)
+                yield pd.DataFrame({"_run": name, ix: np.arange(start, stop), value: y})
+
+    out = wide.select("_run", "_chunk", "_p", "_n").mapInPandas(work, f"_run string, `{ix}` long, `{value}` double")
+    return out.select(F.col("_run").cast(df.schema[run].dataType).alias(run), ix, value)

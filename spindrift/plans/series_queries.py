@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import basis as B
+from ..operators import peaks as P
 from ..operators import series as S
 from . import inputs as I
 from .inputs import HOUR_SQL, HOURLY_SQL, RUNS_SQL
@@ -129,6 +130,30 @@ def peaks_threshold_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run", "t", F.round("x", 6).alias("height"))
 
 
+_PEAKS_SQL = f"""
+    WITH s AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY t) - 1 AS ix, x FROM {RUNS_SQL}),
+    p AS (SELECT run, ix, x FROM (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM s WINDOW w AS (PARTITION BY run ORDER BY ix)) WHERE x > a AND x > b),
+    l AS (SELECT p.run, p.ix, coalesce(max(s.ix), 0) AS g FROM p LEFT JOIN s ON s.run = p.run AND s.ix < p.ix AND s.x > p.x GROUP BY 1, 2),
+    r AS (SELECT p.run, p.ix, coalesce(min(s.ix), 1000000000) AS g FROM p LEFT JOIN s ON s.run = p.run AND s.ix > p.ix AND s.x > p.x GROUP BY 1, 2),
+    b AS (
+      SELECT p.run, p.ix, p.x, greatest(min(s.x) FILTER (WHERE s.ix <= p.ix), min(s.x) FILTER (WHERE s.ix >= p.ix)) AS low
+      FROM p JOIN l ON l.run = p.run AND l.ix = p.ix JOIN r ON r.run = p.run AND r.ix = p.ix JOIN s ON s.run = p.run AND s.ix BETWEEN l.g AND r.g GROUP BY 1, 2, 3),
+    h AS (SELECT run, ix, x, x - low AS prominence, greatest(x - (x - low) * 0.5, low) AS level FROM b WHERE x - low >= 20),
+    e AS (
+      SELECT h.run, h.ix, h.prominence, h.level, max(s.ix) FILTER (WHERE s.ix < h.ix) AS i, min(s.ix) FILTER (WHERE s.ix > h.ix) AS j
+      FROM h JOIN s ON s.run = h.run AND s.x <= h.level GROUP BY 1, 2, 3, 4)
+    SELECT e.run, CAST(e.ix AS BIGINT) AS ix, round(e.prominence, 6) AS prominence, round((e.j - (e.level - sj.x) / (sk.x - sj.x)) - (e.i + (e.level - si.x) / (sn.x - si.x)), 6) AS width
+    FROM e JOIN s si ON si.run = e.run AND si.ix = e.i JOIN s sn ON sn.run = e.run AND sn.ix = e.i + 1 JOIN s sj ON sj.run = e.run AND sj.ix = e.j JOIN s sk ON sk.run = e.run AND sk.ix = e.j - 1"""
+
+
+@query("peaks_prominence_width", _PEAKS_SQL)
+def peaks_prominence_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of each type's series that stand out by 20, with their width at half of it."""
+    s = S.concat_runs(I.runs(spark, sf_dir), "run", ["t"], "n")
+    s = s.join(s.groupBy("run").agg(F.min("n").alias("_n")), "run").withColumn("ix", F.col("n") - F.col("_n"))
+    return P.find_peaks(s, "x", "run", "ix", prominence=20.0, chunk=256).select("run", "ix", F.round("prominence", 6).alias("prominence"), F.round("width", 6).alias("width"))
+
+
 @query(
     "first_takes_second",
     f"SELECT run, t, round(CASE WHEN row_number() OVER w = 1 THEN coalesce(lead(x) OVER w, x) ELSE x END, 6) AS x FROM {RUNS_SQL} WINDOW w AS (PARTITION BY run ORDER BY t)",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
+from ..operators import series as S
 from ..operators import signal as P
 from . import inputs as I
 from .registry import query
@@ -20,6 +22,24 @@ def _long(df: DataFrame) -> DataFrame:
     return df.select("run", F.posexplode("ts").alias("t", "x")).withColumn("x", F.round("x", 6))
 
 
+UP, DOWN = 2, 3
+_REACH = 10 * max(UP, DOWN)
+
+
+@query(
+    "resampled_series",
+    f"""WITH s AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY t) - 1 AS ix, x FROM {I.RUNS_SQL}),
+    h(j, w) AS (VALUES {", ".join(f"({j}, CAST('{float(w)!r}' AS DOUBLE))" for j, w in zip(range(-_REACH, _REACH + 1), K.polyphase_filter(UP, DOWN)))}),
+    n AS (SELECT run, (count(*) * {UP} + {DOWN - 1}) // {DOWN} AS n FROM s GROUP BY run), m AS (SELECT run, unnest(range(0, CAST(n AS BIGINT))) AS ix FROM n)
+    SELECT m.run, m.ix, round(sum(s.x * h.w), 6) AS x FROM m JOIN s ON s.run = m.run AND abs(m.ix * {DOWN} - s.ix * {UP}) <= {_REACH} JOIN h ON h.j = m.ix * {DOWN} - s.ix * {UP} GROUP BY 1, 2""",
+)
+def resampled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's series at two thirds of its rate."""
+    s = S.concat_runs(I.runs(spark, sf_dir), "run", ["t"], "n")
+    s = s.join(s.groupBy("run").agg(F.min("n").alias("_n")), "run").withColumn("ix", F.col("n") - F.col("_n"))
+    return P.resampled(s, "x", "run", "ix", UP, DOWN, chunk=256).withColumn("x", F.round("x", 6))
+
+
 @query("high_pass")
 def high_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trimmed, detrended, high-passed and standardised series."""
