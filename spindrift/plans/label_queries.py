@@ -160,11 +160,28 @@ def sample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nearest(sample_points(spark, sf_dir), volume(spark, sf_dir)).select("id", F.round("value", 6).alias("value"))
 
 
-@query("sample_linear")
+@query(
+    "sample_linear",
+    f"""WITH p AS (SELECT event_id AS id, (event_id % 90) / 10.0 AS x, (event_id % 1801) / 9.0 AS y, (event_id % 61) + 0.25 AS z FROM events),
+    c AS (
+      SELECT id, CAST(floor(x) AS BIGINT) + a AS i, CAST(floor(y) AS BIGINT) + b AS j, CAST(floor(z) AS BIGINT) + c AS k,
+        (CASE WHEN a = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN b = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN c = 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END) AS w
+      FROM p, range(0, 2) r(a), range(0, 2) s(b), range(0, 2) t(c))
+    SELECT id, round(CASE WHEN count(*) = count(v) THEN sum(w * v) END, 6) AS value FROM c LEFT JOIN {_VOLUME} m ON m.i = c.i AND m.j = c.j AND m.k = c.k WHERE w > 0 GROUP BY id""",
+)
 def sample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.linear(sample_points(spark, sf_dir), volume(spark, sf_dir)).select("id", F.round("value", 6).alias("value"))
 
 
+@query("sample_cubic")
+def sample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole part of the volume, which may end within a row of ten, by a cubic spline."""
+    v = volume(spark, sf_dir)
+    rows = v.groupBy("j").agg(F.count_distinct("i").alias("n"))
+    whole = v.join(rows.where("n < 10").agg(F.coalesce(F.min("j"), F.lit(1 << 30)).alias("_j")), F.col("j") < F.col("_j")).drop("_j")
+    return G.sample(sample_points(spark, sf_dir), whole, "cubic").select("id", F.round("value", 6).alias("value"))
+
+
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix as one volume: ten frames wide, as long as it takes, as deep as a vector."""
     m = I.matrix(spark, sf_dir)
