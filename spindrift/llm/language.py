@@ -124,12 +124,14 @@ def fit_language(labelled: DataFrame, text: str = "text", label: str = "lang", p
 
     Two scans: document frequencies of all rows (a vector of FEATURES sums, so what reaches the driver
     doesn't grow with the data), and the features of about ``per_label`` distinct texts of each label (fewer
-    if there are many labels), chosen by their hashes and gathered in one training task. The model depends
+    if there are many labels), chosen by their hashes at a rate that counts repeated texts once, and gathered in one training task. The model depends
     on the rows alone, not on their order or files. Null texts and labels teach nothing; repeated texts
     count each time in the frequencies and once in the sample; texts are read whole, however long.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).where("label is not null and text is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("distinct"))
+    found = counts.orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()
+    sizes, distinct = {r.label: r.n for r in found}, {r.label: r.distinct for r in found}
     per_label = min(per_label, SAMPLE // max(1, len(sizes)))
     if not sizes:
         return Model([], np.ones(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0))
@@ -157,7 +159,7 @@ def fit_language(labelled: DataFrame, text: str = "text", label: str = "lang", p
         m = train([(np.frombuffer(i, "<u4"), np.frombuffer(c, "<u4"), y) for _, i, c, y in rows], idf)
         yield pd.DataFrame({"labels": [m.labels], "weights": [m.weights.astype("<f8").tobytes()], "bias": [m.bias.astype("<f8").tobytes()], "t": [m.temperature]})
 
-    rate = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_label / v)))])
+    rate = F.create_map(*[x for k, v in distinct.items() for x in (F.lit(k), F.lit(min(1.0, per_label / max(1, v))))])
     drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / (1 << 30) < F.element_at(rate, F.col("label"))
     sample = rows.where(drawn).withColumn("o", F.xxhash64("text")).dropDuplicates(["label", "o"])
     out = sample.mapInPandas(features, "label string, o long, i binary, c binary").repartition(1).mapInPandas(fit, "labels array<string>, weights binary, bias binary, t double").first()
