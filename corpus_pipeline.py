@@ -12,40 +12,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontaminate, language, lines, neardup, packing
-from spindrift.llm.common import shared_dir, table
+from spindrift.llm.common import boxed, shared_dir, table, unboxed
 
 #: A document stays if its language has at least this calibrated probability.
 SURE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; letterless and unsure ones go. Without any label all stay."""
+    """Documents whose language is found; letterless and unsure ones go, null and empty texts among them.
+
+    The model learns from rows with an id and a language. Without any label all stay. Repeated rows share their
+    fate; all columns stay as they are, whatever their names; an empty table gives an empty one.
+    """
     model = language.fit_language(language.learnable(docs))
     if not model.labels:
         return docs
-    judged = language.predict_language(docs, model)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    judged = language.predict_language(boxed(docs, text="text"), model)
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select(*unboxed(docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go. A document of nothing else keeps its text: whole copies are the next stage's."""
-    cleaned = lines.drop_boilerplate(docs, keep_whole=True)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Boilerplate lines go. A document of nothing else keeps its text: whole copies are the next stage's.
+
+    ``n_chars``, where there is such a column, is counted anew; all other columns stay as they are. Null texts
+    stay null, empty ones empty; a null source is a source; each repeated row is a page of its own.
+    """
+    cleaned = lines.drop_boilerplate(boxed(docs, source="source", text="text"), keep_whole=True)
+    changed = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
+    return cleaned.select(*unboxed(docs.columns, **changed))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest id (``neardup.keep_one``).
+
+    Null texts and texts without words are near nothing and stay. Of rows with equal text and id one stays.
+    """
     return neardup.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    judged = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    """Documents that hold a window of a benchmark item go; those without words stay, and all columns as they are."""
+    judged = decontaminate.find_contamination(boxed(docs, text="text"), table(spark, sf_dir, "benchmark"))
+    return judged.where(~F.col("contaminated")).select(*unboxed(docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, in sequences of 2048 tokens."""
+    """Pieces of all documents, in sequences of 2048 tokens; a null or empty text is its end id alone."""
     return packing.pack(docs)
 
 
