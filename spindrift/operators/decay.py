@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..sources.shared import cut
+from .selection import order_statistics
 from .stats import difference_rms, fit_summary, normalised_rmse
 
 
@@ -117,6 +119,28 @@ def good_echoes(voxels: DataFrame, fraction: float = 1 / 3) -> DataFrame:
     return voxels.withColumn("n_good", F.array_max(marked).cast("int"))
 
 
+def adaptive_mask(voxels: DataFrame, threshold: int = 2, percent: float = 33.0, by: Sequence[str] = ()) -> DataFrame:
+    """``voxels(series, ...)`` with ``n_good``: how many echoes of a voxel have signal, 0 if fewer than ``threshold``.
+
+    The limits of a volume (of each ``by``) come from one voxel: of those whose first echo has a mean over time other
+    than 0, the one at that percentile (the next higher value; of equal ones the one with the largest sum of means). An
+    echo has signal if its mean is over a third of that voxel's in size. Two passes: one finds the percentile exactly,
+    whatever the number of voxels, and the limits, one number an echo; the other compares, map-only but for meeting
+    the limits. A volume without such a voxel has 0 everywhere. ``voxels`` is read several times.
+    """
+    mean = F.transform("series", lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x) / F.size(e))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lit(0).alias("_"))
+    means = cut(voxels.select(key.alias("_k"), mean.alias("m")).withColumn("x", F.get("m", F.lit(0))).where("x <> 0"))
+    sizes = means.groupBy("_k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("inside"))
+    wanted = sizes.withColumn("rank", F.ceil(F.lit(percent / 100) * (F.col("inside") - 1)))
+    at = order_statistics(means.select("_k", "x"), wanted).select("_k", "x")
+    total = F.aggregate("m", F.lit(0.0), lambda a, x: a + x)
+    limits = means.join(F.broadcast(at), ["_k", "x"]).groupBy("_k").agg(F.max_by("m", total).alias("_least"))  # a row a volume
+    met = voxels.withColumn("_k", key).join(F.broadcast(limits), "_k", "left")
+    n = F.aggregate(F.zip_with(mean, "_least", lambda m, least: (F.abs(m) > least / 3).cast("int")), F.lit(0), lambda a, x: a + x)
+    return met.withColumn("n_good", F.when(n >= threshold, n).otherwise(0)).drop("_k", "_least")
+
+
 def fitted_signal(fits: DataFrame, voxels: DataFrame, echo_times: Sequence[float]) -> DataFrame:
     """``voxel_id, echo, t, observed, fitted`` of the used echoes."""
     both = voxels.select("voxel_id", "series").join(fits.where("s0 is not null"), "voxel_id")

@@ -167,6 +167,22 @@ def echo_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.good_echoes(echo_voxels(spark, sf_dir)).select("voxel_id", "n_good")
 
 
+_MEANS_SQL = ", ".join(f"list_avg(list_transform(range(0, 6), lambda t: (abs(s_acctbal) + 500) * (1 + 0.01 * t) * exp(-CAST({te} AS DOUBLE) / (20 + s_suppkey % 40 + t))))" for te in ECHOES)
+
+
+@query(
+    "adaptive_mask",
+    f"""WITH m AS (SELECT s_suppkey AS voxel_id, [{_MEANS_SQL}] AS m FROM supplier),
+    r AS (SELECT m, row_number() OVER (ORDER BY m[1]) - 1 AS k, count(*) OVER () AS n FROM m WHERE m[1] <> 0),
+    l AS (SELECT m AS least FROM r WHERE m[1] = (SELECT m[1] FROM r WHERE k = ceil(0.33 * (n - 1))) ORDER BY list_sum(m) DESC LIMIT 1),
+    g AS (SELECT voxel_id, len(list_filter(range(1, {len(ECHOES) + 1}), lambda i: abs(m[i]) > least[i] / 3)) AS n FROM m, l)
+    SELECT voxel_id, CAST(CASE WHEN n >= 2 THEN n ELSE 0 END AS INTEGER) AS n_good FROM g""",
+)
+def adaptive_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Echoes with signal, by limits from the voxel at the 33rd percentile of the first echo."""
+    return D.adaptive_mask(echo_voxels(spark, sf_dir)).select("voxel_id", "n_good")
+
+
 @query("penalty_sweep")
 def penalty_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = D.good_echoes(echo_voxels(spark, sf_dir), 0.01)

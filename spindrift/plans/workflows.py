@@ -22,6 +22,7 @@ from ..operators import series as S
 from ..operators import signal as P
 from ..sources import catalog as C
 from ..sources import tables as T
+from ..sources.shared import cut
 from ..sources.sinks import write_result
 
 
@@ -108,7 +109,7 @@ def multiecho(spark: SparkSession, files: DataFrame, mask: DataFrame, task: str,
     """``path, sub, ses, task, run, i, j, k, s0, t2star`` of each run of the catalog ``files``; ``path`` is its first echo.
 
     Every run must have as many echoes as there are times (milliseconds). Voxels of ``mask (i, j, k)`` with two
-    good echoes or more are fitted, all other voxels of the grid are zeros. Voxels shuffle once, to meet their echoes.
+    good echoes or more (``decay.adaptive_mask`` of the run) are fitted, all other voxels of the grid are zeros. Voxels shuffle once, to meet their echoes.
     """
     D.check_echo_times(echo_times)
     runs = C.echo_sets(C.select(files, task=task, ses=sessions, suffix="bold", extension=".nii.gz"), len(echo_times))
@@ -119,7 +120,7 @@ def multiecho(spark: SparkSession, files: DataFrame, mask: DataFrame, task: str,
     voxels = T.read_nifti(spark, paths).join(each, "path")
     where = ["first", "i", "j", "k"]
     inside = voxels.join(mask.select("i", "j", "k").distinct(), ["i", "j", "k"], "left_semi")
-    cubes = D.good_echoes(T.echo_cube(inside, where)).withColumn("voxel_id", F.lit(0))
+    cubes = D.adaptive_mask(cut(T.echo_cube(inside, where)), by=["first"]).withColumn("voxel_id", F.lit(0))
     fits = D.fit_decay(cubes, echo_times, keep=where).drop("voxel_id", "n_good")
     zeros = F.array_repeat(F.lit(0.0), F.col("_n"))
     grid = voxels.where("echo = 0").select(*where, F.size("ts").alias("_n")).join(fits, where, "left")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.series import trim_trigger, zscore_wide
+from .containers import read_container
 
 
 def read_physio(spark: SparkSession, path: str, columns: Sequence[str], normalise: bool = False) -> DataFrame:
@@ -177,35 +178,9 @@ def vertex_mask(values: DataFrame) -> DataFrame:
     return values.select("vertex", (x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (x != 0)).alias("in_mask"))
 
 
-def decode_nifti(raw: bytes):
-    """A 3-D or 4-D single-file NIfTI-1 volume (gzip or not) as an array of x, y, z, t and its affine rows."""
-
-    if raw[:2] == b"\x1f\x8b":
-        raw = zlib.decompress(raw, 31)
-    order = "<" if int.from_bytes(raw[:4], "little") == 348 else ">"
-    dim = np.frombuffer(raw, order + "i2", 8, 40)
-    code, offset = int(np.frombuffer(raw, order + "i2", 1, 70)[0]), int(np.frombuffer(raw, order + "f4", 1, 108)[0])
-    slope, inter = np.frombuffer(raw, order + "f4", 2, 112)
-    kind = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2"}[code]
-    shape = [max(1, int(d)) for d in dim[1:5]]
-    if dim[0] < 4:
-        shape[3] = 1
-    x = np.frombuffer(raw, order + kind, int(np.prod(shape)), offset).reshape(shape, order="F").astype(float)
-    return (x * slope + inter if slope else x), np.frombuffer(raw, order + "f4", 12, 280).reshape(3, 4)
-
-
 def read_nifti(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``path, i, j, k, ts`` of NIfTI files (a path, or a list of them): one row per voxel, its series as an array."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, content in zip(batch["path"], batch["content"]):
-                x, _ = decode_nifti(bytes(content))
-                for i in range(x.shape[0]):
-                    j, k = (a.ravel() for a in np.indices(x.shape[1:3]))
-                    yield pd.DataFrame({"path": p, "i": i, "j": j, "k": k, "ts": list(x[i].reshape(-1, x.shape[3]))})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, i int, j int, k int, ts array<double>")
+    """``path, i, j, k, ts`` of NIfTI files (a path, or a list of them): one row per voxel, its series as an array; read by byte ranges."""
+    return read_container(spark, path, "series").select("path", "i", "j", "k", "ts")
 
 
 def masked(voxels: DataFrame, mask: DataFrame) -> DataFrame:

@@ -522,3 +522,18 @@ def test_multiecho(spark, tmp_path):
         W.multiecho(spark, files, mask, "rest", te[:2]).collect()
     with pytest.raises(ValueError):
         W.multiecho(spark, files, mask, "motor", te)
+
+
+def test_adaptive_mask(spark):
+    """Limits of each run from the voxel at the 33rd percentile of its first echo, against a plain version."""
+    r = np.random.default_rng(12)
+    means = {run: np.abs(r.normal(size=(40, 3))) * [3, 2, 1] for run in ("a", "b")}
+    means["a"][:5, 0], means["b"][7:9, 0] = 0, means["b"][6, 0]
+    rows = [(run, v, [[float(e) - 0.5, float(e) + 0.5] for e in m]) for run, x in means.items() for v, m in enumerate(x)] + [("c", 0, [[0.0], [1.0], [1.0]])]
+    got = {(q.run, q.voxel_id): q.n_good for q in D.adaptive_mask(spark.createDataFrame(rows, "run string, voxel_id int, series array<array<double>>"), by=["run"]).collect()}
+    assert len(got) == 81 and got["c", 0] == 0
+    for run, x in means.items():
+        first = np.sort(x[x[:, 0] != 0, 0])
+        at = x[x[:, 0] == first[int(np.ceil(0.33 * (len(first) - 1)))]]
+        n = (x > at[at.sum(1).argmax()] / 3).sum(1)
+        assert [got[run, v] for v in range(40)] == np.where(n >= 2, n, 0).tolist()
