@@ -43,6 +43,60 @@ def lloyd(points: DataFrame, vector: str, start: list[list[float]], rounds: int
     return centres.tolist()
 
 
+def inertia(points: DataFrame, vector: str, centres: list[list[float]]) -> float:
+    """The sum of squared distances to the nearest centres."""
+    return float(assign(points, vector, centres).agg(F.coalesce(F.sum("distance"), F.lit(0.0))).first()[0])
+
+
+def _reduced(candidates: np.ndarray, weights: np.ndarray, n: int, seed: int, tries: int = 8) -> np.ndarray:
+    """``n`` centres of a few weighted candidates: k-means++ and Lloyd's rounds, the best of some tries."""
+    best, least = candidates[:n], np.inf
+    for k in range(tries):
+        r = np.random.default_rng(seed + k)
+        c = [candidates[r.choice(len(candidates), p=weights / weights.sum())]]
+        while len(c) < n:
+            d = weights * ((candidates[:, None] - np.array(c)) ** 2).sum(2).min(1)
+            c.append(candidates[r.choice(len(candidates), p=d / d.sum()) if d.sum() > 0 else len(c) % len(candidates)])
+        c = np.array(c)
+        for _ in range(50):
+            near = ((candidates[:, None] - c) ** 2).sum(2).argmin(1)
+            new = np.array([np.average(candidates[near == j], axis=0, weights=weights[near == j]) if (near == j).any() else c[j] for j in range(n)])
+            if np.allclose(new, c):
+                break
+            c = new
+        cost = float((weights * ((candidates[:, None] - c) ** 2).sum(2).min(1)).sum())
+        if cost < least:
+            best, least = c, cost
+    return best
+
+
+def parallel_seeds(points: DataFrame, vector: str, n: int, rounds: int = 5, factor: float = 2.0, seed: int = 0) -> list[list[float]]:
+    """First centres for Lloyd's rounds by k-means||: each round draws points in proportion to their squared distance, ``factor * n`` of them about.
+
+    Points are drawn by keyed hashes of their vectors, so seeds repeat whatever the order or number of tasks. Only
+    the drawn points, some ``rounds * factor * n`` of them, and how many points are nearest to each reach the driver,
+    where ``n`` of them are made. Fewer distinct points than ``n`` is an error.
+    """
+    named = points.select(F.col(vector).alias("v")).withColumn("_h", F.xxhash64("v", F.lit(seed)))
+    first = named.orderBy("_h").select("v").first()
+    chosen = [list(map(float, first[0]))] if first else []
+    for k in range(rounds if chosen else 0):
+        far = assign(named.select("v"), "v", chosen)
+        cost = far.agg(F.sum("distance")).first()[0]
+        if not cost:
+            break
+        u = F.pmod(F.xxhash64("v", F.lit(seed), F.lit(k + 1)), F.lit(1 << 30)) / float(1 << 30)
+        drawn = far.where(u < F.col("distance") * (factor * n / cost)).select("v").distinct().orderBy(F.xxhash64("v")).collect()
+        chosen += [list(map(float, r[0])) for r in drawn]
+    if len(chosen) < n:
+        spare = assign(named.select("v"), "v", chosen).where("distance > 0").select("v").distinct().orderBy(F.xxhash64("v")).limit(n - len(chosen)).collect() if chosen else []
+        chosen += [list(map(float, r[0])) for r in spare]
+    if len(chosen) < n:
+        raise ValueError("fewer distinct points than centres")
+    counts = dict(tuple(r) for r in assign(named.select("v"), "v", chosen).groupBy("cluster").count().collect())
+    return _reduced(np.array(chosen), np.array([float(counts.get(k, 0)) for k in range(len(chosen))]), n, seed).tolist()
+
+
 def occurrences(frames: DataFrame, peaks: DataFrame) -> DataFrame:
     """Every frame's cluster, -1 where there is no peak."""
     return frames.select("t").join(peaks.select("t", "cluster"), "t", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
@@ -78,17 +132,17 @@ def global_peaks(
 
 def co_activation(
     frames: DataFrame, key: str, vector: str, n: int, rounds: int = 300, method: str = "percentile", threshold: float = 75.0, mask: Sequence[bool] | None = None,
-    reducer: str = "mean", standardise: bool = False, eps: float = 1e-12, **limits,
+    reducer: str = "mean", standardise: bool = False, eps: float = 1e-12, start: str = "parallel", seed: int = 0, **limits,
 ) -> tuple[list[list[float]], DataFrame]:
     """Maps of ``n`` patterns and the occurrence of each over all frames.
 
     The global signal is each frame's mean or median (``reducer``) over all places or those of ``mask``; its peaks
     are as ``global_peaks`` takes them, with ``limits`` passed on. With ``standardise`` a peak's vector loses its own
-    mean and spread. The first centres are the ``n`` highest peaks. Fewer peaks than patterns is an error, and so is
+    mean and spread. The first centres are ``parallel_seeds``, or with ``start="highest"`` the ``n`` highest peaks. Fewer peaks than patterns is an error, and so is
     a mask of another length than the vectors or without a place.
     """
-    if reducer not in ("mean", "median"):
-        raise ValueError("reducer must be mean or median")
+    if reducer not in ("mean", "median") or start not in ("parallel", "highest"):
+        raise ValueError("reducer must be mean or median, start parallel or highest")
     v = F.col(vector)
     if mask is not None:
         if not any(mask):
@@ -111,5 +165,5 @@ def co_activation(
     first = [r["v"] for r in top.orderBy(F.col("gs").desc(), "t").limit(n).collect()]
     if len(first) < n:
         raise ValueError("fewer peaks than patterns")
-    centres = lloyd(top, "v", first, rounds)
+    centres = lloyd(top, "v", parallel_seeds(top, "v", n, seed=seed) if start == "parallel" else first, rounds)
     return centres, occurrences(g, assign(top, "v", centres))
