@@ -135,14 +135,14 @@ def apart(peaks: DataFrame, distance: float, size: int, max_rounds: int = 200) -
     state = cut(peaks.withColumn("_state", F.lit(0)))  # 0 undecided, 1 kept
     near = Window.partitionBy("_run", "_block").orderBy("peak").rangeBetween(-(d - 1), d - 1)
     home = F.floor(F.col("peak") / block)
+    blocks = F.array_distinct(F.array(home, F.floor((F.col("peak") - d) / block), F.floor((F.col("peak") + d) / block)))
     for _ in range(max_rounds):
-        copies = state.withColumn("_block", F.explode(F.array_distinct(F.array(home, F.floor((F.col("peak") - d) / block), F.floor((F.col("peak") + d) / block)))))
+        copies = state.withColumn("_block", F.explode(blocks))
         rank = F.when(F.col("_state") == 0, F.struct("height", "peak"))
         best = copies.withColumn("_top", F.max(rank).over(near) == rank)
         # a copy outside its own block sees only a part of what is near it: its claim counts only at home
-        settled = cut(best.where(F.col("_block") == home).drop("_block").withColumn("_state", F.when((F.col("_state") == 1) | F.col("_top"), 1).otherwise(0)).drop("_top"))
-        copies = settled.withColumn("_block", F.explode(F.array_distinct(F.array(home, F.floor((F.col("peak") - d) / block), F.floor((F.col("peak") + d) / block)))))
-        seen = copies.withColumn("_kept", F.max("_state").over(near)).where(F.col("_block") == home)
+        settled = best.where(F.col("_block") == home).drop("_block").withColumn("_state", F.when((F.col("_state") == 1) | F.col("_top"), 1).otherwise(0)).drop("_top")
+        seen = settled.withColumn("_block", F.explode(blocks)).withColumn("_kept", F.max("_state").over(near)).where(F.col("_block") == home)
         state = cut(seen.where((F.col("_state") == 1) | (F.col("_kept") == 0)).drop("_block", "_kept"))
         if state.where("_state = 0").isEmpty():
             return state.drop("_state")
