@@ -127,6 +127,18 @@ def cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _hermite(x, y, np.linalg.solve(a, r), at)
 
 
+def uniform_slopes(n: int) -> np.ndarray:
+    """The matrix from ``n`` values a unit apart, 4 or more, to the slopes of ``cubic`` through them."""
+    step = np.diff(np.eye(n), axis=0)
+    a, r = np.zeros((n, n)), np.zeros((n, n))
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = 1, 4, 1
+        r[i] = 3 * (step[i - 1] + step[i])
+    a[0, :2] = a[-1, :-3:-1] = 1, 2
+    r[0], r[-1] = (5 * step[0] + step[1]) / 2, (5 * step[-1] + step[-2]) / 2
+    return np.linalg.solve(a, r)
+
+
 def find_peaks(x: np.ndarray, height: float | None = None, distance: float | None = None, prominence: float | None = None, top: int | None = None) -> np.ndarray:
     """Places of local maxima (the middle of a flat top), at or above ``height``.
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..sources.shared import cut
-from .selection import order_statistics
-from .stats import difference_rms, fit_summary, normalised_rmse
+from .selection import exact_quantiles, order_statistics
+from .stats import difference_rms, fit_summary, normalised_rmse, with_quantiles
 
 
 def check_echo_times(times: Sequence[float]) -> np.ndarray:
@@ -155,10 +155,10 @@ def sweep(voxels: DataFrame, echo_times: Sequence[float], grid0: Sequence[float]
     out = None
     for p0 in grid0:
         for p1 in grid1:
-            fits = fit_decay(voxels, echo_times, p0, p1, rescale, cap)
+            fits = cut(fit_decay(voxels, echo_times, p0, p1, rescale, cap))  # fitted once, measured several times
             long = fits.where("t2star is not null").select("voxel_id", F.posexplode("t2star").alias("t", "x"))
             rough = difference_rms(fits.where("s0 is not null").select("voxel_id", F.posexplode("s0").alias("t", "x")).withColumn("x", F.ln("x")), "x", ["voxel_id"], ["t"])
-            one = fit_summary(long, "x", cap).crossJoin(rough.agg(F.median("rms").alias("log_s0_roughness")))
+            one = with_quantiles(fit_summary(long, "x", cap), exact_quantiles(rough, "rms", [], (0.5,)), []).withColumn("log_s0_roughness", F.get("q", F.lit(0)))
             one = one.crossJoin(normalised_rmse(fitted_signal(fits, voxels, echo_times).withColumn("all", F.lit(0)), "observed", "fitted", ["all"]).select("nrmse"))
             one = one.select(F.lit(float(p0)).alias("lambda0"), F.lit(float(p1)).alias("lambda1"), "nrmse", "log_s0_roughness", "nan_fraction", "clip_fraction", F.col("median").alias("median_t2star"), F.col("p99").alias("p99_t2star"))
             out = one if out is None else out.unionByName(one)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import cubic
+from ..functions.kernels import cubic, uniform_slopes
 from .basis import basis_matrix, spline_df
 from .events import max_duration
 from .series import zscore
@@ -44,13 +44,19 @@ def box_regressors(box: np.ndarray, frames: np.ndarray, weights: np.ndarray, gri
     n = len(box)
     size = 1 << (n + len(weights) - 1).bit_length()
     fine = np.fft.irfft(np.fft.rfft(box, size)[:, None] * np.fft.rfft(weights, size, axis=0), size, axis=0)[:n]
-    at = np.arange(n) * grid
-    out = np.empty((len(frames), weights.shape[1]))
-    for k, f in enumerate(frames):  # a cubic through the nearest points of the fine grid
-        lo = int(np.clip(round(f / grid) - 3, 0, max(n - 7, 0)))
-        near = slice(lo, min(lo + 7, n))
-        for c in range(weights.shape[1]):
-            out[k, c] = cubic(at[near], fine[near, c], np.array([f]))[0]
+    at = np.asarray(frames, float) / grid
+    if n < 7:
+        return np.stack([cubic(np.arange(n), fine[:, c], at) for c in range(weights.shape[1])], axis=1)
+    out = np.empty((len(at), weights.shape[1]))
+    slopes = uniform_slopes(7)
+    for a in range(0, len(at), 1 << 14):  # a cubic through the nearest points of the fine grid, many frames at once
+        f = at[a : a + (1 << 14)]
+        lo = np.clip(np.rint(f) - 3, 0, n - 7).astype(int)
+        y = fine[lo[:, None] + np.arange(7)]
+        m = np.einsum("ij,fjc->fic", slopes, y)
+        j = np.clip(np.floor(f - lo), 0, 5).astype(int)
+        s, row = (f - lo - j)[:, None], np.arange(len(f))
+        out[a : a + len(f)] = (1 + 2 * s) * (1 - s) ** 2 * y[row, j] + s * (1 - s) ** 2 * m[row, j] + s**2 * (3 - 2 * s) * y[row, j + 1] + s**2 * (s - 1) * m[row, j + 1]
     return out
 
 

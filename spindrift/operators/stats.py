@@ -34,6 +34,15 @@ def quantiles(df: DataFrame, value: str, by: Sequence[str], at: Sequence[float],
     return df.groupBy(*by).agg(F.percentile_approx(value, [float(v) for v in at], accuracy).alias("q"))
 
 
+def with_quantiles(groups: DataFrame, quantiles_: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``groups`` with ``q`` of each, null for groups that have none; null keys meet null keys."""
+    named = quantiles_.select(*[F.col(c).alias(f"_q{c}") for c in by], "q")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_q{c}"))
+    return groups.join(named, same, "left").drop(*[f"_q{c}" for c in by])
+
+
 def box_stats(df: DataFrame, value: str, by: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Quartiles, mean, and whiskers: the extreme values within 1.5 interquartile ranges of the box."""
     by = list(by)
@@ -66,9 +75,10 @@ def difference_rms(df: DataFrame, value: str, by: Sequence[str], order: Sequence
 def normalised_rmse(df: DataFrame, observed: str, fitted: str, by: Sequence[str]) -> DataFrame:
     """Root mean squared residual over the median absolute observation, finite cells only; a zero scale gives null."""
     o, f = F.col(observed), F.col(fitted)
-    used = df.where(finite(o) & finite(f))
-    out = used.groupBy(*by).agg(F.sqrt(F.avg((o - f) * (o - f))).alias("_r"), F.median(F.abs(o)).alias("_s"))
-    return out.select(*by, (F.col("_r") / F.nullif(F.col("_s"), F.lit(0.0))).alias("nrmse"))
+    used = df.where(finite(o) & finite(f)).withColumn("_abs", F.abs(o))
+    out = used.groupBy(*by).agg(F.sqrt(F.avg((o - f) * (o - f))).alias("_r"))
+    out = with_quantiles(out, exact_quantiles(used, "_abs", list(by), (0.5,)), list(by))
+    return out.select(*by, (F.col("_r") / F.nullif(F.get("q", F.lit(0)), F.lit(0.0))).alias("nrmse"))
 
 
 def fit_summary(df: DataFrame, value: str, cap: float, by: Sequence[str] = ()) -> DataFrame:
@@ -78,12 +88,8 @@ def fit_summary(df: DataFrame, value: str, cap: float, by: Sequence[str] = ()) -
     shares = df.groupBy(*by).agg(
         F.avg(F.when(ok, 0.0).otherwise(1.0)).alias("nan_fraction"), F.avg(F.when(ok, F.when(F.abs(x - cap) <= 1e-5 * cap, 1.0).otherwise(0.0))).alias("clip_fraction")
     )
-    q = exact_quantiles(df.where(ok), value, by, (0.5, 0.99))
-    q = q.select(*[F.col(c).alias(f"_q{c}") for c in by], F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p99"))
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_q{c}"))
-    return shares.join(q, same, "left").drop(*[f"_q{c}" for c in by])
+    both = with_quantiles(shares, exact_quantiles(df.where(ok), value, by, (0.5, 0.99)), by)
+    return both.withColumns({"median": F.get("q", F.lit(0)), "p99": F.get("q", F.lit(1))}).drop("q")
 
 
 def column_moments(matrix: DataFrame) -> DataFrame:

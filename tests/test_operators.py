@@ -537,3 +537,16 @@ def test_adaptive_mask(spark):
         at = x[x[:, 0] == first[int(np.ceil(0.33 * (len(first) - 1)))]]
         n = (x > at[at.sum(1).argmax()] / 3).sum(1)
         assert [got[run, v] for v in range(40)] == np.where(n >= 2, n, 0).tolist()
+
+
+def test_regressors_at_frames_equal_a_spline_each():
+    """All frames at once, as a cubic through seven points of the fine grid for each of them."""
+    r = np.random.default_rng(4)
+    box, weights, grid = (r.random(300) < 0.05).cumsum() % 3.0, r.normal(size=(40, 3)), 0.01
+    frames = np.sort(r.uniform(-0.02, 3.0, 50))
+    got = R.box_regressors(box, frames, weights, grid)
+    fine = np.stack([np.convolve(box, w)[:300] for w in weights.T], axis=1)
+    for f, row in zip(frames, got):
+        lo = int(np.clip(round(f / grid) - 3, 0, 293))
+        near = np.arange(lo, lo + 7)
+        assert np.allclose(row, [K.cubic(near * grid, fine[near, c], np.array([f]))[0] for c in range(3)])
