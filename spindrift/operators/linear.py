@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut
 from .components import decompose, projected, time_scores
 
+#: Cells of a design that may be sent to every task (8 bytes each).
+DESIGN_CELLS = 4_000_000
+
 
 def gram(rows: DataFrame, vector: str, moments: bool = False) -> DataFrame:
     """``i, j, s``: sum over rows of v[i] v[j], upper half too. One partial matrix a task, then summed.
@@ -73,6 +76,38 @@ def ridge(design: DataFrame, outcomes: DataFrame, penalty: float, on: Sequence[s
     return solved.groupBy(F.col("j").alias("voxel"), "k").agg(F.sum(F.col("s") * F.col("w")).alias("beta"))
 
 
+def ridge_series(design: DataFrame, voxels: DataFrame, penalty: float, most: int = DESIGN_CELLS) -> DataFrame:
+    """``voxel, k, beta`` as ``ridge`` gives them, from voxel-major rows ``(run, voxel, ts)``, ``ts`` an array over ``t`` from 0.
+
+    Each run's design times (X'X + penalty I)^-1 is sent to the tasks, where a row gives its share of the voxel's
+    coefficients at once; only these shares, a few numbers a row, are shuffled and summed over runs. Times that the
+    design lacks count nothing. A design of more than ``most`` cells isn't sent: then rows meet it by key, in long form.
+    """
+    design = cut(design.select("run", F.col("t").cast("int").alias("t"), F.col("k").cast("int").alias("k"), "x"))
+    if design.limit(most + 1).count() > most:
+        return ridge(design, voxels.select("run", "voxel", F.posexplode("ts").alias("t", "x")), penalty, ["run", "t"])
+    inverse = ridge_inverse(to_matrix(cross_products(design, design, ["run", "t"], "k", "k")), penalty)
+    weights = {}
+    for run, g in design.toPandas().groupby("run", sort=False):
+        x = np.zeros((int(g["t"].max()) + 1, len(inverse)))
+        x[g["t"], g["k"]] = g["x"]
+        weights[run] = x @ inverse
+    sent = design.sparkSession.sparkContext.broadcast(weights)
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for run, g in batch.groupby("run", sort=False):
+                w = sent.value.get(run)
+                for n, same in g.groupby(g["ts"].map(len), sort=False) if w is not None else ():
+                    m = min(n, len(w))
+                    b = np.stack(same["ts"].to_numpy())[:, :m].astype(float) @ w[:m]
+                    yield pd.DataFrame({"voxel": np.repeat(same["voxel"].to_numpy(), b.shape[1]), "k": np.tile(np.arange(b.shape[1], dtype="int32"), len(b)), "beta": b.ravel()})
+
+    kind = voxels.schema["voxel"].dataType.simpleString()
+    parts = voxels.select("run", "voxel", "ts").mapInPandas(shares, f"voxel {kind}, k int, beta double")
+    return parts.groupBy("voxel", "k").agg(F.sum("beta").alias("beta"))
+
+
 def predict(coefficients: DataFrame, basis: DataFrame, row: str = "lag") -> DataFrame:
     """``row, voxel, y``: a small basis ``(row, k, w)`` times coefficients, a broadcast join and one sum."""
     return coefficients.join(F.broadcast(basis), "k").groupBy(row, "voxel").agg(F.sum(F.col("beta") * F.col("w")).alias("y"))

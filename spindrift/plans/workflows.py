@@ -47,10 +47,9 @@ def complete_runs(*frames: DataFrame) -> list[DataFrame]:
     return [f.join(runs, "run_id", "left_semi") for f in frames]
 
 
-def long_form(func: DataFrame) -> DataFrame:
-    """``run, t, voxel, x`` with runs z-scored apart; constant voxels are zeros."""
-    x = func.select(F.col("run_id").alias("run"), F.col("voxel_id").alias("voxel"), F.posexplode("ts").alias("t", "x"))
-    return S.zscore(x, "x", ["run", "voxel"]).select("run", "t", "voxel", F.col("z").alias("x"))
+def voxel_rows(func: DataFrame) -> DataFrame:
+    """``run, voxel, ts`` with runs z-scored apart; constant voxels are zeros. Map-only."""
+    return func.select(F.col("run_id").alias("run"), F.col("voxel_id").alias("voxel"), standardised("ts").alias("ts"))
 
 
 def preprocess(spark: SparkSession, study: str, out: str, task: str, tr: float, trim: int = 10, high_pass: float = 0.01) -> None:
@@ -72,16 +71,15 @@ def physio_response(func: DataFrame, physio: DataFrame, signal: str, lags: range
     basis = B.basis_table(spark, lags, df)
     s = physio.select(F.col("run_id").alias("run"), F.col("ix").alias("t"), F.col(signal).alias("x"))
     design = S.zscore(B.project(s, basis, ["run"], "t", "x", len(lags)), "v", ["k"]).select("run", "t", "k", F.col("z").alias("x"))
-    return L.predict(L.ridge(design, long_form(func), penalty), basis)
+    return L.predict(L.ridge_series(design, voxel_rows(func), penalty), basis)
 
 
 def event_response(func: DataFrame, events: DataFrame, tr: float, penalty: float = 1.0, extend: float = 15.0) -> DataFrame:
     """``trial_type, time, voxel, y``: each voxel's response to each trial type."""
     func, events = complete_runs(func, events)
-    x = long_form(func)
-    frames = x.select("run", "t").distinct()
+    frames = func.groupBy(F.col("run_id").alias("run")).agg((F.max(F.size("ts")) - 1).cast("long").alias("t"))  # the last frame of each run
     design, shapes = E.event_design(frames, events.withColumnRenamed("run_id", "run"), tr, extend=extend)
-    return E.evaluate_events(L.ridge(design, x, penalty), shapes)
+    return E.evaluate_events(L.ridge_series(design, voxel_rows(func), penalty), shapes)
 
 
 def standardised(ts: str) -> Column:

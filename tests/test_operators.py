@@ -550,3 +550,14 @@ def test_regressors_at_frames_equal_a_spline_each():
         lo = int(np.clip(round(f / grid) - 3, 0, 293))
         near = np.arange(lo, lo + 7)
         assert np.allclose(row, [K.cubic(near * grid, fine[near, c], np.array([f]))[0] for c in range(3)])
+
+
+def test_ridge_of_series_equals_ridge_of_rows(spark):
+    r = np.random.default_rng(6)
+    design = spark.createDataFrame([(run, t, k, float(r.normal())) for run, n in (("a", 20), ("b", 31)) for t in range(2, n) for k in range(3)], "run string, t int, k int, x double")
+    voxels = spark.createDataFrame([(run, v, r.normal(size=n).tolist()) for run, n in (("a", 20), ("b", 30), ("c", 5)) for v in range(4)], "run string, voxel long, ts array<double>")
+    rows = voxels.select("run", "voxel", F.posexplode("ts").alias("t", "x"))
+    wanted = {(q.voxel, q.k): q.beta for q in L.ridge(design, rows, 1.5).collect()}
+    for most in (L.DESIGN_CELLS, 10):
+        got = {(q.voxel, q.k): q.beta for q in L.ridge_series(design, voxels, 1.5, most).collect()}
+        assert set(got) == set(wanted) and all(got[k] == pytest.approx(v, abs=1e-10) for k, v in wanted.items())
