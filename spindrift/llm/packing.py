@@ -23,6 +23,8 @@ WINDOW = 2048
 END = 1
 #: Tokens (without full windows) after which a shard's index is built and packed; bounds a task's memory.
 SHARD_TOKENS = 1_000_000
+#: Texts that are held as Python strings and ids at once.
+ROWS = 256
 #: Tokens that place a document in the lexical order.
 ORDER_TERMS = 4
 K1, B = 1.2, 0.75
@@ -48,8 +50,10 @@ def token_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded, end = encoder(), np.array([END], "<u2").tobytes()
         for batch in batches:
-            ids = [encoded(t) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["_key", "ids"])
+            for at in range(0, batch.num_rows, ROWS):
+                few = batch.slice(at, ROWS)
+                ids = [encoded(t) + end for t in few.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(ids, pa.binary())], names=["_key", "ids"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     return docs.select(F.col(key).alias("_key"), F.col(text)).mapInArrow(encode, f"_key {kind}, ids binary")
