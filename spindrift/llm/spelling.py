@@ -69,7 +69,8 @@ def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     Words are distinct. Where more than ``crowd`` offers share a key (many orders of the same letters), offers are
     joined by what remains in order too, and for exchanges by the place of the letter: at most as many words as
-    the alphabet has letters share that, so no key's pairs grow with the square of its offers.
+    the alphabet has letters share that, so no key's pairs grow with the square of its offers. (That costs a crowded
+    key's words the square of their length; other words, however long, cost their length for each distinct letter.)
     """
     all_offers = cut(offers(words))
     crowded = cut(all_offers.groupBy("key").agg(F.count("*").alias("_m")).where(F.col("_m") > crowd).select("key"))
