@@ -27,11 +27,11 @@ def entity(path: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(base, f"(?:^|_){name}-([^_.]+)", 1), F.lit(""))
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Entities, suffix and extension of each path."""
+def parse(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Entities, suffix and extension of each path, and the listing's own columns ``keep``."""
     base = F.regexp_extract("path", "([^/]*)$", 1)
     return files.select(
-        "path", *[entity(F.col("path"), e).alias(e) for e in ENTITIES],
+        *keep, "path", *[entity(F.col("path"), e).alias(e) for e in ENTITIES],
         F.regexp_extract(base, r"_([A-Za-z0-9]+)\.[^_]*$", 1).alias("suffix"), F.regexp_extract(base, r"(\..*)$", 1).alias("extension"),
     )
 
@@ -72,11 +72,11 @@ def one_each(files: DataFrame, by: Sequence[str], what: str = "file", expected:
     return got.withColumn("paths", F.when(ok.isNull(), F.col("paths")))
 
 
-def echo_sets(files: DataFrame, n_echoes: int) -> DataFrame:
+def echo_sets(files: DataFrame, n_echoes: int, keys: Sequence[str] = ("sub", "ses", "task", "run")) -> DataFrame:
     """Per run its echo files in order, ``n_echoes`` of them or an error."""
-    got = files.where("echo is not null").groupBy("sub", "ses", "task", "run").agg(F.sort_array(F.collect_list(F.struct(F.col("echo").cast("int").alias("e"), "path"))).alias("_e"))
+    got = files.where("echo is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("echo").cast("int").alias("e"), "path"))).alias("_e"))
     ok = F.assert_true(F.size("_e") == n_echoes, F.lit("wrong number of echoes"))
-    return got.select("sub", "ses", "task", "run", F.when(ok.isNull(), F.transform("_e", lambda s: s["path"])).alias("paths"))
+    return got.select(*keys, F.when(ok.isNull(), F.transform("_e", lambda s: s["path"])).alias("paths"))
 
 
 def functional(files: DataFrame, task: str, desc: str | None, extension: str, sessions: Sequence[str] | None = None) -> DataFrame:
