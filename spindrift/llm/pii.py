@@ -41,8 +41,8 @@ PATTERNS = {
     "phone": r"(?=[\d+(])(?:(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,8}){1,5}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))",
     "card": r"(?=\d)(?<![\w.-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{4,5})(?![\w-])",
     "name": rf"(?=\p{{Lu}})(?<!{_L}){TITLES}\.? {_WORD}(?:[ -]{_WORD}){{0,2}}",
-    # capitalised words in a row: names if a part of them is known as one
-    "words": rf"(?=\p{{Lu}})(?<![{_L}\p{{N}}])(?!{TITLES}\b){_WORD}(?:[ -](?!{TITLES}\b){_WORD}(?![{_L}\p{{N}}]))+",
+    # capitalised words in a row: names if a part of them is known as one; possessive, so that a long row takes no stack
+    "words": rf"(?=\p{{Lu}})(?<![{_L}\p{{N}}])(?!{TITLES}\b){_WORD}(?:[ -](?!{TITLES}\b){_WORD}(?![{_L}\p{{N}}]))++",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: The same for texts without an @, where the search for addresses would be in vain.
