@@ -1,4 +1,8 @@
-"""Sampling of volumes at coordinates."""
+"""Sampling of volumes at coordinates.
+
+Points and volumes are both large, and the size that Spark guesses for one built by exploding rows is that of the
+file behind it, many times too small; so these joins are sorted ones, never a broadcast through the driver.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 def nearest(points: DataFrame, volume: DataFrame) -> DataFrame:
     """``points(id, x, y, z)`` with the value of the voxel each is in; outside the volume null."""
     at = points.withColumns({c: F.bround(n).cast("int") for c, n in (("i", "x"), ("j", "y"), ("k", "z"))})
-    return at.join(volume.select("i", "j", "k", F.col("v").alias("value")), ["i", "j", "k"], "left").select("id", "value")
+    return at.join(volume.select("i", "j", "k", F.col("v").alias("value")).hint("merge"), ["i", "j", "k"], "left").select("id", "value")
 
 
 def linear(points: DataFrame, volume: DataFrame) -> DataFrame:
@@ -24,7 +28,7 @@ def linear(points: DataFrame, volume: DataFrame) -> DataFrame:
     part = lambda p, o, n: F.when(F.col(o) == 1, F.col(p) - F.col(n)).otherwise(1 - (F.col(p) - F.col(n)))
     w = part("x", "o.a", "i0") * part("y", "o.b", "j0") * part("z", "o.c", "k0")
     each = each.select("id", (F.col("i0") + F.col("o.a")).alias("i"), (F.col("j0") + F.col("o.b")).alias("j"), (F.col("k0") + F.col("o.c")).alias("k"), w.alias("w")).where("w > 0")
-    met = each.join(volume.select("i", "j", "k", "v"), ["i", "j", "k"], "left")
+    met = each.join(volume.select("i", "j", "k", "v").hint("merge"), ["i", "j", "k"], "left")
     got = met.groupBy("id").agg(F.sum(F.col("w") * F.col("v")).alias("value"), F.max(F.col("v").isNull()).alias("_gone"))
     return got.select("id", F.when(~F.col("_gone"), F.col("value")).alias("value"))
 
@@ -110,7 +114,7 @@ def cubic(points: DataFrame, volume: DataFrame) -> DataFrame:
     along = F.lit(0.0)
     for d in range(4):
         along = along + F.get("wz", F.lit(d)) * F.get("line", mirror(F.col("_z") + d - 1, n[2]))
-    met = each.join(spline_coefficients(volume), ["i", "j"]).groupBy("id").agg(F.sum(F.col("w") * along).alias("value"))
+    met = each.join(spline_coefficients(volume).hint("merge"), ["i", "j"]).groupBy("id").agg(F.sum(F.col("w") * along).alias("value"))
     return points.select("id").join(met, "id", "left")
 
 

@@ -87,3 +87,17 @@ def test_transforms(spark):
     for wrong in (("x", None), ("func_to_mni", onto), ("func_to_fsaverage", None)):
         with pytest.raises(ValueError):
             G.transform(wrong[0], v, flat, correspondence=wrong[1])
+
+
+def test_neither_points_nor_volumes_are_broadcast(spark, tmp_path):
+    """Sizes of exploded rows are guessed from a small file; the plan of the sampling must not trust them."""
+    at = str(tmp_path / "rows.parquet")
+    spark.range(4).write.parquet(at)
+    rows = spark.read.parquet(at)
+    v = rows.selectExpr("cast(id as int) as i", "explode(sequence(0, 3)) as j").selectExpr("i", "j", "explode(sequence(0, 3)) as k").selectExpr("*", "cast(i as double) as v")
+    points = rows.selectExpr("id", "id * 0.5 as x", "1.0d as y", "2.0d as z").selectExpr("id", "cast(x as double) as x", "y", "z")
+    for how in ("nearest", "linear", "cubic"):
+        got = G.sample(points, v, how)
+        joins = [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "[i#" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins), how
+        assert got.count() == 4
