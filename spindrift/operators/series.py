@@ -7,18 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
+#: Groups up to which their moments are broadcast to the rows.
+BROADCAST_GROUPS = 100_000
+
+
+def _with_moments(df: DataFrame, moments: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with the row of its group. A few groups are broadcast once counted, so rows stay where they lie and no task gets a group."""
+    moments = cut(moments)
+    few = moments.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    return df.join(F.broadcast(moments) if few else moments, list(by))
+
 
 def zscore(df: DataFrame, value: str, by: Sequence[str], out: str = "z", fill: float | None = 0.0) -> DataFrame:
     """Population z-score of ``value`` within ``by``. A constant (or NaN-holding) group becomes ``fill``.
 
-    Two moments per group joined back: the sums combine before the shuffle, and AQE may broadcast them.
+    Two moments per group joined back: the sums combine before the shuffle.
     """
     x = F.col(value)
     m = df.groupBy(*by).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
     z = (x - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
     z = F.when(F.isnan(z), None).otherwise(z)
     z = F.coalesce(z, F.lit(fill)) if fill is not None else z
-    return df.join(m, list(by)).withColumn(out, z).drop("_m", "_s")
+    return _with_moments(df, m, by).withColumn(out, z).drop("_m", "_s")
 
 
 def zscore_wide(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -26,7 +38,7 @@ def zscore_wide(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> Dat
     stats = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]
     m = df.groupBy(*by).agg(*stats)
     z = {c: (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)) for c in columns}
-    return df.join(m, list(by)).withColumns(z).select(*df.columns)
+    return _with_moments(df, m, by).withColumns(z).select(*df.columns)
 
 
 def lag_matrix(df: DataFrame, value: str, lags: Sequence[int], by: Sequence[str], order: Sequence[str], fill: float | None = None) -> DataFrame:

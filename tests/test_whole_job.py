@@ -5,6 +5,7 @@ import pandas as pd
 
 from spindrift.operators import basis as B
 from spindrift.operators import regressors as R
+from spindrift.operators import series as S
 from spindrift.plans import registry
 
 
@@ -24,3 +25,18 @@ def test_event_design_holds_all_events(spark, data):
             assert np.allclose(mine, z[:, k], atol=1e-6)
         first += df
     assert got["k"].nunique() == first
+
+
+def test_zscores_leave_rows_where_they_lie(spark, tmp_path):
+    """Three groups of any size: their moments go to the rows, the rows aren't dealt out by group."""
+    at = str(tmp_path / "rows.parquet")
+    spark.range(3000, numPartitions=3).selectExpr("id", "id % 3 as g", "cast(id as double) as x").write.parquet(at)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (S.zscore_wide(spark.read.parquet(at), ["x"], ["g"]), S.zscore(spark.read.parquet(at), "x", ["g"])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+            assert df.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
