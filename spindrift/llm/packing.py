@@ -7,6 +7,8 @@ neighbours don't depend on how files were laid out, and many documents with one
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .tokens import SPECIAL, VOCABULARY, load_ranks, merger, tokenizer_path
+from .tokens import LONGEST_FAST, SPECIAL, VOCABULARY, load_ranks, merger, tokenizer_path
 
 WINDOW = 2048
 END = 1
@@ -25,6 +27,11 @@ END = 1
 SHARD_TOKENS = 1_000_000
 #: Texts that are held as Python strings and ids at once.
 ROWS = 256
+#: The end of the pattern that cuts texts, and what it comes to where no two spaces of any kind adjoin: without
+#: its look-ahead the same cuts are found in half the time. Python's spaces are more than the pattern's, never fewer.
+RUNS, SINGLE = r"|\s+(?!\S)|\s+", r"|\s+"
+_ADJOINING = re.compile(r"\s\s")
+_PAIRS, _OTHERS = ("  ", " \n", "\n ", "\n\n"), "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Tokens that place a document in the lexical order.
 ORDER_TERMS = 4
 K1, B = 1.2, 0.75
@@ -38,12 +45,32 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str | None], bytes]:
         ranks = load_ranks(tokenizer_path(f"{vocabulary}.tiktoken"))
         if len(ranks) >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        plain = merger(vocabulary, ranks)
+        plain, single = merger(vocabulary, ranks), single_merger(vocabulary, ranks)
         special = np.array([len(ranks)], "<u2").tobytes()
-        _ENCODERS[vocabulary] = lambda text: special.join([np.array(plain(part), "<u2").tobytes() for part in (text or "").split(SPECIAL)])
+
+        def ids_of(part: str) -> bytes:
+            ids = plain(part) if adjoining(part) or len(part) > LONGEST_FAST else single(part)
+            return struct.pack(f"<{len(ids)}H", *ids)
+
+        _ENCODERS[vocabulary] = lambda text: special.join([ids_of(part) for part in (text or "").split(SPECIAL)])
     return _ENCODERS[vocabulary]
 
 
+def adjoining(text: str) -> bool:
+    """Whether two spaces of any kind adjoin; the usual kinds are looked for first, which is much faster."""
+    return any(map(text.__contains__, _PAIRS)) or (any(map(text.__contains__, _OTHERS)) and _ADJOINING.search(text) is not None)
+
+
+def single_merger(vocabulary: str, ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
+    """The fast encoder for strings in which no two spaces adjoin. With another pattern than is known, the usual one."""
+    import public_tokenizers
+    import tiktoken
+
+    head = public_tokenizers.PATTERN.removesuffix(RUNS)
+    pattern = public_tokenizers.PATTERN if head == public_tokenizers.PATTERN else head + SINGLE
+    return tiktoken.Encoding(f"{vocabulary}_single", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def token_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_key, ids`` for each row: 16-bit ids of the whole text, then the end id. Null text: the end id alone."""
 
@@ -59,16 +86,32 @@ def token_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("_key"), F.col(text)).mapInArrow(encode, f"_key {kind}, ids binary")
 
 
+def distinct(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of each of several documents: which document, token, how often; sorted by both."""
+    if not each:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number = np.arange(len(each), dtype=np.uint32 if len(each) <= 1 << 16 else np.uint64)
+    code, times = np.unique(np.repeat(number << 16, [len(x) for x in each]) | np.concatenate(each), return_counts=True)
+    return (code >> 16).astype(np.int64), (code & 0xFFFF).astype(np.int64), times
+
+
+def term_weights(each: list[np.ndarray], found: tuple[np.ndarray, np.ndarray, np.ndarray], idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of what ``distinct`` found."""
+    owner, term, tf = found
+    size = np.array([len(x) for x in each], np.int64)[owner]
+    return idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1.0)))
+
+
 def document_frequencies(ids: DataFrame, vocabulary_size: int = 1 << 16) -> tuple[np.ndarray, int, float]:
     """Documents that hold each token, documents, mean length: over all rows; a fixed-size vector reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, length = np.zeros(vocabulary_size, np.int64), 0, 0
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                x = np.frombuffer(raw, "<u2")
-                df[np.unique(x)] += 1
-                n, length = n + 1, length + len(x)
+            for at in range(0, batch.num_rows, ROWS):
+                each = [np.frombuffer(raw.as_buffer(), "<u2") for raw in batch.column(0).slice(at, ROWS)]
+                df += np.bincount(distinct(each)[1], minlength=vocabulary_size)
+                n, length = n + len(each), length + sum(map(len, each))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int32()), pa.array([length, n, *df[at].tolist()], pa.int64())], names=["term", "n"])
 
@@ -87,19 +130,12 @@ class Shard:
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = self.held = len(rests)
-        terms, docs, weights, self.queries = [], [], [], []
-        for k, x in enumerate(rests):
-            t, tf = np.unique(x, return_counts=True)
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / max(mean, 1.0)))
-            terms.append(t)
-            docs.append(np.full(len(t), k, np.int32))
-            weights.append(w.astype(np.float32))
-            self.queries.append(t)
-        term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
-        order = np.argsort(term, kind="stable")
-        self.docs = (np.concatenate(docs) if docs else np.zeros(0, np.int32))[order]
-        self.weights = (np.concatenate(weights) if weights else np.zeros(0, np.float32))[order]
-        self.terms = term[order]
+        docs, term, _ = found = distinct(rests)
+        # rounded, in the type that sums are made in
+        weights = term_weights(rests, found, idf, mean).astype(np.float32).astype(np.float64)
+        self.queries = np.split(term, np.searchsorted(docs, np.arange(1, self.n)))
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        self.docs, self.weights, self.terms = docs[order], weights[order], term[order]
         self.starts = np.searchsorted(self.terms, np.arange((1 << 16) + 1))
 
     def forget(self, unused: np.ndarray) -> None:
@@ -113,7 +149,7 @@ class Shard:
     def neighbours(self, k: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with document ``k`` by BM25 over all its distinct terms, best first; ties by place."""
         self.forget(unused)
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[k].astype(np.int64)]
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[k]]
         if not spans:
             return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
@@ -185,12 +221,20 @@ def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: in
 PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def lexical_place(x: np.ndarray, idf: np.ndarray, mean: float) -> bytes:
-    """A document's place in the lexical order: its tokens of the greatest BM25 weight, then a hash of all."""
-    t, tf = np.unique(x, return_counts=True)
-    w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / max(mean, 1.0)))
-    top = np.argsort(-w, kind="stable")[:ORDER_TERMS]
-    return t[top].astype(">u2").tobytes().ljust(2 * ORDER_TERMS, b"\0") + zlib.crc32(x.tobytes()).to_bytes(4, "big")
+def lexical_places(each: list[np.ndarray], idf: np.ndarray, mean: float) -> list[bytes]:
+    """Documents' places in the lexical order: their tokens of the greatest BM25 weight, then a hash of all."""
+    owner, term, _ = found = distinct(each)
+    w = term_weights(each, found, idf, mean)
+    ends = np.searchsorted(owner, np.arange(len(each) + 1)).tolist()
+    out = []
+    for x, lo, hi in zip(each, ends, ends[1:]):
+        own = w[lo:hi]
+        top = np.arange(hi - lo)
+        if len(own) > ORDER_TERMS:
+            top = np.flatnonzero(own >= np.partition(own, len(own) - ORDER_TERMS)[len(own) - ORDER_TERMS])
+        top = top[np.argsort(-own[top], kind="stable")][:ORDER_TERMS]
+        out.append(term[lo:hi][top].astype(">u2").tobytes().ljust(2 * ORDER_TERMS, b"\0") + zlib.crc32(x).to_bytes(4, "big"))
+    return out
 
 
 def lexical_order(ids: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
@@ -198,8 +242,10 @@ def lexical_order(ids: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = [lexical_place(np.frombuffer(raw.as_buffer(), "<u2"), idf, mean) for raw in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.binary())], names=["_key", "ids", "_place"])
+            for at in range(0, batch.num_rows, ROWS):
+                few = batch.slice(at, ROWS)
+                where = lexical_places([np.frombuffer(raw.as_buffer(), "<u2") for raw in few.column(1)], idf, mean)
+                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(where, pa.binary())], names=["_key", "ids", "_place"])
 
     kind = ids.schema[0].dataType.simpleString()
     out = ids.mapInArrow(placed, f"_key {kind}, ids binary, _place binary")

@@ -38,6 +38,24 @@ def test_counts_equal_the_library(library):
         assert sum(counter.of(text)) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_ids_equal_the_library_with_single_and_adjoining_spaces(library):
+    encode, r = packing.encoder(), random.Random(4)
+    for _ in range(2000):
+        text = "".join(r.choice(PARTS) for _ in range(r.randint(0, 9)))
+        assert np.frombuffer(encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert [packing.adjoining(t) for t in (" a b\nc ", "a\t\u3000b", "a\xa0b\tc", "a \n")] == [False, True, False, True]
+
+
+def test_distinct_tokens_of_several_documents():
+    """Also of more documents than 16 bits can number."""
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, 9, n).astype("<u2") for n in r.integers(1, 4, 70_000)]
+    owner, term, times = packing.distinct(docs)
+    for k in (0, 65_535, 65_536, 69_999):
+        t, n = np.unique(docs[k], return_counts=True)
+        assert term[owner == k].tolist() == t.tolist() and times[owner == k].tolist() == n.tolist()
+
+
 def test_very_long_runs_equal_the_library(library):
     encode, counter = packing.encoder(), tokens.piece_counter()
     for text in (" " * 1_200_000 + "a", "a" * 250_000, "x <|endoftext|>" + "\n" * 300_000, None):
