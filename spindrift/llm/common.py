@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Keys at most that count as hot in a ``hub_join``; keys with fewer rows than the second number never do.
 HUBS, HUB_ROWS = 50_000, 1_000
+#: Short rows (a few numbers or hashes) for which a partition is worth its while, and partitions that are always left.
+PART_ROWS, LEAST_PARTS = 50_000, 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,15 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most some ``rows`` short rows, in no more partitions than these need (never in more than it has).
+
+    Each task of a stage leaves three files of a disk block at least for every shuffle that it writes, whatever it
+    holds, and they stay until the driver collects its garbage: few rows in many partitions take disk by partitions.
+    """
+    return df.coalesce(max(LEAST_PARTS, -(-rows // PART_ROWS)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a dataset folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,16 +100,18 @@ def runs(batches: Iterator, key: str) -> Iterator:
         yield at, pd.concat(held, ignore_index=True)
 
 
-def hub_join(rows: DataFrame, hubs: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def hub_join(rows: DataFrame, hubs: DataFrame, key: str, n: str, total: int, short: bool = False) -> DataFrame:
     """``rows`` with the columns of ``hubs`` (one row a key; ``n``: how many of ``rows`` have it), which lose ``n``.
 
     Keys that hold more than a ``HUBS``-th of ``total``, the number of ``rows``, are met by a broadcast of at
     most ``HUBS`` hubs where their rows lie, so that no task gets all rows of one key; the others shuffle.
+    ``short`` rows are ``gathered`` after the shuffle.
     """
+    few_parts = (lambda df: gathered(df, total)) if short else (lambda df: df)
     hot = F.col(n) > max(HUB_ROWS, total // HUBS)
-    few = F.broadcast(hubs.where(hot).drop(n))
+    few = F.broadcast(few_parts(hubs.where(hot).drop(n)))
     there = rows.join(few, key)
-    return there.unionByName(rows.join(few.select(key), key, "left_anti").join(hubs.where(~hot).drop(n), key))
+    return there.unionByName(few_parts(rows.join(few.select(key), key, "left_anti").join(hubs.where(~hot).drop(n), key)))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -107,7 +120,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates the two star contractions of Kiveris et al. (2014): in a large-star round each node hands
     its smallest neighbour to its larger neighbours, in a small-star round to the smaller ones. Every
     round is a grouped minimum (combined before the shuffle) and a join that broadcasts hot nodes; no
-    adjacency list is ever collected. Null endpoints and self-loops are ignored; a node seen only in a
+    adjacency list is ever collected. Partitions follow the number of edges. Null endpoints and self-loops are ignored; a node seen only in a
     self-loop is absent. Raises if it has not settled after ``max_rounds`` rounds.
     """
 
@@ -116,14 +129,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if large:
             both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        out = hub_join(both, low, "u", "n", total)
+        out = hub_join(both, low, "u", "n", total, short=True)
         if large:
             out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = out.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
-                low.select(F.col("u").alias("a"), F.col("m").alias("b"))
+                gathered(low.select(F.col("u").alias("a"), F.col("m").alias("b")), total)
             )
-        return out.where("a <> b").distinct()
+        return gathered(out.where("a <> b").distinct(), total)
 
     def stamp(e: DataFrame) -> tuple:
         h = F.xxhash64("a", "b")
@@ -134,6 +147,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     e = cut(e.distinct())
     before = stamp(e)
+    e = gathered(e, before[0])
     for _ in range(max_rounds):
         if not before[0]:
             break
@@ -144,7 +158,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
-    roots = e.select("b").distinct()
+    roots = gathered(e.select("b").distinct(), before[0])
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select(F.col("b").alias("node"), F.col("b").alias("root"))
     )

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, checked_broadcast, connected_components, cut, hub_join, runs, table, unboxed
+from .common import boxed, checked_broadcast, connected_components, cut, gathered, hub_join, runs, table, unboxed
 
 WORDS = 5
 #: Jaccard similarity of a link, as a fraction.
@@ -219,12 +219,12 @@ def measure(rows: DataFrame, sample: Sample) -> tuple[int, dict[int, float], int
     return next((d for d in recall if recall[d] >= TARGET), 1), recall, len(counts)
 
 
-def candidates(classes: DataFrame, depth: int) -> DataFrame:
-    """``(a, b)``: each class with the first class of every trie node at ``depth`` that holds both."""
+def candidates(classes: DataFrame, depth: int, total: int) -> DataFrame:
+    """``(a, b)``: each of the ``total`` classes with the first class of every trie node at ``depth`` that holds both."""
     node = lambda t: F.xxhash64(t, F.substring("_label", t * 2 * DEPTH + 1, F.lit(2 * depth)))
     placed = classes.select("_node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), node)).alias("_key"))
     nodes = placed.groupBy("_key").agg(F.min("_node").alias("_hub"), F.count("*").alias("_m")).where("_m > 1")
-    met = hub_join(placed, nodes, "_key", "_m", TREES * classes.count())
+    met = hub_join(placed, nodes, "_key", "_m", TREES * total, short=True)
     return met.where("_node <> _hub").select(F.col("_node").alias("a"), F.col("_hub").alias("b"))
 
 
@@ -285,14 +285,14 @@ def dealt_out(inside: DataFrame, total: int) -> DataFrame:
     """
     stretch = F.floor(F.log(F.col("_n").cast("double")) / F.log(F.lit(LINK[1] / LINK[0] + 1e-7))).cast("long")
     inside = inside.withColumn("_cell", F.struct("_root", stretch.alias("g")))
-    cells = inside.groupBy("_cell").agg(F.count("*").alias("_m"), F.sum("_n").alias("_s"))
+    cells = gathered(inside.groupBy("_cell").agg(F.count("*").alias("_m"), F.sum("_n").alias("_s")), total)
     group = Window.partitionBy("_cell._root")
     order = group.orderBy("_cell.g")
     blocks = lambda m, s: F.greatest(F.ceil(s / BLOCK_SHINGLES), F.ceil(m / BLOCK_CLASSES)).cast("int")
     cells = cells.withColumns({"_own": blocks(F.col("_m"), F.col("_s")), "_whole": blocks(F.sum("_m").over(group), F.sum("_s").over(group)) == 1})
     near = lambda f, step: F.when(f("_cell.g").over(order) == F.col("_cell.g") + step, f("_own").over(order)).otherwise(0)
-    cells = cells.withColumns({"_below": near(F.lag, -1), "_above": near(F.lead, 1)}).drop("_s")
-    out = hub_join(inside, cells, "_cell", "_m", total)
+    cells = gathered(cells.withColumns({"_below": near(F.lag, -1), "_above": near(F.lead, 1)}).drop("_s"), total)
+    out = hub_join(inside, cells, "_cell", "_m", total, short=True)
     out = out.withColumn("_b", F.pmod(F.xxhash64("_node"), F.col("_own")).cast("int"))
     root, g, b = F.col("_cell._root"), F.col("_cell.g"), F.col("_b")
     upto = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<string>"))
@@ -363,28 +363,31 @@ def judge(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``near_duplicates`` with ``_node``, the first class of the row's component; null without words."""
     sample = audit_sample(docs, text)
     rows = cut(signatures(docs, key, text, sample))
+    rows = gathered(rows, rows.count())
     depth, recall, evidence = measure(rows, sample)
     logging.getLogger(__name__).info("prefixes of %d of %d; recall by length %s from %d texts", depth, DEPTH, recall, evidence)
     classes = rows.where("_class is not null").groupBy("_class").agg(
         F.count("*").alias("_copies"), F.min("_id").alias("_first"), F.min(F.struct("_text", "_id")).alias("_one"), F.first("_label").alias("_label"), F.first("_n").alias("_n")
     )
     classes = cut(classes.withColumn("_node", F.monotonically_increasing_id()))
-    total = classes.count()
-    groups = connected_components(candidates(classes, depth)).withColumnRenamed("node", "_node").withColumnRenamed("root", "_root")
+    total, worded = classes.agg(F.count("*"), F.coalesce(F.sum("_copies"), F.lit(0))).first()
+    classes = gathered(classes, TREES * total)  # each makes a row a trie
+    groups = connected_components(candidates(classes, depth, total)).withColumnRenamed("node", "_node").withColumnRenamed("root", "_root")
     light = classes.select("_node", "_copies", "_n", F.col("_one._text").alias("_text"), F.col("_one._id").alias("_id"))
-    members = cut(dealt_out(light.join(groups, "_node"), total))
+    members = cut(dealt_out(gathered(light.join(groups, "_node"), total), total))
     found = cut(verify(docs, members, key, text))
+    found = gathered(found, found.count())
     links = found.groupBy("_node").agg(F.sum("_links").alias("_links"))
-    alone = found.where("not _multi").groupBy("_node").agg(F.min("_low").alias("_low"))
+    alone = gathered(found.where("not _multi").groupBy("_node").agg(F.min("_low").alias("_low")), total)
     across = connected_components(found.where("_multi").select(F.col("_node").alias("a"), F.col("_low").alias("b")))
     low = alone.unionByName(across.select(F.col("node").alias("_node"), F.col("root").alias("_low")))
     judged = classes.select("_class", "_node", "_copies", "_first").join(links, "_node", "left").join(low, "_node", "left")
-    judged = cut(judged.withColumn("_low", F.coalesce("_low", "_node")))
+    judged = cut(gathered(judged.withColumn("_low", F.coalesce("_low", "_node")), total))
     first = judged.groupBy("_low").agg(F.min("_first").alias("class_id"), F.count("*").alias("_m"))
-    judged = hub_join(judged, first, "_low", "_m", total).select("_class", "_low", "class_id", "_copies", (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
-    worded = hub_join(rows.where("_class is not null").select("_id", "_text", "_class"), judged, "_class", "_copies", total)
+    judged = hub_join(judged, first, "_low", "_m", total, short=True).select("_class", "_low", "class_id", "_copies", (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
+    judged = hub_join(rows.where("_class is not null").select("_id", "_text", "_class"), judged, "_class", "_copies", worded, short=True)
     wordless = rows.where("_class is null").select("_class", "_id", "_text", F.lit(None).cast("long").alias("_low"), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    out = worded.unionByName(wordless)
+    out = judged.unionByName(wordless)
     return out.select(F.col("_id").alias(key), "_text", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("_low").alias("_node"))
 
 
@@ -397,8 +400,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     judged = judge(docs, key, text).where("_node is not null").select("_node", F.col(key).alias("_id2"), F.col("_text").alias("_text2"))
     # a text is in one component, so id and text tell which rows are the one that stays
     distinct = cut(judged.groupBy("_node", "_id2", "_text2").count())
+    total = distinct.count()
+    distinct = gathered(distinct, total)
     place = F.struct(F.col("_id2").isNull().alias("a"), F.col("_id2").alias("b"), F.col("_text2").alias("c"))
-    first = cut(distinct.groupBy("_node").agg(F.min(place).alias("_first"), F.sum("count").alias("_n")).where("_n > 1").drop("_n"))
+    first = cut(gathered(distinct.groupBy("_node").agg(F.min(place).alias("_first"), F.sum("count").alias("_n")).where("_n > 1").drop("_n"), total))
     ranked = cut(distinct.join(checked_broadcast(first), "_node").select("_id2", "_text2", "count", (place == F.col("_first")).alias("_stays")))
     same = F.col("_id2").eqNullSafe(F.col("_key")) & (F.col("_text2") == F.md5(F.col("_whole").cast("binary")))
     gone = ranked.where("not _stays").select("_id2", "_text2")

@@ -209,3 +209,42 @@ def test_pipeline_of_nothing(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, data).count() == 0
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """64 shuffle partitions that Spark doesn't put together; gives how many tasks a call runs."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+    def tasks(name, f):
+        sc = spark.sparkContext
+        sc.setJobGroup(name, name)
+        out = f()
+        sc.setJobGroup("after", "after")
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(name)]
+        stages = {s for j in jobs if j for s in j.stageIds}
+        return out, sum(i.numCompletedTasks for i in map(sc.statusTracker().getStageInfo, stages) if i)
+
+    yield tasks
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_components_of_few_edges_take_few_tasks(spark, many_partitions):
+    """Rounds over few edges don't run (and leave shuffle files) by the number of partitions."""
+    pairs = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 1500)]
+    got, tasks = many_partitions("components", lambda: connected_components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    assert {x.node: x.root for x in got} == union(pairs, {x for p in pairs for x in p})
+    assert tasks < 3_000
+
+
+def test_few_documents_take_few_tasks(spark, many_partitions):
+    """So with a whole pass: judged copies, near copies and texts that nothing is near lie in few partitions."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(64)
+    got, tasks = many_partitions("judge", lambda: neardup.near_duplicates(docs).collect())
+    assert len(got) == len(rows)
+    assert tasks < 5_000
